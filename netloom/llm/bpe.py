@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import map_arrow, text_of
 
 #: Above this many symbols a word's merges come from a heap.
 LONG_WORD = 128
@@ -173,7 +173,7 @@ def _over_texts(docs: DataFrame, tokenizer_json: str, text_col: str, added: str,
     text = kept[f"c{names.index(text_col)}"]
     rows = kept.withColumn("whole_text", text_of(text))
     fields = ", ".join(f"c{i} {x.dataType.simpleString()}" for i, x in enumerate(kept.schema.fields))
-    out = rows.mapInArrow(run, f"{fields}, {added}")
+    out = map_arrow(rows, run, f"{fields}, {added}")
     return out.toDF(*names, *[x.split()[0] for x in added.split(", ")])
 
 

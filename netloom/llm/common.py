@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +65,27 @@ def drop_table(df: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_netloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="netloom-code-"), f"netloom_{_run}.zip")  # the driver serves it while the application runs
+    with zipfile.ZipFile(path, "w") as z:
+        for found in sorted(package.rglob("*.py")):
+            z.write(found, found.relative_to(package.parent))
+    context.addPyFile(str(path))
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
+    context._netloom_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """mapInArrow with this package's modules at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def text_of(column: Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(column.cast("string"), F.lit(""))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import map_arrow, text_of
 
 #: A boundary before one of these is stable.
 BREAKS = frozenset(" \t\n\r\x0b\x0c")
@@ -116,4 +116,4 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
 
     rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
+    return map_arrow(rows, count, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
