@@ -75,7 +75,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         none = words.select("id", "n_words", F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
         return _summary(none, id_col)
     prints = reduce(DataFrame.unionByName, [_prints(items.where(F.col("length") == n), "words", [n], "p") for n in windows])
-    prints = prints.select("item", F.explode("p").alias("p")).select("item", *[F.col(f"p.{x}").alias(f"i_{x}") for x in ("window", "gram", "left", "around")]).distinct()
+    # explode_outer: for explode, the optimiser would add a filter that computes the whole array again
+    prints = prints.select("item", F.explode_outer("p").alias("p")).where("p is not null").select("item", *[F.col(f"p.{x}").alias(f"i_{x}") for x in ("window", "gram", "left", "around")]).distinct()
     blocks = -(-prints.count() // broadcast_rows) or 1
     stored = _prints(words, "words", windows, "p").select("row", "id", "n_words", F.explode(F.concat(F.array(*own), F.col("p"))).alias("p")).select("row", "id", "n_words", "p.*")
     hits = None

@@ -25,8 +25,8 @@ REACH = 3
 #: Measures in thousandths: numerator, denominator, least spread, whether low values are fenced too.
 MEASURES = {
     "symbols": ("n_symbols", "n_words", 50, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 100, False),
-    "repeats": ("n_repeat_words", "n_words", 50, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 200, False),
+    "repeats": ("n_repeat_words", "n_words", 100, False),
     "word_length": ("word_chars", "n_words", 500, True),
     "capitals": ("n_capitals", "word_chars", 50, False),
 }
