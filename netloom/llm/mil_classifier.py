@@ -1,7 +1,7 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of `PASSAGE_WORDS` words. Each passage is encoded by a fixed vector (hashed words and word shapes,
-kinds of bytes, word length, variety), and a learned layer turns it into h = tanh(x W + b). Gated attention gives each passage
+kinds of bytes, word length, variety, repetition), and a learned layer turns it into h = tanh(x W + b). Gated attention gives each passage
 the weight a = softmax((tanh(h V) * sigmoid(h U)) w) within its document, and the score is the logistic value of the
 weighted sum of the h. Only labels of documents train all of it, by Adam on the logistic loss, on a bounded sample; every
 passage of every document is scored.
@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .common import crc_fold, map_arrow, text_of
 
 PASSAGE_WORDS = 100
 WORD_BUCKETS, SHAPE_BUCKETS, BYTE_KINDS = 64, 48, 9
-WIDTH = WORD_BUCKETS + SHAPE_BUCKETS + BYTE_KINDS + 3
+WIDTH = WORD_BUCKETS + SHAPE_BUCKETS + BYTE_KINDS + 4
 #: Words whose buckets a worker remembers; when full, it starts anew.
 CACHE_WORDS = 300_000
 
@@ -81,7 +82,7 @@ def encode_passages(text: str) -> np.ndarray:
         part = words[i * PASSAGE_WORDS : (i + 1) * PASSAGE_WORDS]
         whole = b"".join(part)
         out[i, at : at + BYTE_KINDS] = 4 * np.bincount(_KIND_NUMBER[np.frombuffer(whole, np.uint8)], minlength=BYTE_KINDS) / len(whole)
-        out[i, at + BYTE_KINDS :] = len(whole) / len(part) / 8, len(set(part)) / len(part), len(part) / PASSAGE_WORDS
+        out[i, at + BYTE_KINDS :] = len(whole) / len(part) / 8, len(set(part)) / len(part), len(part) / PASSAGE_WORDS, 4 * sum(map(eq, part, part[1:])) / len(part)
     return out
 
 
