@@ -1,6 +1,7 @@
 """Token counts of whole texts, also of huge ones: overlapping chunks, encoded with offsets and spliced where both encodings agree.
 
-A text of at most `chunk_chars` characters is encoded at once. A longer one is cut into chunks, each of which starts
+A text of at most `chunk_chars` characters has no need of that: it falls apart at white space, and the library encodes each of
+its words that the worker has not met before. A longer one is cut into chunks, each of which starts
 `overlap` characters before the end of the one before. Two neighbouring chunks are spliced at a boundary that
 
 * both encodings have,
@@ -17,6 +18,7 @@ space is encoded in one piece.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +29,13 @@ from .common import map_arrow, text_of
 #: A boundary before one of these is stable.
 BREAKS = frozenset(" \t\n\r\x0b\x0c")
 
+#: Words whose token counts a worker remembers; when full, it starts anew.
+CACHE_WORDS = 500_000
+#: White space to str.split, but not to the tokenizers: texts with it are encoded whole.
+_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+
 _loaded: dict[int, object] = {}
+_counts: dict[int, dict[str, int]] = {}
 
 
 def load(definition: str):
@@ -88,6 +96,23 @@ def spliced_ids(encode, text: str, chunk_chars: int = 16_384, overlap: int = 256
     return ids + left[1].ids[taken:]
 
 
+def word_counts(tokenizer, texts: list[str], known: dict[str, int]) -> list[int]:
+    """The tokens of each text, as the sum over its words; known: the counts of words so far, to which new ones are added."""
+    split = [x.split() if not _ODD_SPACE.search(x) else [x] for x in texts]
+    new = list({w for words in split for w in words if w not in known})
+    if len(known) + len(new) > CACHE_WORDS:
+        known.clear()
+        new = list({w for words in split for w in words})
+    for at in range(0, len(new), 4_096):
+        part = new[at : at + 4_096]
+        known.update(zip(part, map(len, tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+    out = [sum(map(known.__getitem__, words)) for words in split]
+    for w in new:
+        if len(w) > 64:
+            del known[w]
+    return out
+
+
 def count_tokens(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk_chars: int = 16_384, overlap: int = 256) -> DataFrame:
     """id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every row.
 
@@ -99,15 +124,16 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(shared.value)
+        known = _counts.setdefault(hash(shared.value), {})
         encode = lambda x: tokenizer.encode(x, add_special_tokens=False)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             short = [i for i, x in enumerate(texts) if len(x) <= chunk_chars]
             counts = [0] * len(texts)
-            for at in range(0, len(short), 64):
-                part = short[at : at + 64]
-                for i, found in zip(part, tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)):
-                    counts[i] = len(found.ids)
+            for at in range(0, len(short), 256):
+                part = short[at : at + 256]
+                for i, n in zip(part, word_counts(tokenizer, [texts[i] for i in part], known)):
+                    counts[i] = n
             for i, x in enumerate(texts):
                 if len(x) > chunk_chars:
                     counts[i] = len(spliced_ids(encode, x, chunk_chars, overlap))
