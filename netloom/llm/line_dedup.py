@@ -93,7 +93,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = gone.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     gone = materialize(gone, "removed")
     rows = plain.withColumn("h", F.xxhash64(text_of(F.col(text))))
-    joined = rows.join(gone, rows[doc].eqNullSafe(gone["doc"]) & (rows["h"] == gone["text_hash"]), "left")
+    # texts move whatever the number of removed lines, so that cost follows the input
+    joined = rows.hint("merge").join(gone, rows[doc].eqNullSafe(gone["doc"]) & (rows["h"] == gone["text_hash"]), "left")
     joined = joined.withColumn("lines", F.split(text_of(F.col(text)), "\n"))
     wordy = lambda x: F.btrim(x, F.lit(_WHITE)) != ""
     joined = joined.withColumn("removed", F.when(F.col("runs").isNotNull(), F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))))))
