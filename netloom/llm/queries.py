@@ -71,6 +71,12 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_texts(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeated_bytes
+
+    return remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import remove_repeated_lines
 
