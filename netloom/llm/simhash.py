@@ -129,3 +129,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = prints.join(component, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
+    """docs without near copies: of each component the row of the smallest id, of repeated rows one.
+
+    Rows whose id is null stay, as nothing tells which of them is the smallest.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle_words).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
+    stays = docs.join(found, docs[id_col] == found["kept_id"], "left_semi").dropDuplicates([id_col])
+    return stays.unionByName(docs.where(docs[id_col].isNull()))
