@@ -7,7 +7,7 @@ The probability of a token w after v mixes maximum-likelihood estimates,
 with weights a that depend on the frequency of the context v (a bucket for each power of two). They are learnt by expectation-
 maximisation on held-out counts: each training token in turn is deleted from the counts that predict it.
 
-How it runs: texts become blocks of some two million tokens, a row each, which hold the hashes of the block's words and the tokens
+How it runs: texts become blocks of some half a million tokens, a row each, which hold the hashes of the block's words and the tokens
 as numbers of these. Each block sends the counts of its distinct words and word pairs, sorted by hash, cut into shards and
 compressed; a shard adds up the counts of all blocks and sends to each block the totals of what it asked for. So every
 count covers the whole corpus, a common word or pair is one entry of a block however often it stands there, and no
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, drop_table, map_arrow, materialize, ship, text_of
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 500_000
 #: Entries that one shard adds up, about.
 SHARD_ENTRIES = 2_000_000
 #: Words whose hashes a worker remembers; when full, it starts anew.
