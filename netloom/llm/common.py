@@ -1,89 +1,16 @@
-"""Helpers that the operators share: intermediate tables in the cluster's shared folder, text defaults, crc folds."""
+"""Helpers that the operators share: text defaults, crc folds, and the library's tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zipfile
-from collections.abc import Callable
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The white space of the word definition `[^\x20\x09-\x0D]+`, as a Java character class body.
-SPACE = r"\x20\x09-\x0D"
-
-_run = uuid.uuid4().hex[:12]
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset a local one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_netloom_dir", None)
-    if not found:
-        found = spark._netloom_dir = "file://" + tempfile.mkdtemp(prefix="netloom-")
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before; the folder's owner cleans it then
-            return
+from ..storage import drop_table, map_arrow, materialize, ship
 
+__all__ = ["SPACE", "crc_fold", "drop_table", "map_arrow", "materialize", "ship", "text_of"]
 
-def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write df once as Parquet in the shared folder and return the table, so that lineage is cut and any executor may be lost.
-
-    The table stays until the application ends, as the result may be read at any time until then.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/netloom-{_run}/{label}-{uuid.uuid4().hex[:8]}"
-    _written.append((spark, path))
-    writer = df.write.mode("errorifexists").option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that materialize wrote, when nothing reads it any more."""
-    files = df.inputFiles()
-    if files:
-        path = files[0].rpartition("/")[0]
-        if any(path.split(":", 1)[-1].lstrip("/") == p.split(":", 1)[-1].lstrip("/") for _, p in _written):
-            _remove(df.sparkSession, path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package's code, once for each application."""
-    context = spark.sparkContext
-    if getattr(context, "_netloom_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="netloom-code-"), f"netloom_{_run}.zip")  # the driver serves it while the application runs
-    with zipfile.ZipFile(path, "w") as z:
-        for found in sorted(package.rglob("*.py")):
-            z.write(found, found.relative_to(package.parent))
-    context.addPyFile(str(path))
-    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
-    context._netloom_shipped = True
-
-
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """mapInArrow with this package's modules at hand on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+#: The white space of the word definition `[^\x20\x09-\x0D]+`, as a Java character class body.
+SPACE = r"\x20\x09-\x0D"
 
 
 def text_of(column: Column) -> Column:

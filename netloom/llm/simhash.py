@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import star_labels
 from . import golay
 from .common import map_arrow, materialize, text_of
-from .components import star_labels
 
 #: Segments as (shift, bits), and the pairs of them that make a key.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
