@@ -140,7 +140,7 @@ def adaptive_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     measured = measure(docs, id_col, text_col, lang_col, source_col)
     measured = measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     measured = materialize(measured, "measures")
-    limits = fences(materialize(sketches(measured), "sketches"), min_docs)
+    limits = fences(sketches(measured), min_docs)  # its three uses share one exchange
     limits = limits.select(F.col("lang").alias("lang1"), F.col("source").alias("source1"), *[x for x in limits.columns if x not in ("lang", "source")])
     joined = measured.join(limits, measured["lang"].eqNullSafe(limits["lang1"]) & measured["source"].eqNullSafe(limits["source1"]), "left")
     within = F.lit(True)
