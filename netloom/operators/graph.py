@@ -28,23 +28,29 @@ def spanning_wires(points: DataFrame) -> DataFrame:
     """
     ship(points.sparkSession)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        net = rows["net"].iloc[0]
-        p = rows[["x", "y"]].drop_duplicates().sort_values(["x", "y"]).to_numpy()
+    def tree(net: int, p: np.ndarray, out: list[tuple]) -> None:
         far, near = np.abs(p - p[0]).sum(axis=1), np.zeros(len(p), int)
         far[0] = -1
-        out = []
         for _ in range(len(p) - 1):
-            reach = np.where(far >= 0, far, np.iinfo(np.int64).max)
-            i = int(reach.argmin())
+            i = int(np.where(far >= 0, far, np.iinfo(np.int64).max).argmin())
             out.append((net, *p[near[i]], *p[i]))
             d = np.abs(p - p[i]).sum(axis=1)
             closer = (far >= 0) & (d < far)
             far[closer], near[closer] = d[closer], i
             far[i] = -1
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        p = rows[["net", "x", "y"]].drop_duplicates().sort_values(["net", "x", "y"]).to_numpy()
+        out: list[tuple] = []
+        for part in np.split(p, np.flatnonzero(np.diff(p[:, 0])) + 1):
+            if len(part) > 1:
+                tree(part[0, 0], part[:, 1:], out)
         return pd.DataFrame(out, columns=["net", "x0", "y0", "x1", "y1"])
 
-    return points.select("net", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).groupBy("net").applyInPandas(run, "net bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    # many nets a group: most have a handful of points, and each group costs a call
+    shards = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = points.select("net", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+    return rows.groupBy(F.pmod(F.xxhash64("net"), F.lit(shards))).applyInPandas(run, "net bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
 
 
 def spread(points: DataFrame, by: list[str], factor: float = 1.6) -> DataFrame:

@@ -11,7 +11,8 @@ def gap_clusters(df: DataFrame, by: list[str], value: str, tolerance: float) ->
     order = Window.partitionBy(*by).orderBy(value)
     starts = F.coalesce(F.col(value) - F.lag(value).over(order) > tolerance, F.lit(True)).cast("bigint")
     marked = df.select(*by, value).withColumn("start", starts)
-    numbered = marked.withColumn("cluster", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # by range: equal values are of one cluster, whichever of them is the first
+    numbered = marked.withColumn("cluster", F.sum("start").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     grouped = numbered.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.array_sort(F.collect_list(value)).alias("all"))
     return grouped.withColumn("middle", F.get("all", F.floor(F.col("n") / 2).cast("int"))).drop("all")
 
