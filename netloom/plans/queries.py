@@ -742,7 +742,8 @@ def skeleton(spark, sf_dir):
 
 @query()
 def x_crossings(spark, sf_dir):
-    crossed = fx.pixels(spark, sf_dir).withColumn("image_id", F.lit(0).cast("bigint")).distinct()
+    one = fx.pixels(spark, sf_dir).withColumn("image_id", F.lit(0).cast("bigint"))
+    crossed = one.unionByName(one.select("image_id", F.col("y").alias("x"), (F.col("x") + 1).alias("y"))).distinct()
     return raster.crossings(crossed, fx.dots(spark, sf_dir).where("image_id = 0 and x < 60"))
 
 

@@ -34,14 +34,14 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
 
 def label_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, stem, line_no, line of the label files below a folder; blank lines go."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").option("wholetext", "true").text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     return rows.where(F.trim("line") != "").withColumn("stem", stem_of(F.col("file")))
 
 
 def class_names(spark: SparkSession, path: str) -> DataFrame:
     """file, class_id, name from data.yaml files: a flow list, a block list, or numbered names."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yaml").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yaml").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     flow = F.regexp_extract("value", r"(?s)names\s*:\s*\[(.*?)\]", 1)
     block = F.regexp_extract("value", r"(?m)^names\s*:\s*\n((?:[ \t]*(?:-|\d+\s*:)[^\n]*(?:\n|$))+)", 1)
     bare = lambda x: F.btrim(F.trim(x), F.lit("'\""))
@@ -99,7 +99,7 @@ def pgm_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, text of decks and drawings."""
-    rows = spark.read.option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "text"))
 
 
