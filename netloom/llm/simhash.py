@@ -121,8 +121,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")).repartition(n, "fp"), "distinct")
-    linked = star_labels(links(distinct).select(F.col("b").alias("u"), F.col("a").alias("v")))
-    linked = materialize(linked, "labels")
+    return _grouped(prints, distinct, links(distinct).select(F.col("b").alias("u"), F.col("a").alias("v")), id_col)
+
+
+def _grouped(prints: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """id_col, fingerprint, component_id of prints (id, fp), whose distinct fp (fp, least) are linked by edges (u, v)."""
+    linked = materialize(star_labels(edges), "labels")
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     component = rooted.join(smallest, "root").select("fp", "component_id")
@@ -131,11 +135,88 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
-    """docs without near copies: of each component the row of the smallest id, of repeated rows one.
+def word_fingerprint(text: str) -> int:
+    """The SimHash of a text's distinct words, A-Z lower-cased, by XXH64 of another seed than that of shingles; 0 without words."""
+    words = set(text.encode().lower().split())
+    if not words:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, 43) for x in words), np.uint64, len(words))
+    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(words), bitorder="little").view(np.int64)[0])
+
+
+def jaccard(a: str, b: str, shingle_words: int) -> float:
+    """Shared part of two texts' sets of word shingles; a text of fewer words is one shingle."""
+    def grams(text: str) -> set:
+        w = text.encode().lower().split()
+        return set(zip(*(w[i:] for i in range(shingle_words)))) if len(w) >= shingle_words else {tuple(w)}
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def _similar(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
+    """u, v: distinct fingerprints whose texts share `similarity` of their shingles or more, each with centres of its buckets.
+
+    Changed words move many bits of a shingle fingerprint, few of one of distinct words. So these are decoded: every text goes under
+    all pairs of codewords around two of its segments, and meets the bucket's commonest text and that of the least fingerprint. Those that also
+    lie within 18 bits by their shingle fingerprints are compared by their whole texts.
+    """
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, words, copies = (np.ascontiguousarray(x.to_numpy(zero_copy_only=False)) for x in batch.columns)
+            order = copies << 40 | (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).view(np.int64)
+            for at in range(0, len(fp), 2_000):
+                keys, rows = lookup_keys(words[at : at + 2_000])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(fp[at : at + 2_000][rows]), pa.array(order[at : at + 2_000][rows])], ["key", "fp", "rank"])
+
+    met = map_arrow(distinct.where("least is not null").select("fp", "words", F.least("copies", F.lit(1 << 22)).alias("copies")), expand, "key int, fp bigint, rank bigint")
+    centres = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("fp", "rank").alias("common"), F.min("fp").alias("first")).where("n > 1").select(F.col("key").alias("at"), "common", "first")
+    pairs = met.join(centres, met["key"] == centres["at"]).select("fp", F.explode(F.array("common", "first")).alias("centre"))
+    pairs = pairs.where((F.col("fp") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= 18))
+    pairs = materialize(pairs.select(F.greatest("fp", "centre").alias("u"), F.least("fp", "centre").alias("v")).distinct(), "pairs")
+    named = distinct.select("fp", "least")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(named, "fp").select("fp", F.col("least").alias("of"))
+    texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).hint("merge").join(wanted, F.col("id") == F.col("of")).groupBy("fp").agg(F.max("text").alias("text"))
+    texts = materialize(texts, "texts")
+    both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("y")), "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array([jaccard(x, y, shingle_words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
+
+    return map_arrow(both.select("u", "v", "x", "y"), compare, "u bigint, v bigint")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id_col, fingerprint, component_id of every row, as near_duplicates, linked also where texts share `similarity` of their shingles.
+
+    Links of at most 3 differing bits are complete. Those by similarity hold exactly where they are made, with the centres of a text's buckets, so that a group of
+    any size costs in proportion to its texts; whether a pair meets a centre in common is a matter of chance, which grows with its similarity.
+    Rows without words are linked with each other. Other cases are as in near_duplicates.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x, shingle_words) for x in texts], pa.int64()), pa.array(map(word_fingerprint, texts), pa.int64())], ["id", "fp", "words"])
+
+    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
+    prints = materialize(map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint, words bigint"), "fingerprints")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("words").alias("words"))
+    distinct = materialize(distinct.repartition(n, "fp"), "distinct")
+    linked = links(distinct).select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(_similar(docs, distinct, id_col, text_col, shingle_words, similarity))
+    return _grouped(prints, distinct, linked, id_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group of similar_groups the row of the smallest id, of repeated rows one.
 
     Rows whose id is null stay, as nothing tells which of them is the smallest.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle_words).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
+    found = similar_groups(docs, id_col, text_col, shingle_words, similarity).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
     stays = docs.join(found, docs[id_col] == found["kept_id"], "left_semi").dropDuplicates([id_col])
     return stays.unionByName(docs.where(docs[id_col].isNull()))
