@@ -149,3 +149,31 @@ def adaptive_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if both:
             within &= F.coalesce(_permille(name) >= F.col(f"low_{name}"), F.lit(False))
     return joined.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"), "n_lines", "n_capitals")
+
+
+def _oracle() -> str:
+    """The rows of op2_quality_rules for DuckDB: the same counts, sketches and fences in SQL."""
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    permille = " UNION ALL ".join(f"SELECT r, lang, source, base_failed, '{name}' AS measure, CASE WHEN {bottom} > 0 THEN 1000 * {top} // {bottom} ELSE 0 END AS v, {least} AS least, {str(both).lower()} AS both_sides FROM c" for name, (top, bottom, least, both) in MEASURES.items())
+    quartiles = lambda by: f"SELECT {by} measure, max(total) AS total, min(CASE WHEN 4 * below >= total THEN bucket END) AS q1, min(CASE WHEN 4 * below >= 3 * total THEN bucket END) AS q3 FROM (SELECT {by} measure, bucket, sum(n) OVER (PARTITION BY {by} measure) AS total, sum(n) OVER (PARTITION BY {by} measure ORDER BY bucket) AS below FROM (SELECT {by} measure, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY ALL"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: trim(x, {white}) <> '') AS lines FROM d),
+g AS (SELECT r, k, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] AS gram FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS k FROM w)),
+t AS (SELECT r, k FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([k, k + 1, k + 2]) AS p FROM t) GROUP BY r),
+b AS (SELECT r, doc_id, lang, source, len(words) AS n_words, CAST(length(translate(text, {white}, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  CAST(length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT) AS n_capitals, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
+c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+m AS ({permille}),
+s AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - {PRECISION}, 0)) << greatest(length(bin(v)) - {PRECISION}, 0) AS bucket, count(*) AS n FROM m WHERE NOT base_failed GROUP BY ALL),
+own AS ({quartiles("lang, source,")}), langs AS ({quartiles("lang,")}), every AS ({quartiles("")}),
+pick AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.total >= 100 THEN own.q1 WHEN langs.total >= 100 THEN langs.q1 ELSE every.q1 END AS q1, CASE WHEN own.total >= 100 THEN own.q3 WHEN langs.total >= 100 THEN langs.q3 ELSE every.q3 END AS q3
+  FROM own JOIN langs ON own.lang IS NOT DISTINCT FROM langs.lang AND own.measure = langs.measure JOIN every ON own.measure = every.measure),
+ok AS (SELECT r, bool_and(coalesce(v <= q3 + {REACH} * greatest(q3 - q1, least) AND (NOT both_sides OR v >= q1 - {REACH} * greatest(q3 - q1, least)), false)) AS within
+  FROM m LEFT JOIN pick ON m.lang IS NOT DISTINCT FROM pick.lang AND m.source IS NOT DISTINCT FROM pick.source AND m.measure = pick.measure GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept, n_lines, n_capitals FROM c JOIN ok USING (r)
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -89,6 +89,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup
+    from . import decontaminate, line_dedup, quality_rules
 
-    return {"op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
