@@ -213,10 +213,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group of similar_groups the row of the smallest id, of repeated rows one.
+    """docs without near copies: of each group of similar_groups the row of the smallest id.
 
-    Rows whose id is null stay, as nothing tells which of them is the smallest.
+    Of several rows of one id the least stays, by its columns in order (which must be of types that can be compared). Rows whose id is null stay, as
+    nothing tells which of them is the smallest. Other columns are kept, whatever their names.
     """
     found = similar_groups(docs, id_col, text_col, shingle_words, similarity).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
-    stays = docs.join(found, docs[id_col] == found["kept_id"], "left_semi").dropDuplicates([id_col])
-    return stays.unionByName(docs.where(docs[id_col].isNull()))
+    stays = docs.join(found, docs[id_col] == found["kept_id"], "left_semi")
+    least = stays.groupBy(stays[id_col].alias("the id")).agg(F.min(F.struct(*[stays[x] for x in docs.columns])).alias("r")).select("r.*")
+    return least.unionByName(docs.where(docs[id_col].isNull()))
