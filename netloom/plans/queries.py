@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.geometry import in_box, rotated
 from ..model import BJT, CAP, DIODE, GROUND, ICS, RES, SOURCE_LIKE, TWO_TERMINAL, values_sql
-from ..operators import checks, etl, graph, islands, motifs, netlist, pins as pin_ops, raster, repair, schematic, spatial
+from ..operators import checks, etl, graph, islands, motifs, netlist, pins as pin_ops, raster, repair, schematic, spatial, wires
 from ..operators.components import star_labels
 from ..storage import materialize
 from . import fixtures as fx
@@ -711,9 +711,110 @@ def rotated_points(spark, sf_dir):
     return fx.boxes(spark, sf_dir).withColumn("t", turned).select("det_id", in_box(F.col("t.x"), F.col("t.y"), *box).alias("p")).select("det_id", "p.x", "p.y")
 
 
+# ---- wires and fragments ----
+
+
+_LINES = fx.PIXELS_SQL.replace("SELECT DISTINCT p_partkey % 20 AS image_id", "SELECT DISTINCT p_partkey % 20 AS image_id, p_partkey AS frag")
+_INK = "ink AS (SELECT image_id, x, y, min(frag) AS frag FROM pixels GROUP BY ALL)"
+
+
+def _ink(spark, sf_dir):
+    """Pixels of the least part that draws them, as fragments."""
+    key = F.col("p_partkey")
+    rows = fx.table(spark, sf_dir, "part").where(key % 5 == 0).select(key.alias("frag"), (key % 20).alias("image_id"), ((key * 37) % 100).alias("x"), ((key * 91) % 100).alias("y"), "p_size", F.explode(F.sequence(F.lit(0), F.col("p_size") % 20 + 3)).alias("i"))
+    flat = F.col("p_size") % 2 == 0
+    x, y = (F.col("x") + F.when(flat, F.col("i")).otherwise(0)).cast("bigint"), (F.col("y") + F.when(flat, 0).otherwise(F.col("i"))).cast("bigint")
+    return rows.select("image_id", x.alias("x"), y.alias("y"), "frag").groupBy("image_id", "x", "y").agg(F.min("frag").alias("frag"))
+
+
+def _points(spark, sf_dir):
+    return fx.dots(spark, sf_dir).select("image_id", F.col("dot_id").alias("point_id"), (F.col("x") % 110).alias("x"), (F.col("y") % 110).alias("y"))
+
+
+_SPOTS = fx.DOTS_SQL + ", spots AS (SELECT image_id, dot_id AS point_id, x % 110 AS x, y % 110 AS y FROM dots)"
+
+
+@query(
+    "WITH RECURSIVE " + _LINES + ", " + _INK + ", " + _SPOTS + """, touch AS (SELECT DISTINCT s.point_id, i.image_id, i.frag FROM spots s JOIN ink i ON i.image_id = s.image_id AND abs(i.x - s.x) <= 10 AND abs(i.y - s.y) <= 10),
+ sides AS (SELECT DISTINCT a.image_id, a.frag AS u, b.frag AS v FROM touch a JOIN touch b ON a.point_id = b.point_id), reach(image_id, node, r) AS (SELECT DISTINCT image_id, frag, frag FROM ink UNION SELECT s.image_id, s.v, r FROM reach JOIN sides s ON s.image_id = reach.image_id AND s.u = node WHERE r < s.v)
+SELECT image_id, node AS frag, dense_rank() OVER (PARTITION BY image_id ORDER BY min(r)) - 1 AS net FROM reach GROUP BY image_id, node"""
+)
+def dot_nets(spark, sf_dir):
+    return wires.wire_nets(_ink(spark, sf_dir), _points(spark, sf_dir).withColumnRenamed("point_id", "dot_id"))
+
+
+@query(_with(_LINES, _INK, _SPOTS) + "SELECT s.image_id, s.point_id AS pin_id, i.frag, abs(i.x - s.x) + abs(i.y - s.y) AS dist FROM spots s JOIN ink i ON i.image_id = s.image_id AND abs(i.x - s.x) + abs(i.y - s.y) <= 12 QUALIFY row_number() OVER (PARTITION BY s.point_id ORDER BY abs(i.x - s.x) + abs(i.y - s.y), i.frag) = 1")
+def pin_fragments(spark, sf_dir):
+    return wires.pin_fragments(_points(spark, sf_dir).withColumnRenamed("point_id", "pin_id"), _ink(spark, sf_dir))
+
+
+@query(_with(_LINES, _INK, _SPOTS, "n AS (SELECT s.image_id, s.point_id, i.frag, count(*) AS n, min(abs(i.x - s.x) + abs(i.y - s.y)) AS near FROM spots s JOIN ink i ON i.image_id = s.image_id AND abs(i.x - s.x) <= 9 AND abs(i.y - s.y) <= 9 GROUP BY ALL)") + "SELECT image_id, point_id, frag, n FROM n QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY n DESC, near, frag) = 1")
+def fragment_overlap(spark, sf_dir):
+    return wires.fragment_by_overlap(_points(spark, sf_dir), _ink(spark, sf_dir))
+
+
+@query(_with(_LINES, _INK, _SPOTS) + "SELECT s.image_id, s.point_id, i.frag % 6 AS enet, min(abs(i.x - s.x) + abs(i.y - s.y)) AS dist FROM spots s JOIN ink i ON i.image_id = s.image_id AND abs(i.x - s.x) + abs(i.y - s.y) <= 60 GROUP BY ALL")
+def copper_distance(spark, sf_dir):
+    return wires.copper_distance(_points(spark, sf_dir), _ink(spark, sf_dir).withColumn("enet", F.col("frag") % 6), 60)
+
+
+@query(
+    "WITH RECURSIVE " + fx.DOTS_SQL + """, c AS (SELECT DISTINCT image_id, x // 24 AS gx, y // 24 AS gy, image_id * 4294967296 + (x // 24) * 65536 + y // 24 AS cell FROM dots),
+ sides AS (SELECT a.cell AS u, b.cell AS v FROM c a JOIN c b ON a.image_id = b.image_id AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1), reach(node, r) AS (SELECT cell, cell FROM c UNION SELECT s.v, r FROM reach JOIN sides s ON s.u = node WHERE r < s.v),
+ root AS (SELECT node, min(r) AS cluster FROM reach GROUP BY node), g AS (SELECT d.image_id, cluster, count(*) AS n, greatest(min(x) - 5, 0) AS x0, greatest(min(y) - 5, 0) AS y0, least(max(x) + 5, 240) AS x1, least(max(y) + 5, 240) AS y1 FROM dots d JOIN root ON node = d.image_id * 4294967296 + (x // 24) * 65536 + y // 24 GROUP BY ALL)
+SELECT * FROM g WHERE n >= 2 AND (x1 - x0) * (y1 - y0) <= 0.25 * 240 * 240"""
+)
+def endpoint_cells(spark, sf_dir):
+    return wires.proposals(fx.dots(spark, sf_dir).select("image_id", "x", "y"), 240, 240, grid=24, pad=5)
+
+
+_X = "x AS (SELECT image_id, point_id, x, y, 2 + point_id % 3 AS arms, (point_id % 5) / CAST(5 AS DOUBLE) AS fill FROM spots), circles AS (SELECT p_partkey % 20 AS image_id, (p_partkey * 17) % 110 AS x, (p_partkey * 23) % 110 AS y, 4 + p_size % 9 AS r FROM part WHERE p_partkey % 33 = 0)"
+
+
+@query(
+    _with(_LINES, _INK, _SPOTS, _X, fx.BOXES_SQL, "small AS (SELECT image_id, frag FROM ink GROUP BY ALL HAVING count(*) < 14)")
+    + """SELECT image_id, point_id, CASE WHEN fill >= 0.6 OR arms <= 3 THEN 'dotted'
+  WHEN EXISTS (SELECT 1 FROM boxes b WHERE b.det_id % 60 = 0 AND b.image_id = x.image_id AND x.x BETWEEN b.x0 - 5 AND b.x1 + 5 AND x.y BETWEEN b.y0 - 5 AND b.y1 + 5)
+   OR EXISTS (SELECT 1 FROM circles c WHERE c.image_id = x.image_id AND abs(sqrt((x.x - c.x) ** 2 + (x.y - c.y) ** 2) - c.r) <= 15) OR (SELECT count(*) FROM circles c WHERE c.image_id = x.image_id AND sqrt((x.x - c.x) ** 2 + (x.y - c.y) ** 2) <= 55) >= 2 THEN 'explained'
+  WHEN EXISTS (SELECT 1 FROM ink i WHERE i.image_id = x.image_id AND abs(i.x - x.x) <= 10 AND abs(i.y - x.y) <= 10) THEN 'text' ELSE 'unexplained' END AS kind FROM x"""
+)
+def explained_crossings(spark, sf_dir):
+    x = _points(spark, sf_dir).withColumn("arms", 2 + F.col("point_id") % 3).withColumn("fill", (F.col("point_id") % 5) / 5.0)
+    key = F.col("p_partkey")
+    circles = fx.table(spark, sf_dir, "part").where(key % 33 == 0).select((key % 20).alias("image_id"), ((key * 17) % 110).alias("x"), ((key * 23) % 110).alias("y"), (4 + F.col("p_size") % 9).alias("r"))
+    return wires.explained_crossings(x, fx.boxes(spark, sf_dir).where("det_id % 60 = 0"), circles, _ink(spark, sf_dir), box_dist=5)
+
+
+@query("SELECT p_partkey AS comp_id, CASE WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 0 THEN 90 WHEN p_partkey % 3 = 2 AND p_partkey % 4 = 1 AND (p_partkey % 10) / 10.0 >= 0.2 THEN 90 ELSE 0 END AS orientation FROM part")
+def orientation_votes(spark, sf_dir):
+    n = F.col("det_id") % 3
+    boxes = fx.boxes(spark, sf_dir).withColumn("cls", F.when(n == 0, "gnd").when(n == 1, "npn").otherwise("resistor")).withColumnRenamed("det_id", "comp_id")
+    share = F.when(F.col("comp_id") % 3 == 1, F.when(F.col("comp_id") % 2 == 0, 0.5).otherwise(0.0)).otherwise((F.col("comp_id") % 10) / 10.0)
+    upright = (F.col("comp_id") % 3 == 2) & (F.col("comp_id") % 4 == 1)
+    edge = F.explode(F.when(upright, F.array(F.lit("top"), F.lit("bottom"))).otherwise(F.array(F.lit("left"), F.lit("right"))))
+    edges = boxes.select("comp_id", edge.alias("edge"), share.alias("share"))
+    return wires.orientation_votes(boxes, edges).select("comp_id", "orientation")
+
+
 # ---- kernels, without SQL ----
 
 
+@query()
+def ic_footprints(spark, sf_dir):
+    key = F.col("p_partkey")
+    circles = fx.table(spark, sf_dir, "part").select((key % 200).alias("image_id"), ((key * 37) % 400).cast("double").alias("x"), ((key % 7) * 60).cast("double").alias("y"))
+    return wires.unclaimed(wires.footprints(circles, 600, 600), fx.boxes(spark, sf_dir))
+
+
+@query()
+def ic_synthesis(spark, sf_dir):
+    key = F.col("p_partkey")
+    circles = fx.table(spark, sf_dir, "part").select((key % 20).alias("image_id"), ((key * 37) % 400).alias("x"), ((key % 7) * 60).alias("y"))
+    ink = _ink(spark, sf_dir)
+    found = wires.footprints(circles, 600, 600)
+    return wires.synthesized(found, circles, ink, wires.wire_nets(ink, _points(spark, sf_dir).withColumnRenamed("point_id", "dot_id")))
+
+
 def _net_points(spark, sf_dir):
     _, epins = _electrical(spark, sf_dir, fx.SPARSE)
     return fx.placed_pins(epins).where(F.col("enet") != GROUND).select(F.col("enet").alias("net"), "x", "y")
