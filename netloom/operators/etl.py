@@ -97,8 +97,10 @@ def label_sanity(labels: DataFrame, n_classes: int, examples: int = 10) -> DataF
     """issue, n, examples (the least lines) of label lines."""
     rows = labels.select(label_issue(F.col("line"), n_classes).alias("issue"), "line").where("issue is not null")
     counts = rows.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("issue").orderBy("line")
-    few = rows.select("issue", "line").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= examples)
+    # the least lines of each of 64 parts first, so that no issue's lines stand in one window
+    part = rows.select("issue", "line").distinct().withColumn("part", F.pmod(F.xxhash64("line"), F.lit(64)))
+    part = part.withColumn("r", F.row_number().over(Window.partitionBy("issue", "part").orderBy("line"))).where(F.col("r") <= examples)
+    few = part.withColumn("r", F.row_number().over(Window.partitionBy("issue").orderBy("line"))).where(F.col("r") <= examples)
     return counts.join(few.groupBy("issue").agg(F.array_sort(F.collect_list("line")).alias("examples")), "issue")
 
 
