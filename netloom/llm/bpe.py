@@ -205,6 +205,7 @@ def digest_texts(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
             text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
 
-    rows = docs.select(docs[id_col], docs[text_col].alias("\0text"))
-    out = _over_texts(rows, tokenizer_json, "\0text", "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
-    return out.drop("\0text")
+    text = f"text of {id_col}"
+    rows = docs.select(docs[id_col], docs[text_col].alias(text))
+    out = _over_texts(rows, tokenizer_json, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+    return out.drop(text)

@@ -191,7 +191,7 @@ def main_text(page: str) -> str:
         threshold = min(threshold, density[at])
     whole = [False] * n
     for i in range(body, n):
-        if not out[i] and chars[i] and density[i] >= threshold and (i == body or i > body):
+        if not out[i] and chars[i] and density[i] >= threshold:
             whole[best[i]] = True
     for i in range(1, n):
         whole[i] |= whole[parent[i]]

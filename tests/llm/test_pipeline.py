@@ -85,6 +85,12 @@ def test_leaks_and_encoding(spark, kept, library):  # noqa: F811
         assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
 
 
+def test_a_leak_without_an_id_takes_no_other_along(spark, kept):
+    item = table(spark, SF, "benchmark").first().text
+    docs = spark.createDataFrame([(None, item, "en", "a", 1), (None, "nothing of the kind", "en", "a", 1), (5, "a " + item, None, None, None), (5, "clean", None, None, None)], kept[0].schema)
+    assert sorted(r.text for r in corpus_pipeline.leaks(spark, docs, SF).collect()) == ["clean", "nothing of the kind"]
+
+
 def test_run_gives_the_last_stage(spark, kept):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, kept[-1].collect()))
 
