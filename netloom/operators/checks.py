@@ -145,3 +145,13 @@ def crossover_junction(hops: DataFrame, dots: DataFrame, inset: int = 3, slack:
     with_dot = around.join(at, close, "left_semi").select("image_id", "box_id").distinct()
     phony = joints.join(with_dot, ["image_id", "box_id"], "left_anti").select(F.lit("PHONY_JUNCTION").alias("code"), "image_id", "box_id")
     return inside.unionByName(phony)
+
+
+def net_summary(pins: DataFrame, net: str = "net") -> DataFrame:
+    """One row: nets, largest, islands (one pin), small (five pins at most), on_net (pins with a net), pins."""
+    per = pins.groupBy(net).agg(F.count(F.lit(1)).alias("n"))
+    live = F.when(F.col(net).isNotNull(), F.col("n"))
+    return per.agg(
+        F.count(net).alias("nets"), F.max(live).alias("largest"), F.sum((live == 1).cast("bigint")).alias("islands"), F.sum((live <= 5).cast("bigint")).alias("small"),
+        F.coalesce(F.sum(live), F.lit(0)).alias("on_net"), F.coalesce(F.sum("n"), F.lit(0)).alias("pins"),
+    )

@@ -148,3 +148,8 @@ def moves(images: DataFrame, current: str, wanted: str) -> DataFrame:
 def publishable(files: DataFrame, most_bytes: int = 14 * 2**30) -> DataFrame:
     """One row: n, bytes, ok of the files of a dataset that is to be published."""
     return files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).withColumn("ok", F.col("bytes") <= most_bytes)
+
+
+def used_classes(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """class_id, name of the classes of the dimension names that any label uses."""
+    return names.join(labels.select(F.col("cls").alias("class_id")).distinct(), "class_id", "left_semi")

@@ -79,3 +79,30 @@ def stub_pins(bins: DataFrame, least: int = 4) -> DataFrame:
     runs = profile_runs(bins, ["det_id", "side"], "place", "weight", 3, least)
     enough = runs.groupBy("det_id").count().where("count >= 2").select(F.col("det_id").alias("_det"))
     return runs.join(enough, runs["det_id"] == enough["_det"], "left_semi")
+
+
+def snapped_pins(comps: DataFrame, templates: DataFrame, edges: DataFrame, axes: DataFrame, off: float = 20.0) -> DataFrame:
+    """comp_id, role, x, y, source of the pins of two-terminal parts: where their axis leaves the box if it lies more than `off` degrees off both sides'
+    directions, else on the places where both facing sides have wire, else by the template.
+
+    comps: comp_id, x0, y0, x1, y1; templates: comp_id, role, x, y; edges: comp_id, edge, place; axes: comp_id, degrees (null: no axis).
+    """
+    place = lambda e: F.max(F.when(F.col("edge") == e, F.col("place"))).alias(e)
+    sides = edges.groupBy("comp_id").agg(*[place(e) for e in ("left", "right", "top", "bottom")])
+    rows = templates.join(comps.select("comp_id", "x0", "y0", "x1", "y1"), "comp_id").join(sides, "comp_id", "left").join(axes.select("comp_id", "degrees"), "comp_id", "left")
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    tilt = F.pmod(F.col("degrees"), F.lit(90.0))
+    slanted = F.col("degrees").isNotNull() & (F.least(tilt, 90 - tilt) > off)
+    first = F.col("role") == "p0"
+    exits = axis_exits(F.col("degrees"), *box)
+    exit_ = F.when(first, F.get(exits, F.lit(0))).otherwise(F.get(exits, F.lit(1)))
+    point = lambda x, y, source: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(source).alias("source"))
+    lying = F.col("left").isNotNull() & F.col("right").isNotNull()
+    standing = F.col("top").isNotNull() & F.col("bottom").isNotNull()
+    at = (
+        F.when(slanted, point(exit_["x"], exit_["y"], "axis"))
+        .when(lying, point(F.when(first, F.col("x0")).otherwise(F.col("x1")), F.when(first, F.col("left")).otherwise(F.col("right")), "edge"))
+        .when(standing, point(F.when(first, F.col("top")).otherwise(F.col("bottom")), F.when(first, F.col("y0")).otherwise(F.col("y1")), "edge"))
+        .otherwise(point(F.col("x"), F.col("y"), "template"))
+    )
+    return rows.select("comp_id", "role", at.alias("p")).select("comp_id", "role", "p.x", "p.y", "p.source")

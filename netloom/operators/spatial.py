@@ -114,3 +114,18 @@ def proposal_merge(first: DataFrame, more: DataFrame, threshold: float = 0.3) ->
 
     out = F.aggregate(F.coalesce("more", none), F.coalesce("held", none), step)
     return both.select("image_id", F.explode(out).alias("k")).select("image_id", "k.*")
+
+
+def first_per_cell(points: DataFrame, order: list[str], grid: int = 8) -> DataFrame:
+    """The first point, by order, of each grid cell of a picture (image_id, x, y)."""
+    gx, gy = F.floor(F.col("x") / grid), F.floor(F.col("y") / grid)
+    first = points.groupBy("image_id", gx.alias("gx"), gy.alias("gy")).agg(F.min(F.struct(*order, *[c for c in points.columns if c not in order])).alias("f"))
+    return first.select(*[f"f.{c}" for c in points.columns])
+
+
+def points_near_points(points: DataFrame, others: DataFrame, radius: int, near: bool = True) -> DataFrame:
+    """Points (image_id, x, y) within radius, as the crow flies, of another table's point of their picture, or near=False: of none."""
+    wide = near_cells(others.select(F.col("image_id").alias("oi"), F.col("x").alias("ox"), F.col("y").alias("oy")), F.col("ox") - radius, F.col("oy") - radius, F.col("ox") + radius, F.col("oy") + radius, radius)
+    on = (points["image_id"] == wide["oi"]) & (F.floor(points["x"] / radius) == wide["cx"]) & (F.floor(points["y"] / radius) == wide["cy"])
+    on &= (points["x"] - wide["ox"]) * (points["x"] - wide["ox"]) + (points["y"] - wide["oy"]) * (points["y"] - wide["oy"]) <= radius * radius
+    return points.join(wide, on, "left_semi" if near else "left_anti")

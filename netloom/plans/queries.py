@@ -147,6 +147,11 @@ def verdict_summary(spark, sf_dir):
     return checks.verdicts(flags, ["two_terminal", "rail_shorts", "orphans"])
 
 
+@query(_with(SPARSE) + "SELECT (SELECT count(*) FROM fan) AS nets, (SELECT max(fanout) FROM fan) AS largest, (SELECT count(*) FROM fan WHERE fanout = 1) AS islands, (SELECT count(*) FROM fan WHERE fanout <= 5) AS small, (SELECT count(net) FROM pins) AS on_net, (SELECT count(*) FROM pins) AS pins")
+def net_summary(spark, sf_dir):
+    return checks.net_summary(fx.circuit(spark, sf_dir, fx.SPARSE)[1])
+
+
 # ---- motifs ----
 
 
@@ -313,6 +318,24 @@ def point_in_box_anti(spark, sf_dir):
     return spatial.points_near_boxes(fx.dots(spark, sf_dir).withColumnRenamed("dot_id", "point_id"), fx.boxes(spark, sf_dir).where("det_id % 9 = 0"), 4, near=False)
 
 
+@query(_with(fx.DOTS_SQL) + "SELECT image_id, dot_id, x, y FROM dots a WHERE dot_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM dots b WHERE b.dot_id % 2 = 1 AND b.image_id = a.image_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400)")
+def points_away_from_dots(spark, sf_dir):
+    dots = fx.dots(spark, sf_dir)
+    return spatial.points_near_points(dots.where("dot_id % 2 = 0"), dots.where("dot_id % 2 = 1"), 20, near=False).select("image_id", "dot_id", "x", "y")
+
+
+@query(_with(fx.DOTS_SQL) + "SELECT image_id, dot_id, x, y FROM dots QUALIFY row_number() OVER (PARTITION BY image_id, x // 32, y // 32 ORDER BY dot_id) = 1")
+def first_per_cell(spark, sf_dir):
+    return spatial.first_per_cell(fx.dots(spark, sf_dir).select("image_id", "dot_id", "x", "y"), ["dot_id"], 32)
+
+
+@query("SELECT DISTINCT p_size AS class_id, CAST(p_size AS VARCHAR) AS name FROM part WHERE p_size <= 30")
+def used_classes(spark, sf_dir):
+    sizes = fx.table(spark, sf_dir, "part").select(F.col("p_size").alias("cls"))
+    names = spark.range(1, 31).select(F.col("id").cast("int").alias("class_id"), F.col("id").cast("string").alias("name"))
+    return etl.used_classes(sizes, names)
+
+
 @query(_with(fx.BOXES_SQL, fx.DOTS_SQL) + "SELECT image_id, dot_id AS point_id, b.det_id AS target_id, abs(x - x0) + abs(y - y0) AS dist FROM dots JOIN boxes b USING (image_id) WHERE abs(x - x0) + abs(y - y0) <= 40 QUALIFY row_number() OVER (PARTITION BY image_id, dot_id ORDER BY abs(x - x0) + abs(y - y0), b.det_id) = 1")
 def nearest_pin(spark, sf_dir):
     targets = fx.boxes(spark, sf_dir).select("image_id", F.col("det_id").alias("target_id"), F.col("x0").alias("x"), F.col("y0").alias("y"))

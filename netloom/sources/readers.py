@@ -112,3 +112,10 @@ def progress(spark: SparkSession, path: str) -> DataFrame:
     last = Window.partitionBy("_file").orderBy(F.desc("e"))
     rows = rows.select("_file", epoch.alias("e"), score.alias("s")).where("e is not null").withColumn("r", F.row_number().over(last)).where("r = 1")
     return rows.select(F.col("_file").alias("file"), F.col("e").cast("bigint").alias("epochs"), F.col("s").alias("map5095"))
+
+
+def structure(spark: SparkSession, path: str) -> DataFrame:
+    """kind (image, label, archive, other), n, bytes of the files below a folder."""
+    ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    kind = F.when(ending.isin(*IMAGE_ENDINGS), "image").when(ending == ".txt", "label").when(ending.isin(".zip", ".tar", ".gz"), "archive").otherwise("other")
+    return _files(spark, path).select("path", "length").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
