@@ -125,6 +125,11 @@ def _runs(flags: np.ndarray) -> list[list[int]]:
 
 
 def _segment_rows(texts: DataFrame, window: int) -> DataFrame:
+    """uid, starts, n, at, bucket, content: a row for each distinct segment of a piece of a text, with all its starts there.
+
+    Text that repeats itself at a short distance has a segment for each repetition, but few distinct ones.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -133,9 +138,11 @@ def _segment_rows(texts: DataFrame, window: int) -> DataFrame:
                     continue
                 for first, count, at, bucket in segments(raw, window):
                     hashes = np.fromiter((xxhash.xxh64_intdigest(raw[a:z]) for a, z in zip(first.tolist(), (first + count + window - 1).tolist())), np.uint64, len(first))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), uid)), pa.array(first), pa.array(count.astype(np.int32)), pa.array((at - first).astype(np.int32)), pa.array(bucket), pa.array(hashes.view(np.int64))], ["uid", "start", "n", "at", "bucket", "content"])
+                    content, one, which, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                    starts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]).astype(np.int32)), pa.array(first[np.argsort(which, kind="stable")]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), uid)), starts, pa.array(count[one].astype(np.int32)), pa.array((at - first)[one].astype(np.int32)), pa.array(bucket[one]), pa.array(content.view(np.int64))], ["uid", "starts", "n", "at", "bucket", "content"])
 
-    return map_arrow(texts, run, "uid bigint, start bigint, n int, at int, bucket bigint, content bigint")
+    return map_arrow(texts, run, "uid bigint, starts array<bigint>, n int, at int, bucket bigint, content bigint")
 
 
 def _with_bytes(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -197,9 +204,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].alias("id"), text_of(docs[text_col]).cast("binary").alias("text")), "texts")
     bare = texts.select("uid", "text")
     every = _segment_rows(bare, window)
-    twice = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("bucket").alias("again"))
+    # counted first and written, so that adaptive execution can split a very common bucket in the join of two tables
+    twice = every.groupBy("bucket").agg(F.sum(F.size("starts")).alias("m")).where("m > 1").select(F.col("bucket").alias("again"))
+    twice = materialize(twice, "buckets")
     some = materialize(every.join(twice, every["bucket"] == twice["again"], "left_semi"), "segments")
-    contents = some.groupBy("bucket", "at", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "start", "n")).alias("one"))
+    contents = some.groupBy("bucket", "at", "content").agg(F.sum(F.size("starts")).alias("copies"), F.min(F.struct("uid", F.get("starts", F.lit(0)).alias("start"), "n")).alias("one"))
     contents = materialize(contents, "contents")
     mixed = contents.groupBy("bucket").agg(F.count(F.lit(1)).alias("different")).where("different > 1").withColumnRenamed("bucket", "of")
     wanted = contents.join(mixed, contents["bucket"] == mixed["of"]).select("one.*", "at", "bucket", "content", "different")
@@ -224,7 +233,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeated = materialize(whole.withColumnsRenamed({"bucket": "b", "at": "a", "content": "c"}), "repeated")
     drop_table(strings)
     places = some.join(repeated, (some["bucket"] == repeated["b"]) & (some["at"] == repeated["a"]) & (some["content"] == repeated["c"]))
-    places = places.select("uid", F.transform("runs", lambda r: F.array(F.col("start") + r[0], F.col("start") + r[1] + window)).alias("gone"))
+    spans = F.transform("starts", lambda s: F.transform("runs", lambda r: F.array(s + r[0], s + r[1] + window)))
+    places = places.select("uid", F.flatten(spans).alias("gone"))
     gone = places.groupBy("uid").agg(F.flatten(F.collect_list("gone")).alias("gone")).withColumnRenamed("uid", "of")
     joined = texts.hint("merge").join(gone, texts["uid"] == gone["of"], "left").select("id", "text", "gone")
 
