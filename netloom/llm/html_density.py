@@ -39,9 +39,9 @@ IMPLIED = {
 NOISE_TAGS = frozenset("head script style noscript template nav header footer aside form button select textarea input label fieldset iframe object embed svg math canvas audio video map dialog menu title xmp noembed noframes search".split())
 #: Words of class, id or role that name noise.
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus "
-    "footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion promotions recommendations recommended "
-    "register related replies respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tagcloud teaser toolbar widget widgets".split()
+    "ad ads adsbygoogle adsense adv advert adverts advertisement advertising alert banner banners bottombar breadcrumb breadcrumbs colophon comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer "
+    "disqus dropdown footer gdpr header hidden login mainnav masthead megamenu menu menus modal nav navbar navigation newsletter notice notices notification outbrain pagefooter pageheader pager pagination paywall popup promo promoted promotion promotions "
+    "recommendations recommended register related replies respond search share sharing sidebar sidebars sidenav signup skyscraper social sponsor sponsored sponsors subnav subscribe subscription taboola tagcloud teaser toolbar topbar topnav widget widgets".split()
 )
 #: Names of elements that hold reader comments, even where these are articles.
 _COMMENT_NAMES = frozenset("comment comments comment-list commentlist comment-section comments-section comments-area comment-thread disqus disqus_thread replies respond reader-comments user-comments".split())

@@ -379,6 +379,7 @@ P = LONG.strip()
         (f"<body><div class='menu'><a href=x>a</a></div><div id=content><h2>Title</h2><p>{LONG}<p>{LONG}<div class='comments'><p>{LONG}</div></div><div class=sidebar><p>{LONG}{LONG}</div>", f"Title\n{P}\n{P}"),
         (f"<div><header>Site</header><div class='cookie-notice'>{LONG}</div><article><p>{LONG}</p><ul><li>one</li><li>two<li>three</ul></article><section class=comments><article><p>{LONG}</article></section>", f"{P}\none\ntwo\nthree"),
         (f"<nav>{LONG}</nav><form>{LONG}</form><footer>{LONG}</footer><main><p>{LONG}</main><aside>{LONG}</aside><!-- {LONG} -->", P),
+        (f"<body class='single comments-open'><div id=page><div class='site-header'><h2>Site</h2></div><div class=post><h1>Title</h1><p class=byline>By A. Writer<p>{LONG}<ins class=adsbygoogle>{LONG}</ins><p>{LONG}</div><ol class=comment-list><li>{LONG}</ol><div class='widget-area'>{LONG}</div><form>{LONG}</form></div>", f"Title\nBy A. Writer\n{P}\n{P}"),
         ("<p>cut off by the end <a hre", "cut off by the end"), ("<p " + "a=1 " * 5000 + ">deep" + "<div>" * 3000 + "x", "deep\nx"),
     ],
 )
