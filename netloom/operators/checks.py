@@ -16,6 +16,12 @@ def net_fanout(pins: DataFrame, net: str = "net") -> DataFrame:
     return pins.where(F.col(net).isNotNull()).groupBy(net).agg(F.count(F.lit(1)).alias("fanout"))
 
 
+def lonely_pins(pins: DataFrame, net: str = "net") -> DataFrame:
+    """Pins without a net or alone on theirs. Dangling pins keep out of the join, where their nulls would meet in one task."""
+    lone = net_fanout(pins, net).where("fanout = 1").select(net)
+    return pins.where(F.col(net).isNull()).unionByName(pins.where(F.col(net).isNotNull()).join(lone, net, "left_semi").select(*pins.columns))
+
+
 def ground_nets(comps: DataFrame, pins: DataFrame) -> DataFrame:
     """net: the distinct raw nets that a ground symbol's pin is on."""
     grounds = comps.where(is_in("cls", GROUND1)).select("comp_id")
@@ -28,7 +34,7 @@ def electrical_nets(comps: DataFrame, pins: DataFrame) -> DataFrame:
     The ground nets are few for a picture but not for a corpus, so the join isn't forced; adaptive execution broadcasts them if they are small.
     """
     grounds = ground_nets(comps, pins).select(F.col("net").alias("ground_net"))
-    joined = pins.join(grounds, pins["net"] == grounds["ground_net"], "left")
+    joined = pins.where("net is not null").join(grounds, F.col("net") == F.col("ground_net"), "left").unionByName(pins.where("net is null").withColumn("ground_net", F.lit(None).cast("bigint")))
     return joined.withColumn("enet", F.when(F.col("ground_net").isNotNull(), F.lit(GROUND).cast("bigint")).otherwise(F.col("net"))).drop("ground_net")
 
 
@@ -82,11 +88,10 @@ def role_contract(comps: DataFrame, pins: DataFrame) -> DataFrame:
 def sources_floating(comps: DataFrame, pins: DataFrame) -> DataFrame:
     """comp_id, cls, code of sources, rails, ports and integrated circuits: NO_PINS, or FLOATING if a pin dangles or is alone on its net."""
     of = comps.where(is_in("cls", SOURCE_LIKE + ICS)).select("comp_id", "cls")
-    fan = net_fanout(pins)
-    bad = F.sum((F.col("net").isNull() | (F.coalesce(F.col("fanout"), F.lit(0)) < 2)).cast("bigint"))
-    seen = pins.join(fan, "net", "left").groupBy("comp_id").agg(bad.alias("bad"))
-    rows = of.join(seen, "comp_id", "left")
-    return rows.select("comp_id", "cls", F.when(F.col("bad").isNull(), "NO_PINS").when(F.col("bad") > 0, "FLOATING").alias("code")).where("code is not null")
+    bad = lonely_pins(pins).select("comp_id").distinct().withColumn("floats", F.lit(True))
+    seen = pins.select("comp_id").distinct().withColumn("has_pins", F.lit(True))
+    rows = of.join(seen, "comp_id", "left").join(bad, "comp_id", "left")
+    return rows.select("comp_id", "cls", F.when(F.col("has_pins").isNull(), "NO_PINS").when(F.col("floats"), "FLOATING").alias("code")).where("code is not null")
 
 
 def ground_collapse(comps: DataFrame, pins: DataFrame) -> DataFrame:
@@ -98,9 +103,7 @@ def ground_collapse(comps: DataFrame, pins: DataFrame) -> DataFrame:
 
 def islands_dangling(pins: DataFrame) -> DataFrame:
     """kind (island, dangling), pin_id: pins alone on their net, and pins without one."""
-    fan = net_fanout(pins).where("fanout = 1").select("net")
-    islands = pins.join(fan, "net", "left_semi").select(F.lit("island").alias("kind"), "pin_id")
-    return islands.unionByName(pins.where("net is null").select(F.lit("dangling").alias("kind"), "pin_id"))
+    return lonely_pins(pins).select(F.when(F.col("net").isNull(), "dangling").otherwise("island").alias("kind"), "pin_id")
 
 
 def rail_shorts(comps: DataFrame, pins: DataFrame) -> DataFrame:
