@@ -201,6 +201,11 @@ def test_token_counts_match_the_library(docs, odd, texts, library):
     assert token_counts.count_tokens(odd.limit(0), word_bpe()).count() == 0
 
 
+def test_capitals_make_no_added_token(library):
+    texts = ["A <|ENDOFTEXT|> B", "A <|endoftext|> B", "THE The the", "É È the THE"]
+    assert token_counts.word_counts(library, texts, {}, ["<|startoftext|>", "<|endoftext|>"]) == [len(encoded(library, x)) for x in texts]
+
+
 @pytest.mark.parametrize("text", ["word " * 900, "x" * 3000, "a b" + "y" * 1500 + " c d e f" * 200, "é" * 700 + "\n" + "ß ä" * 400, "'s 't " * 500])
 def test_splicing_widens_until_it_fits(library, text):
     assert token_counts.spliced_ids(lambda x: library.encode(x, add_special_tokens=False), text, 200, 16) == encoded(library, text)
