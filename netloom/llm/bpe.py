@@ -121,7 +121,10 @@ class WordBPE:
         return tuple(out)
 
     def _plain(self, text: str, out: list[int]) -> None:
+        """Add the ids of a text without added tokens."""
         cache = self.cache
+        if text.isascii():
+            text = text.lower()  # as each word would be; fewer words are new to the cache
         for chunk in _WORDS.findall(text) if _ODD_SPACE.search(text) else text.split():
             if (ids := cache.get(chunk)) is None:
                 if len(cache) >= CACHE_WORDS:
