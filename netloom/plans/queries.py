@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 def _electrical(spark: SparkSession, sf_dir: str, modulus: int) -> tuple[DataFrame, DataFrame]:
     comps, pins = fx.circuit(spark, sf_dir, modulus)
-    return comps, checks.electrical_nets(comps, pins)
+    return comps, *fx.stored(spark, ("electrical", sf_dir, modulus), lambda: (checks.electrical_nets(comps, pins),))
 
 
 def _with(*ctes: str) -> str:
@@ -157,7 +157,7 @@ def net_summary(spark, sf_dir):
 
 @query(_with(SPARSE) + "SELECT pin_id, enet FROM epins")
 def electrical_nets(spark, sf_dir):
-    return _electrical(spark, sf_dir, fx.SPARSE)[1].select("pin_id", "enet")
+    return checks.electrical_nets(*fx.circuit(spark, sf_dir, fx.SPARSE)).select("pin_id", "enet")
 
 
 def _ends_sql(family: list[str], name: str) -> str:
