@@ -122,3 +122,11 @@ def test_a_large_group_of_near_copies_keeps_one(spark):
         texts.append(" ".join(copy))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(80))) for i in range(50)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, *range(1000, 1050)]
+
+
+def test_the_driver_finds_everything():
+    import __spark_entry__ as driver
+
+    names = driver.queries()
+    assert "pipeline" in names and all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 11))
+    assert set(driver.oracle_sql()) <= set(names)
