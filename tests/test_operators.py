@@ -159,3 +159,10 @@ def test_sanitized_names(spark):
     names = {" Op-Amp / x ": "op_amp_x", "": "unknown", "__": "unknown", "a.b": "a.b", "É": "unknown"}
     df = spark.createDataFrame([(k,) for k in names], "n string")
     assert {r[0]: r[1] for r in df.select("n", tx.sanitized(F.col("n"))).collect()} == names
+
+
+def test_the_driver_finds_the_library(spark):
+    import __spark_entry__ as driver
+
+    assert driver.entry(spark).columns == ["comp_id", "cls", "code"]
+    assert set(driver.oracle_sql()) <= set(driver.queries())
