@@ -124,13 +124,28 @@ def _runs(flags: np.ndarray) -> list[list[int]]:
     return np.stack([edge[::2], edge[1::2] - 1], axis=1).tolist()
 
 
+def _in_batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], weigh, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches from chunks of columns, each of some `most` by weigh(chunk): batches of single rows would cost more than their contents."""
+    held: list[list[pa.Array]] = [[] for _ in names]
+    weight = 0
+    for chunk in rows:
+        for column, x, kind in zip(held, chunk, types):
+            column.append(x if isinstance(x, pa.Array) else pa.array(x, kind))
+        weight += weigh(chunk)
+        if weight >= most:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in held], names)
+            held, weight = [[] for _ in names], 0
+    if held[0]:
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in held], names)
+
+
 def _segment_rows(texts: DataFrame, window: int) -> DataFrame:
     """uid, starts, n, at, bucket, content: a row for each distinct segment of a piece of a text, with all its starts there.
 
     Text that repeats itself at a short distance has a segment for each repetition, but few distinct ones.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = text.as_buffer().to_pybytes()
@@ -140,8 +155,11 @@ def _segment_rows(texts: DataFrame, window: int) -> DataFrame:
                     hashes = np.fromiter((xxhash.xxh64_intdigest(raw[a:z]) for a, z in zip(first.tolist(), (first + count + window - 1).tolist())), np.uint64, len(first))
                     content, one, which, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
                     starts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]).astype(np.int32)), pa.array(first[np.argsort(which, kind="stable")]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), uid)), starts, pa.array(count[one].astype(np.int32)), pa.array((at - first)[one].astype(np.int32)), pa.array(bucket[one]), pa.array(content.view(np.int64))], ["uid", "starts", "n", "at", "bucket", "content"])
+                    yield np.full(len(one), uid), starts, count[one].astype(np.int32), (at - first)[one].astype(np.int32), bucket[one], content.view(np.int64)
 
+    names = ["uid", "starts", "n", "at", "bucket", "content"]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    run = lambda batches: _in_batches(found(batches), names, types, lambda x: 64 * len(x[0]))
     return map_arrow(texts, run, "uid bigint, starts array<bigint>, n int, at int, bucket bigint, content bigint")
 
 
@@ -150,13 +168,15 @@ def _with_bytes(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     grouped = wanted.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "at", "bucket", "content")).alias("wanted")).withColumnRenamed("uid", "of")
     joined = texts.hint("merge").join(grouped, texts["uid"] == grouped["of"]).select("text", "wanted")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for text, rows in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw = text.as_buffer().to_pybytes()
                 cut = [raw[r["start"] : r["start"] + r["n"] + window - 1] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in rows], pa.int64()), pa.array([r["at"] for r in rows], pa.int32()), pa.array([r["content"] for r in rows], pa.int64()), pa.array(cut, pa.binary())], ["bucket", "at", "content", "bytes"])
+                yield [r["bucket"] for r in rows], [r["at"] for r in rows], [r["content"] for r in rows], cut
 
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    run = lambda batches: _in_batches(found(batches), ["bucket", "at", "content", "bytes"], types, lambda x: 400 * len(x[0]))
     return map_arrow(joined, run, "bucket bigint, at int, content bigint, bytes binary")
 
 
@@ -238,7 +258,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = places.groupBy("uid").agg(F.flatten(F.collect_list("gone")).alias("gone")).withColumnRenamed("uid", "of")
     joined = texts.hint("merge").join(gone, texts["uid"] == gone["of"], "left").select("id", "text", "gone")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = batch.column(1)[i].as_py()
@@ -249,8 +269,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     else:
                         spans.append([a, z])
                 edges = [0, *(x for span in spans for x in span), len(raw)]
-                kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([x], pa.int64()) for x in (len(raw), len(raw) - len(kept), len(spans))], pa.array([kept], pa.binary()), pa.array([hashlib.sha256(kept).hexdigest()], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                rest = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
+                yield batch.column(0).slice(i, 1), [len(raw)], [len(raw) - len(rest)], [len(spans)], [rest], [hashlib.sha256(rest).hexdigest()]
 
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    types = [None, *[pa.int64()] * 3, pa.binary(), pa.string()]
+    cut = lambda batches: _in_batches(kept(batches), names, types, lambda x: 100 + len(x[4][0]))
     kind = docs.schema[id_col].dataType.simpleString()
     return map_arrow(joined, cut, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string").withColumnRenamed("id", id_col)
