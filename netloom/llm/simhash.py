@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import star_labels
@@ -28,24 +28,30 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 DISTANCE = 3
 
 
-def fingerprint(text: str, shingle_words: int = 3) -> int:
-    """The 64-bit SimHash of the XXH64 hashes (seed 42) of a text's word shingles, repeats included; 0 without words.
+def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
+    """The XXH64 hashes (seed 42) of a text's word shingles, in order, repeats included; none without words.
 
     Only A-Z are lower-cased; words are split at ASCII white space; a text of fewer words is one shingle.
     """
     words = text.encode().lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle_words:
+    if words and len(words) < shingle_words:
         words = [b" ".join(words)]
     elif shingle_words > 1:
         words = list(map(b" ".join, zip(*(words[i:] for i in range(shingle_words)))))
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(words), 65_536):  # bounded memory for texts of any length
-        part = words[at : at + 65_536]
-        hashes = np.fromiter((digest(x, 42) for x in part), np.uint64, len(part))
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(words), bitorder="little").view(np.int64)[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(x, 42) for x in words), np.uint64, len(words))
+
+
+def _simhash(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):  # bounded memory for texts of any length
+        counts += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str, shingle_words: int = 3) -> int:
+    """The 64-bit SimHash of a text's shingle_hashes; 0 without words."""
+    return _simhash(shingle_hashes(text, shingle_words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -124,27 +130,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _grouped(prints, distinct, links(distinct).select(F.col("b").alias("u"), F.col("a").alias("v")), id_col)
 
 
-def _grouped(prints: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    """id_col, fingerprint, component_id of prints (id, fp), whose distinct fp (fp, least) are linked by edges (u, v)."""
-    linked = materialize(star_labels(edges), "labels")
-    rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _grouped(prints: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str, node: str = "fp") -> DataFrame:
+    """id_col, fingerprint, component_id of prints (id, fp, node), whose distinct nodes (node, least) are linked by edges (u, v)."""
+    linked = materialize(star_labels(edges), "labels").withColumnRenamed("node", "linked")
+    rooted = distinct.join(linked, distinct[node] == linked["linked"], "left").select(node, "least", F.coalesce("root", node).alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = rooted.join(smallest, "root").select("fp", "component_id")
-    out = prints.join(component, "fp")
+    component = rooted.join(smallest, "root").select(node, "component_id")
+    out = prints.join(component, node)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-
-def word_fingerprint(text: str) -> int:
-    """The SimHash of a text's distinct words, A-Z lower-cased, by XXH64 of another seed than that of shingles; 0 without words."""
-    words = set(text.encode().lower().split())
-    if not words:
-        return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, 43) for x in words), np.uint64, len(words))
-    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(words), bitorder="little").view(np.int64)[0])
-
-
 def jaccard(a: str, b: str, shingle_words: int) -> float:
     """Shared part of two texts' sets of word shingles; a text of fewer words is one shingle."""
     def grams(text: str) -> set:
@@ -155,61 +150,116 @@ def jaccard(a: str, b: str, shingle_words: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def _similar(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
-    """u, v: distinct fingerprints whose texts share `similarity` of their shingles or more, each with centres of its buckets.
+#: One text of so many is read for common shingles; those found in COMMON_TEXTS of them go last, the COMMON_MOST commonest at most.
+COMMON_SAMPLE, COMMON_TEXTS, COMMON_MOST = 16, 3, 1 << 18
 
-    Changed words move many bits of a shingle fingerprint, few of one of distinct words. So these are decoded: every text goes under
-    all pairs of codewords around two of its segments, and meets the bucket's commonest text and that of the least fingerprint. Those that also
-    lie within 18 bits by their shingle fingerprints are compared by their whole texts.
-    """
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common_shingles(texts: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and the rank by which each goes behind rarer ones. They decide what a prefix costs, never what it finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, words, copies = (np.ascontiguousarray(x.to_numpy(zero_copy_only=False)) for x in batch.columns)
-            order = copies << 40 | (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).view(np.int64)
-            for at in range(0, len(fp), 2_000):
-                keys, rows = lookup_keys(words[at : at + 2_000])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(fp[at : at + 2_000][rows]), pa.array(order[at : at + 2_000][rows])], ["key", "fp", "rank"])
-
-    met = map_arrow(distinct.where("least is not null").select("fp", "words", F.least("copies", F.lit(1 << 22)).alias("copies")), expand, "key int, fp bigint, rank bigint")
-    centres = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("fp", "rank").alias("common"), F.min("fp").alias("first")).where("n > 1").select(F.col("key").alias("at"), "common", "first")
-    pairs = met.join(centres, met["key"] == centres["at"]).select("fp", F.explode(F.array("common", "first")).alias("centre"))
-    pairs = pairs.where((F.col("fp") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= 18))
-    pairs = materialize(pairs.select(F.greatest("fp", "centre").alias("u"), F.least("fp", "centre").alias("v")).distinct(), "pairs")
-    named = distinct.select("fp", "least")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(named, "fp").select("fp", F.col("least").alias("of"))
-    texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).hint("merge").join(wanted, F.col("id") == F.col("of")).groupBy("fp").agg(F.max("text").alias("text"))
-    texts = materialize(texts, "texts")
-    both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("y")), "v")
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle_words)).view(np.int64))], ["token"])
+
+    some = texts.where(F.pmod("text_hash", F.lit(COMMON_SAMPLE)) == 0).groupBy("text_hash").agg(F.max("text").alias("text"))
+    counts = map_arrow(some.select("text"), run, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_TEXTS)
+    found = counts.orderBy(F.desc("n"), "token").limit(COMMON_MOST).toArrow()
+    token, n = (x.to_numpy().astype(np.int64) for x in found.columns)
+    order = np.argsort(token.view(np.uint64))
+    return token.view(np.uint64)[order], n[order]
+
+
+def shingle_prefix(tokens: np.ndarray, common: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Of distinct hashes, rare ones first, as many as two sets of this similarity can't both spend on what they don't share."""
+    rank = np.zeros(len(tokens), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        rank = np.where(common[at] == tokens, n[at], 0)
+    least = int(np.ceil(similarity * len(tokens) - 1e-9))
+    return tokens[np.lexsort((tokens, rank))][: len(tokens) - least + 1]
+
+
+def _may(similarity: float, a: str, b: str) -> Column:
+    """Whether sets a and b can be similar if the shingle at these positions is the first that they share."""
+    sizes, left = [F.col(f"{x}.size") for x in (a, b)], [F.col(f"{x}.size") - F.col(f"{x}.pos") for x in (a, b)]
+    return (F.least(*sizes) >= similarity * F.greatest(*sizes) - 1e-6) & (F.least(*left) >= similarity / (1 + similarity) * (sizes[0] + sizes[1]) - 1e-6)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts share `similarity` of their shingles or more."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct.select("node", F.col("text_hash").alias("of")), "node")
+    found = texts.hint("merge").join(wanted, F.col("text_hash") == F.col("of")).groupBy("node").agg(F.max("text").alias("text"))
+    found = materialize(found, "texts")
+    both = pairs.join(found.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(found.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = pa.array([jaccard(x, y, shingle_words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
 
-    return map_arrow(both.select("u", "v", "x", "y"), compare, "u bigint, v bigint")
+    return materialize(map_arrow(both.select("u", "v", "x", "y"), compare, "u bigint, v bigint"), "similar")
+
+
+def _similar(texts: DataFrame, distinct: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """u, v: links between nodes, whose components are those of all pairs that share `similarity` of their shingles or more.
+
+    Prefix filtering: in one order of all shingles, two such sets share one among the first of each, at places that leave room for the rest. So texts meet
+    by these. First each is compared with one text of each shingle, which joins large groups at the cost of their texts; then all pairs
+    that share a shingle, can be similar and aren't yet in one component.
+    """
+    rows = distinct.where("size > 0").select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+    centres = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "pos")).alias("c")).where("n > 1").select(F.col("token").alias("at"), "c")
+    shared = rows.join(centres, F.col("token") == F.col("at")).select("token", F.struct("node", "size", "pos").alias("m"), "c")
+    shared = materialize(shared, "shared")
+    pair = lambda a, b: (F.greatest(f"{a}.node", f"{b}.node").alias("u"), F.least(f"{a}.node", f"{b}.node").alias("v"))
+    tried = materialize(shared.where((F.col("m.node") != F.col("c.node")) & _may(similarity, "m", "c")).select(*pair("m", "c")).distinct(), "tried")
+    linked = _verified(tried, texts, distinct, shingle_words, similarity)
+    roots = materialize(star_labels(linked), "roots")
+    rooted = shared.join(roots, F.col("m.node") == F.col("node"), "left").select("token", "m", F.coalesce("root", "m.node").alias("root"))
+    parts = materialize(rooted.groupBy("token", "root").agg(F.collect_list("m").alias("members")), "parts")
+    others = parts.select(F.col("token").alias("token2"), F.col("root").alias("root2"), F.col("members").alias("members2"))
+    met = parts.join(others, (F.col("token") == F.col("token2")) & (F.col("root") < F.col("root2")))
+    met = met.select(F.explode("members").alias("m"), "members2").select("m", F.explode("members2").alias("c")).where(_may(similarity, "m", "c"))
+    rest = materialize(met.select(*pair("m", "c")).distinct().join(tried, ["u", "v"], "left_anti"), "rest")
+    return linked.unionByName(_verified(rest, texts, distinct, shingle_words, similarity))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id_col, fingerprint, component_id of every row, as near_duplicates, linked also where texts share `similarity` of their shingles.
 
-    Links of at most 3 differing bits are complete. Those by similarity hold exactly where they are made, with the centres of a text's buckets, so that a group of
-    any size costs in proportion to its texts; whether a pair meets a centre in common is a matter of chance, which grows with its similarity.
-    Rows without words are linked with each other. Other cases are as in near_duplicates.
+    Both kinds of links are complete: every pair of at most 3 differing bits and every pair of that similarity is in one component.
+    Texts of the same shingles are one node. Rows without words are linked with each other. Other cases are as in near_duplicates.
     """
+    texts = docs.select(text_of(docs[text_col]).alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
+    common, n_texts = _common_shingles(texts, shingle_words)
+    held = docs.sparkSession.sparkContext.broadcast((common, n_texts))  # at most COMMON_MOST pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x, shingle_words) for x in texts], pa.int64()), pa.array(map(word_fingerprint, texts), pa.int64())], ["id", "fp", "words"])
-
-    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
-    prints = materialize(map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint, words bigint"), "fingerprints")
+            fp, node, size, prefix = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_hashes(text, shingle_words)
+                tokens = np.unique(hashes)
+                fp.append(_simhash(hashes))
+                node.append(xxhash.xxh64_intdigest(tokens.tobytes(), 44) - (1 << 63))
+                size.append(len(tokens))
+                prefix.append(shingle_prefix(tokens, *held.value, similarity).view(np.int64))
+            ends = np.cumsum([0, *map(len, prefix)])
+            prefixes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int32()), prefixes], ["id", "text_hash", "fp", "node", "size", "prefix"])
+
+    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).select("id", F.xxhash64("text").alias("text_hash"), "text")
+    prints = materialize(map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, fp bigint, node bigint, size int, prefix array<bigint>"), "fingerprints")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("words").alias("words"))
-    distinct = materialize(distinct.repartition(n, "fp"), "distinct")
-    linked = links(distinct).select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(_similar(docs, distinct, id_col, text_col, shingle_words, similarity))
-    return _grouped(prints, distinct, linked, id_col)
+    distinct = prints.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.first("prefix").alias("prefix"))
+    distinct = materialize(distinct.repartition(n, "node"), "distinct")
+    # fingerprints link nodes through one node of each
+    by_print = materialize(prints.groupBy("fp").agg(F.min("node").alias("node")).repartition(n, "fp"), "prints")
+    close = links(by_print.select("fp")).join(by_print.select(F.col("fp").alias("a"), F.col("node").alias("v")), "a").join(by_print.select(F.col("fp").alias("b"), F.col("node").alias("u")), "b").select("u", "v")
+    same = prints.select("fp", F.col("node").alias("u")).distinct().join(by_print.select("fp", F.col("node").alias("v")), "fp").where("u <> v").select("u", "v")
+    linked = close.unionByName(same).unionByName(_similar(texts, distinct, shingle_words, similarity))
+    return _grouped(prints.select("id", "fp", "node"), distinct.select("node", "least"), linked, id_col, "node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -124,6 +124,53 @@ def test_a_large_group_of_near_copies_keeps_one(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, *range(1000, 1050)]
 
 
+def test_similar_texts_far_apart_by_fingerprint_are_linked(spark):
+    import random
+
+    rng = random.Random(5)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    line = " and so the same line again goes on"
+    a, b = base, base + line * 100
+    assert simhash.jaccard(a, b, 5) >= 0.8 and (brute_fingerprint(a, 5) ^ brute_fingerprint(b, 5)).bit_count() > 18
+    docs = spark.createDataFrame([(1, a), (2, b), (3, line)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("common_texts", [2, 10**6])
+def test_similar_groups_are_the_components_of_all_pairs(spark, monkeypatch, common_texts):
+    import random
+
+    monkeypatch.setattr(simhash, "COMMON_SAMPLE", 1)
+    monkeypatch.setattr(simhash, "COMMON_TEXTS", common_texts)
+    rng, texts = random.Random(9), []
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(30)]  # a passage in most texts
+    for _ in range(6):
+        base = shared + [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((20, 60, 150)))]
+        for _ in range(20):  # a walk: neighbours are about as similar as the bound, its ends are not
+            base = list(base)
+            for _ in range(rng.randrange(1, 3)):
+                base[rng.randrange(len(base))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(base))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [grams(t) for t in texts]
+    prints = [brute_fingerprint(t, 5) for t in texts]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 3:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    want = {i: find(i) for i in range(len(texts))}
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == want and 6 < len(set(want.values())) < len(texts)
+
+
 def test_the_driver_finds_everything():
     import __spark_entry__ as driver
 
