@@ -856,7 +856,7 @@ def wire_fragments(spark, sf_dir):
 @query()
 def maze_rescue(spark, sf_dir):
     starts = fx.dots(spark, sf_dir).select("image_id", F.col("dot_id").alias("point_id"), "x", "y", F.array(F.lit(1).cast("bigint")).alias("banned"))
-    return raster.routes(raster.fragments(fx.pixels(spark, sf_dir), 4), starts.where("x < 120 and y < 120"), window=60)
+    return raster.routes(raster.fragments(fx.pixels(spark, sf_dir), 4), starts)
 
 
 @query()

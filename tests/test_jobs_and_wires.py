@@ -123,3 +123,13 @@ def test_issue_stream(spark, tmp_path):
     query.awaitTermination(120)
     want = rows(issue_counts(frame, 3), "start", "issue")
     assert rows(spark.table("issues"), "start", "issue") == want and [x[1:] for x in want] == [("columns", 1), ("ok", 1), ("ok", 1)]
+
+
+def test_maze_rescue_takes_every_dot_and_the_window_of_production(spark, monkeypatch):
+    from netloom.plans import fixtures as fx
+    from netloom.plans.queries import QUERIES
+
+    sf, seen = "/root/testdata/sf0.01", []
+    monkeypatch.setattr(raster, "routes", lambda targets, starts, **bounds: seen.append((starts.count(), bounds)))
+    QUERIES["maze_rescue"](spark, sf)
+    assert seen == [(fx.dots(spark, sf).count(), {})]
