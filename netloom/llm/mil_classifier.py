@@ -142,7 +142,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, gate: in
             chosen = order[at : at + batch]
             sizes = [len(bags[i]) for i in chosen]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            found = model.gradients(np.concatenate([bags[i] for i in chosen]), starts, y[chosen], weight[chosen])
+            found = model.gradients(np.concatenate([bags[i] for i in chosen]).astype(np.float32), starts, y[chosen], weight[chosen])
             step += 1
             for k, g in found.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -158,10 +158,10 @@ def sample_labels(labels: DataFrame, label_col: str, id_col: str, folds: int, he
     return rows.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(per_class).unionByName(rows.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(per_class))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, per_class: int = 2_000, passages: int = 64) -> Model | None:
-    """A model learnt from a sample of at most per_class labelled documents of each class, and of each at most `passages` passages, evenly spaced.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, per_class: int = 2_000) -> Model | None:
+    """A model learnt from every passage of a sample of at most per_class labelled documents of each class.
 
-    Both bounds concern training alone. None if there are no labelled documents of both classes.
+    The bound concerns training alone. None if there are no labelled documents of both classes.
     """
     sample = sample_labels(labels, label_col, id_col, folds, held_out, per_class)
     texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
@@ -169,12 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(2).to_pylist():
-                x = encode_passages(text)
-                if len(x) > passages:
-                    x = x[np.linspace(0, len(x) - 1, passages).astype(int)]
-                found.append(x.astype(np.float16).tobytes())
+            found = [encode_passages(text).astype(np.float16).tobytes() for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "label", "x"])
 
     rows = map_arrow(chosen, run, f"id {chosen.schema['id'].dataType.simpleString()}, label int, x binary").collect()
@@ -182,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([r["label"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    return train([np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows], y)
+    return train([np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH) for r in rows], y)
 
 
 def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1, keep: bool = False) -> DataFrame:

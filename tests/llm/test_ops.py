@@ -272,6 +272,16 @@ def test_classifier_on_odd_rows(spark, odd):
     assert mil_classifier.classify(odd, model, keep=True).columns == [*odd.columns, "score"]
 
 
+def test_classifier_learns_from_all_passages(spark, monkeypatch):
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate([9_000, 50, 7_050, 120, 6_500, 6_401, 300, 8_000])}
+    seen = []
+    monkeypatch.setattr(mil_classifier, "train", lambda bags, y: seen.extend(bags))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    mil_classifier.fit(docs, spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int"), held_out=-1)
+    want = [mil_classifier.encode_passages(x).astype(np.float16) for x in texts.values()]
+    assert sorted(x.tobytes() for x in seen) == sorted(x.tobytes() for x in want)
+
+
 # ---- op5 ----
 
 
