@@ -226,9 +226,9 @@ def _similar(texts: DataFrame, distinct: DataFrame, shingle_words: int, similari
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id_col, fingerprint, component_id of every row, as near_duplicates, linked also where texts share `similarity` of their shingles.
+    """id_col, fingerprint, component_id of every row, as near_duplicates, but linked where texts share `similarity` of their shingles.
 
-    Both kinds of links are complete: every pair of at most 3 differing bits and every pair of that similarity is in one component.
+    Every pair of that similarity is in one component, and no other is linked, however near its fingerprints.
     Texts of the same shingles are one node. Rows without words are linked with each other. Other cases are as in near_duplicates.
     """
     texts = docs.select(text_of(docs[text_col]).alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
@@ -254,11 +254,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = prints.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.first("prefix").alias("prefix"))
     distinct = materialize(distinct.repartition(n, "node"), "distinct")
-    # fingerprints link nodes through one node of each
-    by_print = materialize(prints.groupBy("fp").agg(F.min("node").alias("node")).repartition(n, "fp"), "prints")
-    close = links(by_print.select("fp")).join(by_print.select(F.col("fp").alias("a"), F.col("node").alias("v")), "a").join(by_print.select(F.col("fp").alias("b"), F.col("node").alias("u")), "b").select("u", "v")
-    same = prints.select("fp", F.col("node").alias("u")).distinct().join(by_print.select("fp", F.col("node").alias("v")), "fp").where("u <> v").select("u", "v")
-    linked = close.unionByName(same).unionByName(_similar(texts, distinct, shingle_words, similarity))
+    linked = _similar(texts, distinct, shingle_words, similarity)
     return _grouped(prints.select("id", "fp", "node"), distinct.select("node", "least"), linked, id_col, "node")
 
 
