@@ -402,6 +402,149 @@ def test_main_text(page, text):
     assert html_density.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", ['<a href="x ' * 90_000, "<div>" * 100_000 + "x", "<p><table><tr><td>" + "<span><div>" * 40_000, "<iframe>" * 50_000, "<" * 1_000_000, "<td>" * 50_000 + "</div>" * 50_000, '<div a="' * 50_000 + ">", "<b>" * 50_000 + "<p>" * 50_000])
+def test_main_text_in_linear_time(page):
+    import time
+
+    took = []
+    for part in (page[: len(page) // 4], page):
+        began = time.process_time()
+        html_density.main_text(part)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def brute_main_text(page: str) -> str:
+    """The formula, its sums and the threshold by recursion over a well-formed page without marks (div, p, ul, li, b, a)."""
+    import xml.etree.ElementTree as ET
+    from math import e, log
+
+    body = ET.fromstring(page)
+    inline = ("a", "b")
+
+    def figures(x, linked=False):
+        """[characters, link characters, tags, link tags] inside x."""
+        linked |= x.tag == "a"
+        out = [len("".join((x.text or "").split())), 0, 0, 0]
+        out[1] = linked * out[0]
+        for y in x:
+            tail = len("".join((y.tail or "").split()))
+            out = [p + q for p, q in zip(out, figures(y, linked))]
+            out = [out[0] + tail, out[1] + linked * tail, out[2] + 1, out[3] + (linked or y.tag == "a")]
+        return out
+
+    def own(x):
+        """The same of the run of text of x: without its blocks."""
+        bare = ET.Element(x.tag)
+        bare.text = x.text
+
+        def copy(source, target):
+            for y in source:
+                if y.tag in inline:
+                    z = ET.SubElement(target, y.tag)
+                    z.text, z.tail = y.text, y.tail
+                    copy(y, z)
+                elif y.tail:
+                    ET.SubElement(target, "tail").text = y.tail
+
+        copy(x, bare)
+        got = figures(bare)
+        tails = len(bare.findall(".//tail"))
+        return [got[0], got[1], got[2] - tails, got[3] - len(bare.findall(".//a//tail"))]
+
+    _, link_chars, _, _ = figures(body)
+    share = link_chars / (figures(body)[0] or 1)
+
+    def formula(c, lc, t, lt):
+        if not c:
+            return 0.0
+        return c / (t or 1) * log(max(1.0, c / (lc or 1) * (t or 1) / (lt or 1))) / log(1 + log(c / (c - lc or 1) * lc + share * c + e))
+
+    def blocks(x):
+        return [z for y in x for z in ([y] if y.tag not in inline else blocks(y))]
+
+    dense = {x: formula(*figures(x)) for x in body.iter() if x.tag not in inline}
+    sums = {x: formula(*own(x)) + sum(dense[y] for y in reversed(blocks(x))) for x in dense}
+    below = lambda x: [x, *(z for y in blocks(x) for z in below(y))]
+    depth = {body: 0}
+    for x in below(body):
+        for y in blocks(x):
+            depth[y] = depth[x] + 1
+    parent = {y: x for x in dense for y in blocks(x)}
+
+    def best(x):
+        """Of the largest sums the innermost, then the first."""
+        out = x
+        for y in (best(y) for y in reversed(blocks(x))):
+            if sums[y] >= sums[out]:
+                out = y
+        return out
+
+    top = best(body)
+    path = [top]
+    while path[-1] is not body:
+        path.append(parent[path[-1]])
+    threshold = min(dense[x] for x in (path[:-1] or path))
+    whole = {best(x) for x in below(body) if figures(x)[0] and dense[x] >= threshold and (x is not body or top is not body)}
+    out: list[list[str]] = [[]]
+
+    if top is body and formula(*own(body)) >= threshold:
+        whole.add(("run", body))
+
+    def walk(x, kept):
+        block = x.tag not in inline
+        if x is body and ("run", body) in whole:
+            return walk_run(x)
+        kept |= block and x in whole
+        if block:
+            out.append([])
+        out[-1].append((x.text or "") if kept else "")
+        for y in x:
+            walk(y, kept)
+            out[-1].append((y.tail or "") if kept else "")
+        if block:
+            out.append([])
+
+    def walk_run(x):
+        """The run of text of the body stays, its blocks by themselves."""
+        out[-1].append(x.text or "")
+        for y in x:
+            walk_run(y) if y.tag in inline else walk(y, False)
+            out[-1].append(y.tail or "")
+
+    walk(body, False)
+    return "\n".join(z for z in (" ".join("".join(y).split()) for y in out) if z)
+
+
+def test_main_text_matches_brute_force():
+    rng = random.Random(5)
+
+    def piece(depth: int) -> str:
+        words = " ".join("x" * rng.randint(1, 9) for _ in range(rng.choice([0, 1, 3, 10, 40])))
+        tag = rng.choice(["div", "div", "p", "li", "b", "a", "a"]) if depth else "div"
+        if tag in ("p", "b", "a", "li"):
+            return f"<{tag}>{words}</{tag}>"
+        return f"<{tag}>{words if rng.random() < 0.3 else ''}" + "".join(piece(depth - 1) for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+    texts = 0
+    for _ in range(400):
+        page = "<body>" + rng.choice(["", "some text " * 9]) + "".join(piece(3) for _ in range(rng.randint(1, 6))) + "</body>"
+        want = brute_main_text(page)
+        assert html_density.main_text(page) == want, page
+        texts += 0 < len(want) < len(" ".join(re.sub("<[^>]*>", " ", page).split()))
+    assert texts > 100  # density leaves text out
+
+
+def test_density_decides_without_marks(monkeypatch):
+    pages = [r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    marked = [html_density.main_text(x) for x in pages]
+    monkeypatch.setattr(html_density, "MARKED_TAGS", frozenset())
+    monkeypatch.setattr(html_density, "MARKED_WORDS", frozenset())
+    assert sum(html_density.main_text(x) == y for x, y in zip(pages, marked)) > 0.85 * len(pages)
+    monkeypatch.setattr(html_density, "density", lambda *_: 1.0)
+    assert sum(html_density.main_text(x) != y for x, y in zip(pages, marked)) > 0.85 * len(pages)
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>x", None), (1, None, None, "t")], "page_id long, url string, html string, text string")
     assert sorted(repr(tuple(r)) for r in html_density.extract_main_text(pages).collect()) == sorted(map(repr, [(1, None, "", 0), (None, "u", "x", 1), (1, None, "", 0)]))
