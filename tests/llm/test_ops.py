@@ -606,24 +606,24 @@ def test_columns_against_all_pairs():
 
 
 def brute_lines(rows, least):
-    """Rows of the same id and text are one document."""
+    """Rows of the same id and text are one document. From each line on, the longest run that starts anywhere before, compared line by line."""
     seen = sorted({(i is not None, i or 0, t or "") for i, t in rows})
-    first, runs = {}, collections.defaultdict(list)
-    order = {}
+    runs, order, places = collections.defaultdict(list), {}, collections.defaultdict(list)
     for has, i, t in seen:
         lines = [(k, x) for k, x in ((k, x.strip(" \t\n\x0b\x0c\r")) for k, x in enumerate(t.split("\n"))) if x]
         order[has, i, t] = lines
     for d in seen:
         lines = order[d]
         for a in range(len(lines)):
-            n = 0
-            for b in range(a, min(len(lines), a + least)):
-                n += len(words(lines[b][1]))
-                if n >= least:
-                    content = tuple(x for _, x in lines[a : b + 1])
-                    if first.setdefault(content, (d, a)) != (d, a):
-                        runs[d].append((lines[a][0], lines[b][0]))
-                    break
+            longest = 0
+            for other, b in places[lines[a][1]]:
+                n = 0
+                while a + n < len(lines) and b + n < len(other) and n < 70 and lines[a + n][1] == other[b + n][1]:
+                    n += 1
+                longest = max(longest, n)
+            if sum(len(words(x)) for _, x in lines[a : a + longest]) >= least:
+                runs[d].append((lines[a][0], lines[a + longest - 1][0]))
+            places[lines[a][1]].append((lines, a))
     out = []
     for i, t in rows:
         d = (i is not None, i or 0, t or "")
@@ -640,3 +640,35 @@ def test_lines_match_brute_force(docs, odd, texts, least):
         got = line_dedup.remove_repeated_lines(df, min_words=least).collect()
         assert sorted(repr((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.text)) for r in got) == brute_lines(rows, least)
     assert line_dedup.remove_repeated_lines(odd.limit(0)).count() == 0
+
+
+def test_the_whole_maximal_run_goes(spark):
+    run = [" ".join(f"{c}{i}" for i in range(n)) for c, n in zip("abc", (40, 20, 5))]
+    rows = [(1, "\n".join(["first", *run, "one"])), (2, "\n".join(["second", *run, "", "two"])), (3, "\n".join(run[1:]))]
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame([(*x, "kept", 7) for x in rows], "doc_id long, text string, n_other string, n_runs int")).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [rows[0][1], "second\n\ntwo", rows[2][1]] and [(r.n_removed, r.n_runs, r.n_other) for r in got] == [(0, 0, "kept"), (3, 1, "kept"), (0, 0, "kept")]
+
+
+def test_random_lines_match_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        lines = [f"l{rng.randrange(3)}" + " w" * rng.randrange(3) for _ in range(rng.randrange(60))]
+        if rows and rng.random() < 0.6:  # a passage of another document
+            other = rng.choice(rows)[1].split("\n")
+            a = rng.randrange(len(other))
+            lines[rng.randrange(len(lines) + 1) :] = other[a : a + rng.randrange(60)]
+        rows.append((i, "\n".join(lines)))
+    for least in (5, 50):
+        got = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least).collect()
+        assert sorted(repr((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.text)) for r in got) == brute_lines(rows, least)
+
+
+def test_ranks_are_the_order_of_suffixes(spark):
+    rows = [(i, "\n".join(x)) for i, x in enumerate(["abcabcabc", "bcabd", "abcab", "xyz"])]
+    lines = line_dedup.places(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    held = {r.place: r for r in lines.collect()}
+    for k, level in enumerate(line_dedup.suffix_ranks(lines, 4)):
+        suffix = {r.place: [(held[r.place + j].a, held[r.place + j].b) for j in range(2**k)] for r in level.collect()}
+        ranks = {r.place: r["rank"] for r in level.collect()}
+        assert suffix and all((suffix[p] < suffix[q]) == (ranks[p] < ranks[q]) for p in suffix for q in suffix)
