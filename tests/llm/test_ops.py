@@ -364,8 +364,11 @@ def test_contamination_matches_brute_force(spark, docs, odd, texts):
     odd_items = [(1, "words again. The same"), (2, "The"), (2, None), (3, ""), (None, "a text without an id, which is not much"), (5, "ab ab ab ab ab ab ab ab ab ab ab ab"), (6, "Line 3 of a longer text with some words in it, over and over. Line 4 of")]
     for df, rows, items in ((docs, [(r["doc_id"], r["text"]) for r in texts], [(r["item_id"], r["text"]) for r in bench]), (odd, [r[:2] for r in ODD], odd_items)):
         frame = spark.createDataFrame(items, "item_id long, text string")
-        for rows_at_once in (100_000, 7):
-            got = decontaminate.contamination(df, frame, broadcast_rows=rows_at_once).collect()
+        for small in ("10m", "-1"):  # with tables that the planner broadcasts, and without
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+            got = decontaminate.contamination(df, frame).collect()
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            assert all(r.n_items == len(r["items"]) and r.items_sha256 == hashlib.sha256(",".join(r["items"]).encode()).hexdigest() for r in got)
             assert sorted(repr((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in got) == brute_contamination(rows, items)
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.contaminated for r in decontaminate.contamination(odd, none).collect()} == {False}
