@@ -8,10 +8,13 @@ with weights a that depend on the frequency of the context v (a bucket for each
 maximisation on held-out counts: each training token in turn is deleted from the counts that predict it.
 
 How it runs: texts become blocks of some half a million tokens, a row each, which hold the hashes of the block's words and the tokens
-as numbers of these. Each block sends the counts of its distinct words and word pairs, sorted by hash, cut into shards and
-compressed; a shard adds up the counts of all blocks and sends to each block the totals of what it asked for. So every
+as numbers of these. Each block sends the counts of its distinct words and word pairs, sorted by hash, cut into ranges of the hashes and
+compressed; whoever holds a range adds up the counts of the blocks and sends to each the totals of what it asked for. So every
 count covers the whole corpus, a common word or pair is one entry of a block however often it stands there, and no
-vocabulary is gathered in one place. The tables of blocks and of totals are written to the shared folder.
+vocabulary is gathered in one place. Were each block to send to each range, rows would grow with the square of the corpus. So beyond
+`FAN` blocks the counts go by levels: on each one, up to FAN groups of blocks are added up to one, for at most FAN times narrower ranges, until
+one group is left; the totals come back the same way. A block then has a bounded number of rows on each level, and levels grow with
+the logarithm. The tables of blocks, of levels and of totals are written to the shared folder.
 
 Words and pairs are known by 64-bit hashes; n-grams are words and pairs of words.
 """
@@ -34,6 +37,8 @@ from .common import crc_fold, drop_table, map_arrow, materialize, ship, text_of
 BLOCK_TOKENS = 500_000
 #: Entries that one shard adds up, about.
 SHARD_ENTRIES = 2_000_000
+#: Groups of blocks that are added up at once, and ranges that a group's entries are cut into, at most.
+FAN = 512
 #: Words whose hashes a worker remembers; when full, it starts anew.
 CACHE_WORDS = 500_000
 BUCKETS = 40
@@ -164,41 +169,111 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
-def totals(table: DataFrame, shards: int) -> DataFrame:
-    """block, order, shard, payload: the corpus-wide training counts of the entries of each block; block -1: distinct, total of a shard."""
+def levels(n_blocks: int, n_shards: int) -> tuple[int, int, int]:
+    """Levels, groups of blocks that are added up to one on each, and ranges that entries are cut into on each."""
+    fan = max(2, FAN)
+    count = 1
+    while fan**count < max(n_blocks, n_shards):
+        count += 1
+    root = lambda n: next(x for x in range(1, fan + 1) if x**count >= n)
+    return count, root(n_blocks), root(n_shards)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_NODE = "node bigint, prefix bigint, order int"
+_PIECE = f"{_NODE}, digit bigint, hashes binary, counts binary, to bigint, to_prefix bigint"
+_ANSWER = f"{_NODE}, digit bigint, payload binary, distinct_n bigint, total bigint"
+
+
+def _block_nodes(table: DataFrame) -> DataFrame:
+    """node, prefix, order, hashes, counts: the entries of each block, in the order of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = _block(row)
             for order in (1, 2):
                 found, counts, _ = block.entries(order)
-                shard = (found >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-                which, at = np.unique(shard, return_index=True)
-                cuts = [*at.tolist(), len(found)]
-                data = [(pack(np.diff(found[a:b], prepend=np.uint64(0))), pack(counts[a:b])) for a, b in zip(cuts, cuts[1:])]
-                n = len(which)
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n, pa.int64()), pa.array([order] * n, pa.int32()), pa.array(which.astype(np.int64)), pa.array([x for x, _ in data], pa.binary()), pa.array([x for _, x in data], pa.binary())], ["block", "order", "shard", "hashes", "counts"])
-
-    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in group["hashes"]]
-        counts = np.concatenate([unpack(x, np.uint32) for x in group["counts"]])
-        found, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(inverse, counts, len(found)).astype(np.uint64)
-        cuts = np.cumsum([0, *map(len, hashes)])
-        payload = [pack(total[inverse[a:b]]) for a, b in zip(cuts, cuts[1:])]
-        order, shard = int(key[0]), int(key[1])
-        out = pd.DataFrame({"block": group["block"].to_numpy(), "order": order, "shard": shard, "payload": payload, "distinct_n": 0, "total": 0})
-        own = pd.DataFrame({"block": [-1], "order": [order], "shard": [shard], "payload": [b""], "distinct_n": [int((total > 0).sum())], "total": [int(total.sum())]})
-        return pd.concat([out, own])
-
-    sent = map_arrow(table, send, "block bigint, order int, shard bigint, hashes binary, counts binary")
-    return sent.groupBy("order", "shard").applyInPandas(add, "block bigint, order int, shard bigint, payload binary, distinct_n bigint, total bigint")
+                yield pa.RecordBatch.from_pylist([{"node": row["block"], "prefix": 0, "order": order, "hashes": pack(np.diff(found, prepend=np.uint64(0))), "counts": pack(counts.astype(np.uint64))}], pa.schema([("node", pa.int64()), ("prefix", pa.int64()), ("order", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
+
+    return map_arrow(table.select("block", "sizes", "train", "words", "tokens"), run, f"{_NODE}, hashes binary, counts binary")
+
+
+def _pieces(nodes: DataFrame, level: int, groups: int, ranges: int, rest: int) -> DataFrame:
+    """The entries of each node, cut into ranges of their hashes; to, to_prefix: the node that they are added up in."""
+    shards = ranges ** (level + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            found, counts = np.cumsum(unpack(row["hashes"], np.uint64), dtype=np.uint64), unpack(row["counts"], np.uint64)
+            prefix = _shard(found, shards)
+            which, at = np.unique(prefix, return_index=True)
+            cuts = [*at.tolist(), len(found)]
+            n = len(which)
+            columns = [
+                pa.array([row["node"]] * n, pa.int64()), pa.array([row["prefix"]] * n, pa.int64()), pa.array([row["order"]] * n, pa.int32()), pa.array(which % ranges, pa.int64()),
+                pa.array([pack(np.diff(found[a:b], prepend=np.uint64(0))) for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([pack(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                pa.array([row["node"] % groups**rest] * n, pa.int64()), pa.array(which, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _PIECE.split(", ")])
+
+    return map_arrow(nodes, run, _PIECE)
+
+
+def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """The range, of so many equal ones (below 2^24), of each hash; a range is cut into whole ranges where shards is multiplied."""
+    return ((hashes >> np.uint64(24)) * np.uint64(shards) >> np.uint64(40)).astype(np.int64)
+
+
+def _added(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of the pieces, their total counts, the place of each entry among them, and where each piece's entries begin."""
+    hashes = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in group["hashes"]]
+    found, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.zeros(len(found), np.uint64)
+    np.add.at(total, inverse, np.concatenate([unpack(x, np.uint64) for x in group["counts"]]))
+    return found, total, inverse, np.cumsum([0, *map(len, hashes)])
+
+
+def _answers(group: pd.DataFrame, total: np.ndarray, inverse: np.ndarray, cuts: np.ndarray) -> pd.DataFrame:
+    out = group[["node", "prefix", "order", "digit"]].copy()
+    out["payload"] = [pack(total[inverse[a:b]]) for a, b in zip(cuts, cuts[1:])]
+    out["distinct_n"] = out["total"] = 0
+    return out
+
+
+def totals(nodes: DataFrame, count: int, groups: int, ranges: int, level: int = 0) -> DataFrame:
+    """node, prefix, order, digit, payload: the corpus-wide training counts of the entries of each node; node -1: distinct, total of a range."""
+    pieces = _pieces(nodes, level, groups, ranges, count - 1 - level)
+    if level == count - 1:
+
+        def add(group: pd.DataFrame) -> pd.DataFrame:
+            _, total, inverse, cuts = _added(group)
+            own = pd.DataFrame({"node": [-1], "prefix": [0], "order": group["order"].iloc[:1].to_numpy(), "digit": [0], "payload": [b""], "distinct_n": [int((total > 0).sum())], "total": [int(total.sum())]})
+            return pd.concat([_answers(group, total, inverse, cuts), own])
+
+        return pieces.groupBy("to", "to_prefix", "order").applyInPandas(add, _ANSWER)
+
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        found, total, _, _ = _added(group)
+        return pd.DataFrame({"node": [key[0]], "prefix": [key[1]], "order": [key[2]], "hashes": [pack(np.diff(found, prepend=np.uint64(0)))], "counts": [pack(total)]})
+
+    def give(asked: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return answered[["node", "prefix", "order", "digit", "payload", "distinct_n", "total"]]  # of a range
+        _, _, inverse, cuts = _added(asked)
+        total = np.concatenate([unpack(x, np.uint64) for x in answered.sort_values("digit")["payload"]])
+        return _answers(asked, total, inverse, cuts)
+
+    pieces = materialize(pieces, f"pieces-{level}")
+    merged = pieces.groupBy("to", "to_prefix", "order").applyInPandas(merge, f"{_NODE}, hashes binary, counts binary")
+    merged = materialize(merged, f"merged-{level}")
+    above = materialize(totals(merged, count, groups, ranges, level + 1), f"answers-{level}")
+    drop_table(merged)
+    return pieces.groupBy("to", "to_prefix", "order").cogroup(above.groupBy("node", "prefix", "order")).applyInPandas(give, _ANSWER)
 
 
 def _looked_up(row: dict) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
     """A block, and for each token c(w), c(v), c(v w) in all training texts."""
     block = _block(row)
-    counts = {order: np.concatenate([unpack(x["payload"], np.uint64) for x in sorted((x for x in row["found"] if x["order"] == order), key=lambda x: x["shard"])]).astype(np.float64) for order in (1, 2)}
+    counts = {order: np.concatenate([unpack(x["payload"], np.uint64) for x in sorted((x for x in row["found"] if x["order"] == order), key=lambda x: x["digit"])]).astype(np.float64) for order in (1, 2)}
     found, _, inverse = block.entries(1)
     own = counts[1][inverse]
     at = np.searchsorted(found, np.uint64(END))
@@ -252,10 +327,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     ship(spark)
     table = materialize(blocks(docs, id_col, text_col, folds, held_out), "blocks")
-    n = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = materialize(totals(table, max(1, -(-n // SHARD_ENTRIES))), "totals")
-    distinct, tokens = found.where("block = -1 and order = 1").agg(F.coalesce(F.sum("distinct_n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    answers = found.where("block <> -1").groupBy("block").agg(F.collect_list(F.struct("order", "shard", "payload")).alias("found")).withColumnRenamed("block", "asked")
+    n, n_blocks = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    found = materialize(totals(_block_nodes(table), *levels(n_blocks, max(1, -(-n // SHARD_ENTRIES)))), "totals")
+    distinct, tokens = found.where("node = -1 and order = 1").agg(F.coalesce(F.sum("distinct_n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    answers = found.where("node <> -1").groupBy("node").agg(F.collect_list(F.struct("order", "digit", "payload")).alias("found")).withColumnRenamed("node", "asked")
     joined = materialize(table.join(answers, table["block"] == answers["asked"]).drop("asked", "block", "n"), "looked-up")
     drop_table(found)
     drop_table(table)

@@ -331,7 +331,51 @@ def test_interpolated_probabilities(spark):
 def test_shards_and_blocks_of_any_size_agree(docs, monkeypatch):
     want = sorted((r.doc_id, round(r.base_score, 6), round(r.score, 6)) for r in interpolated_lm.score_texts(docs).collect())
     monkeypatch.setattr(interpolated_lm, "SHARD_ENTRIES", 3_000)
-    assert sorted((r.doc_id, round(r.base_score, 6), round(r.score, 6)) for r in interpolated_lm.score_texts(docs).collect()) == want
+    monkeypatch.setattr(interpolated_lm, "BLOCK_TOKENS", 1_500)
+    for fan in (512, 4):
+        monkeypatch.setattr(interpolated_lm, "FAN", fan)
+        assert sorted((r.doc_id, round(r.base_score, 6), round(r.score, 6)) for r in interpolated_lm.score_texts(docs).collect()) == want
+
+
+def test_rows_of_the_levels_follow_the_input(docs, monkeypatch):
+    assert [interpolated_lm.levels(*x) for x in ((1, 1), (288, 72), (512, 3), (513, 129), (600_000, 150_000))] == [(1, 1, 1), (1, 288, 72), (1, 512, 3), (2, 23, 12), (3, 85, 54)]
+    monkeypatch.setattr(interpolated_lm, "BLOCK_TOKENS", 1_500)
+    monkeypatch.setattr(interpolated_lm, "FAN", 4)
+    sent = []
+    for part in (docs.where("doc_id % 4 = 0"), docs):
+        table = interpolated_lm.materialize(interpolated_lm.blocks(part, "doc_id", "text", 7, 2), "blocks")
+        n_blocks = table.count()
+        count, groups, ranges = interpolated_lm.levels(n_blocks, n_blocks // 2 + 1)
+        found = interpolated_lm.totals(interpolated_lm._block_nodes(table), count, groups, ranges)
+        sent.append((n_blocks, found.where("node <> -1").count()))
+        assert sent[-1][1] <= 2 * n_blocks * 4
+    assert sent[1][0] > 2 * sent[0][0] > 8
+
+
+def test_mixture_weights_match_brute_force():
+    """Expectation-maximisation token by token, without arrays."""
+    rng = np.random.default_rng(2)
+    r = interpolated_lm.RATIOS
+    cells = np.unique(rng.integers(0, 6, 200) * r * r + rng.integers(0, 60, 200) * r + rng.integers(1, 60, 200))
+    counts = rng.integers(1, 50, len(cells)).astype(float)
+    value = lambda c: math.exp((c - 33) / interpolated_lm.STEPS) if c else 0.0
+    rows = [(int(c) // r**2, (1.0, value(int(c) % r), value(int(c) // r % r)), n) for c, n in zip(cells, counts)]
+
+    def estimate(rows, a, rounds, prior):
+        for _ in range(rounds):
+            sums = list(prior)
+            for _, p, n in rows:
+                total = sum(x * y for x, y in zip(a, p))
+                for i in range(3):
+                    sums[i] += n * a[i] * p[i] / total
+            a = [x / sum(sums) for x in sums]
+        return a
+
+    shared = estimate(rows, [0.1, 0.5, 0.4], 100, [0, 0, 0])
+    got = interpolated_lm.learn_weights(cells, counts)
+    for b in range(1, 6):
+        want = estimate([x for x in rows if x[0] == b], shared, 100, [10 * x for x in shared])
+        assert got[b] == pytest.approx(want, abs=2e-5)
 
 
 # ---- op6 ----
