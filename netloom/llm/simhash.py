@@ -1,11 +1,11 @@
 """SimHash near-dedup by Golay-code fuzzy hashing.
 
 A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, each read as a 23-bit word of the Golay code. If two
-fingerprints differ in three bits at most, two of the three segments differ in one bit at most each (pigeonhole). So for each
-of the three pairs of segments a fingerprint is stored once, under the indices of the two nearest codewords, and looked up
-under every pair of codewords within distance 4 of its segments (up to 36, on average 28): whatever lies within one bit in
-both segments meets. The join verifies the true distance, and takes each linked pair once, at the first pair of segments
-that fulfils the bound. Only distinct fingerprints take part, so that exact copies of any number cost nothing.
+fingerprints differ in three bits at most, then (pigeonhole) either one segment is equal and another differs in one bit at most, or all three differ
+in one bit each. So a fingerprint is stored under seven keys: for each choice of two segments in order, the first one itself and the index of the
+codeword nearest to the second (33 or 34 bits); and the indices of the three nearest codewords (36 bits). It is looked up under every codeword
+within distance 4 of a segment (up to 6, on average 5.3): whatever lies within one bit meets. The join verifies the true distance, and takes each linked pair once, at the first key
+that fulfils its condition. Only distinct fingerprints take part, so that exact copies of any number cost nothing. Unrelated fingerprints meet once in 2^33 pairs.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from ..operators.components import star_labels
 from . import golay
 from .common import map_arrow, materialize, text_of
 
-#: Segments as (shift, bits), and the pairs of them that make a key.
+#: Segments as (shift, bits), and the choices of an equal and a near segment that make a key.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+CHOICES = tuple((i, j) for i in range(3) for j in range(3) if i != j)
 DISTANCE = 3
 
 
@@ -71,22 +71,29 @@ def _segments(fp: np.ndarray) -> list[np.ndarray]:
 
 
 def stored_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, position in fp): one key for each pair of segments."""
-    near = [golay.nearest(x) for x in _segments(fp)]
-    keys = np.concatenate([t << 24 | near[i] << 12 | near[j] for t, (i, j) in enumerate(PAIRS)])
-    return keys, np.tile(np.arange(len(fp)), len(PAIRS))
+    """(key, position in fp): a key for each choice of segments, and one for all three."""
+    parts = _segments(fp)
+    near = [golay.nearest(x).astype(np.int64) for x in parts]
+    keys = [t << 40 | parts[i] << 12 | near[j] for t, (i, j) in enumerate(CHOICES)]
+    keys.append(len(CHOICES) << 40 | near[0] << 24 | near[1] << 12 | near[2])
+    return np.concatenate(keys), np.tile(np.arange(len(fp)), len(keys))
 
 
 def lookup_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, position in fp): for each pair of segments, every pair of codewords within distance 4."""
-    around = [golay.around(x) for x in _segments(fp)]
+    """(key, position in fp): the same with every codeword within distance 4."""
+    parts = _segments(fp)
+    around = [golay.around(x).astype(np.int64) for x in parts]
     keys, rows = [], []
-    for t, (i, j) in enumerate(PAIRS):
-        a, b = around[i][:, :, None], around[j][:, None, :]
-        every = np.where((a >= 0) & (b >= 0), t << 24 | a << 12 | b, -1).reshape(len(fp), 36)
-        at, column = np.nonzero(every >= 0)
-        keys.append(every[at, column])
+
+    def add(every: np.ndarray, there: np.ndarray) -> None:
+        at, *rest = np.nonzero(there)
+        keys.append(every[(at, *rest)])
         rows.append(at)
+
+    for t, (i, j) in enumerate(CHOICES):
+        add(t << 40 | parts[i][:, None] << 12 | around[j], around[j] >= 0)
+    a, b, c = around[0][:, :, None, None], around[1][:, None, :, None], around[2][:, None, None, :]
+    add(len(CHOICES) << 40 | a << 24 | b << 12 | c, (a >= 0) & (b >= 0) & (c >= 0))
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -97,9 +104,9 @@ def _keyed(distinct: DataFrame, make, name: str) -> DataFrame:
             for at in range(0, len(whole), 2_000):
                 fp = whole[at : at + 2_000]
                 keys, rows = make(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(fp[rows])], ["key", name])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], ["key", name])
 
-    return map_arrow(distinct.select("fp"), run, f"key int, {name} bigint")
+    return map_arrow(distinct.select("fp"), run, f"key bigint, {name} bigint")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -108,12 +115,15 @@ def links(distinct: DataFrame) -> DataFrame:
     for shift, bits in SEGMENTS:
         mask = (1 << bits) - 1
         errors.append(F.bit_count(F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), shift).bitwiseAND(F.lit(mask).cast("bigint"))))
-    fits = [(errors[i] <= 1) & (errors[j] <= 1) for i, j in PAIRS]
-    table = F.shiftright(F.col("s.key"), 24)
-    first = ((table == 0) & fits[0]) | ((table == 1) & fits[1] & ~fits[0]) | ((table == 2) & fits[2] & ~fits[0] & ~fits[1])
+    at, before = F.shiftright(F.col("s.key"), 40), F.lit(False)
+    first = (at == len(CHOICES)) & (errors[0] == 1) & (errors[1] == 1) & (errors[2] == 1)
+    for t, (i, j) in enumerate(CHOICES):
+        fits = (errors[i] == 0) & (errors[j] <= 1)
+        first = first | ((at == t) & fits & ~before)
+        before = before | fits
     stored, lookup = _keyed(distinct, stored_keys, "a").alias("s"), _keyed(distinct, lookup_keys, "b").alias("l")
     met = (F.col("s.key") == F.col("l.key")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE) & first
-    return stored.hint("shuffle_hash").join(lookup, met).select("a", "b")
+    return stored.join(lookup, met).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -225,12 +235,8 @@ def _similar(texts: DataFrame, distinct: DataFrame, shingle_words: int, similari
     return linked.unionByName(_verified(rest, texts, distinct, shingle_words, similarity))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id_col, fingerprint, component_id of every row, as near_duplicates, but linked where texts share `similarity` of their shingles.
-
-    Every pair of that similarity is in one component, and no other is linked, however near its fingerprints.
-    Texts of the same shingles are one node. Rows without words are linked with each other. Other cases are as in near_duplicates.
-    """
+def _similar_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """id, text_hash, fp, node of every row, the distinct nodes, and links between them."""
     texts = docs.select(text_of(docs[text_col]).alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
     common, n_texts = _common_shingles(texts, shingle_words)
     held = docs.sparkSession.sparkContext.broadcast((common, n_texts))  # at most COMMON_MOST pairs of numbers
@@ -254,17 +260,48 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = prints.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.first("prefix").alias("prefix"))
     distinct = materialize(distinct.repartition(n, "node"), "distinct")
-    linked = _similar(texts, distinct, shingle_words, similarity)
-    return _grouped(prints.select("id", "fp", "node"), distinct.select("node", "least"), linked, id_col, "node")
+    return prints.select("id", "text_hash", "fp", "node"), distinct.select("node", "least"), _similar(texts, distinct, shingle_words, similarity)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id_col, fingerprint, component_id of every row, as near_duplicates, but linked where texts share `similarity` of their shingles.
+
+    Every pair of that similarity is in one component, and no other is linked, however near its fingerprints.
+    Texts of the same shingles are one node. Rows without words are linked with each other. Other cases are as in near_duplicates.
+    """
+    prints, distinct, linked = _similar_nodes(docs, id_col, text_col, shingle_words, similarity)
+    return _grouped(prints, distinct, linked, id_col, "node")
+
+
+def _least(rows: DataFrame, names: list[str], key: list[str]) -> DataFrame:
+    """The least row of each key, by its columns in order; columns of kinds that have no order count by their text."""
+    ordered = [F.col(x).cast("string") if any(y in rows.schema[x].dataType.simpleString() for y in ("map<", "variant", "interval")) else F.col(x) for x in names]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*names), F.struct(*ordered)).alias("r")).select("r.*")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group of similar_groups the row of the smallest id.
+    """docs without near copies: of each group of similar texts (see similar_groups) one row.
 
-    Of several rows of one id the least stays, by its columns in order (which must be of types that can be compared). Rows whose id is null stay, as
-    nothing tells which of them is the smallest. Other columns are kept, whatever their names.
+    It is that of the smallest id, then text hash; null ids come last, so that such a row stays only where its group has no other. Of repeated rows of one
+    id and text the least stays, by its columns in order. Rows of one id with different texts are documents of their own. Other columns are kept,
+    whatever their names and kinds.
     """
-    found = similar_groups(docs, id_col, text_col, shingle_words, similarity).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
-    stays = docs.join(found, docs[id_col] == found["kept_id"], "left_semi")
-    least = stays.groupBy(stays[id_col].alias("the id")).agg(F.min(F.struct(*[stays[x] for x in docs.columns])).alias("r")).select("r.*")
-    return least.unionByName(docs.where(docs[id_col].isNull()))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc, text = (f"c{names.index(x)}" for x in (id_col, text_col))
+    prints, distinct, linked = _similar_nodes(plain, doc, text, shingle_words, similarity)
+    roots = materialize(star_labels(linked), "labels").withColumnRenamed("node", "linked")
+    rooted = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", F.coalesce("root", "node").alias("root"))
+    rows = prints.groupBy("node", "id", "text_hash").agg(F.count(F.lit(1)).alias("n")).join(rooted, "node")
+    rows = materialize(rows.select("id", "text_hash", "n", "root"), "rooted")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
+    first = first.select("root", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    # what goes, and what stands more than once, are few rows as a rule: written first, so that the planner knows their size
+    special = rows.join(first, "root").where(~stays | (F.col("n") > 1))
+    special = materialize(special.select(F.col("id").alias("of"), F.col("text_hash").alias("of_hash"), stays.alias("stays")), "copies")
+    hashed = plain.withColumn("h", F.xxhash64(text_of(F.col(text))))
+    same = hashed[doc].eqNullSafe(special["of"]) & (F.col("h") == F.col("of_hash"))
+    whole = hashed.join(special, same, "left_anti")
+    repeated = hashed.join(special.where("stays"), same, "left_semi")
+    return whole.select(plain.columns).unionByName(_least(repeated, plain.columns, [doc, "h"])).toDF(*names)

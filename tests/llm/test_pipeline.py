@@ -101,10 +101,18 @@ def test_similar_groups_on_odd_rows(spark):
     assert len(got) == len(ODD)
     of = {r.doc_id: r.component_id for r in got}
     assert of[1] == of[2] == of[3] == 1 and of[4] == of[5] == 4 and of[7] == 7
-    assert sorted((r.doc_id for r in simhash.keep_one(odd).collect()), key=str) == [1, 4, 6, 7, 8, 9, None, None]
+    assert sorted((r.doc_id for r in simhash.keep_one(odd).collect()), key=str) == [1, 4, 6, 7, 8, 9, None]  # the empty text without an id is a copy of 1
     assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def test_ids_of_several_texts_and_of_none(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(1, a, {"k": 1}), (1, b, {"k": 2}), (2, a + " more", {"k": 3}), (None, b + " more", {"k": 4}), (None, c, {"k": 5}), (None, c + " more", None), (1, a, {"k": 6})]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, h map<string,int>"))
+    kept = sorted((r.doc_id is None, r.text[0], r.h["k"] if r.h else None) for r in got.collect())
+    assert got.columns == ["doc_id", "text", "h"] and [x[:2] for x in kept] == [(False, "a"), (False, "b"), (True, "c")] and kept[0][2] == 1
+
+
 def test_stages_take_empty_tables(spark, kept):
     for (_, stage), df in zip(corpus_pipeline.STAGES, kept):
         assert stage(spark, df.limit(0), SF).count() == 0
