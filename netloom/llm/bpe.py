@@ -56,7 +56,7 @@ class WordBPE:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.hint = next(iter(self.added))[:2] if self.added else None
+        self.hints = sorted({x[:2] for x in self.added})  # no added token is in a text that holds none of these
         self.tokens = [""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for token, i in [*vocab.items(), *self.added.items()]:
             self.tokens[i] = token
@@ -137,7 +137,7 @@ class WordBPE:
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text; the strings of added tokens in it are those tokens, as by the library's default."""
         out: list[int] = []
-        if self.hint is not None and self.hint in text:
+        if any(x in text for x in self.hints):
             for i, part in enumerate(self.split_added.split(text)):
                 if i % 2:
                     out.append(self.added[part])
@@ -183,9 +183,11 @@ def _over_texts(docs: DataFrame, tokenizer_json: str, text_col: str, added: str,
 def encode_texts(docs: DataFrame, tokenizer_json: str, text_col: str = "text") -> DataFrame:
     """docs with ids array<int>, the tokens of text_col, and decoded string, the text of those ids.
 
-    A null text counts as empty: no ids, an empty decoded text. Other columns and repeated rows are kept as they are; their names
-    must be distinct and not be ids or decoded. An empty table gives an empty one.
+    A null text counts as empty: no ids, an empty decoded text. Other columns and repeated rows are kept as they are, but for columns
+    named ids or decoded, which the new ones replace. An empty table gives an empty one.
     """
+    docs = docs.drop(*[x for x in ("ids", "decoded") if x != text_col])
+
     def make(bpe: WordBPE, texts: list[str]) -> list[pa.Array]:
         ids = [bpe.encode(x) for x in texts]
         return [pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())]

@@ -52,7 +52,7 @@ class _Buckets(dict):
         if len(self) >= CACHE_WORDS:
             self.clear()
         h = zlib.crc32(word.lower())
-        shape = zlib.crc32(_RUN.sub(rb"\1", word.translate(_KIND))[:12]) % SHAPE_BUCKETS
+        shape = zlib.crc32(_RUN.sub(rb"\1", word.translate(_KIND))) % SHAPE_BUCKETS
         found = (h >> 8) % WORD_BUCKETS << 16 | (h & 1) << 8 | shape
         if len(word) <= 64:
             self[word] = found
@@ -161,11 +161,13 @@ def sample_labels(labels: DataFrame, label_col: str, id_col: str, folds: int, he
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, per_class: int = 2_000) -> Model | None:
     """A model learnt from every passage of a sample of at most per_class labelled documents of each class.
 
-    The bound concerns training alone. None if there are no labelled documents of both classes.
+    The bound concerns training alone; of several rows of one id that of the least text hash is taken. None if there are no labelled documents of both classes.
     """
     sample = sample_labels(labels, label_col, id_col, folds, held_out, per_class)
     texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
-    chosen = texts.join(F.broadcast(sample), "id").select("id", "label", "text")  # at most 2 * per_class rows of two numbers
+    chosen = texts.join(F.broadcast(sample), "id")  # at most 2 * per_class rows of two numbers
+    # of the rows of one id one, so that as many rows come to the driver at most
+    chosen = chosen.groupBy("id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +186,7 @@ def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """id_col, held_out, score, predicted of every row, from the passages of its whole text; keep: all columns of docs, and score.
 
     Null texts count as empty and are scored as a document of one empty passage. Without a model every score is 0.5. Repeated rows
-    and null ids give rows of their own. Other columns aren't read unless kept; then none of them may be named score.
+    and null ids give rows of their own. Other columns aren't read unless kept; then one named score is replaced by the new one.
     """
     weights = docs.sparkSession.sparkContext.broadcast(model.weights if model else None)  # some 30 kB
 
@@ -199,7 +201,7 @@ def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 scores += held.score(np.concatenate(bags), starts).tolist() if held else [0.5] * len(bags)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [str(i) for i in range(batch.num_columns)])
 
-    names = docs.columns if keep else [id_col]
+    names = [x for x in docs.columns if x != "score" or x in (id_col, text_col)] if keep else [id_col]
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     place = {x: f"c{i}" for i, x in enumerate(docs.columns)}
     rows = plain.select(*[plain[place[x]] for x in names], text_of(plain[place[text_col]]).alias("whole_text"))

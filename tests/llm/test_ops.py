@@ -201,6 +201,37 @@ def test_token_counts_match_the_library(docs, odd, texts, library):
     assert token_counts.count_tokens(odd.limit(0), word_bpe()).count() == 0
 
 
+def test_definitions_whose_tokens_cross_white_space(docs, odd, texts):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    spec = json.loads(definition)
+    assert [token_counts.way_of(x) for x in (json.loads(word_bpe()), spec, spec | {"normalizer": {"type": "NFKC"}}, spec | {"pre_tokenizer": None})] == ["words", "spaced", "whole", "whole"]
+    other = Tokenizer.from_str(definition)
+    for df, rows in ((docs, [(r["doc_id"], r["text"]) for r in texts]), (odd, [r[:2] for r in ODD])):
+        got = token_counts.count_tokens(df, definition, chunk_chars=600, overlap=32).collect()
+        assert sorted(repr((r.doc_id, r.n_tokens)) for r in got) == sorted(repr((i, len(encoded(other, t)))) for i, t in rows)
+    whole = json.dumps(spec | {"normalizer": {"type": "NFKC"}})
+    other = Tokenizer.from_str(whole)
+    assert sorted(repr((r.doc_id, r.n_tokens)) for r in token_counts.count_tokens(odd, whole, chunk_chars=600, overlap=32).collect()) == sorted(repr((i, len(encoded(other, t)))) for i, t, *_ in ODD)
+
+
+def test_added_tokens_of_other_beginnings(library):
+    import json
+
+    spec = json.loads(word_bpe())
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 49_408, "content": "[MASK]"})
+    from tokenizers import Tokenizer
+
+    other, coder = Tokenizer.from_str(json.dumps(spec)), bpe.WordBPE(json.dumps(spec))
+    for text in ("a [MASK] b", "[mask] <|endoftext|>[MASK]", "[ MASK ]"):
+        assert coder.encode(text) == encoded(other, text)
+
+
 def test_capitals_make_no_added_token(library):
     texts = ["A <|ENDOFTEXT|> B", "A <|endoftext|> B", "THE The the", "É È the THE"]
     assert token_counts.word_counts(library, texts, {}, ["<|startoftext|>", "<|endoftext|>"]) == [len(encoded(library, x)) for x in texts]
@@ -242,6 +273,49 @@ def test_classifier_on_held_out_documents(spark):
     assert len(seen) > 50 and sum(a == b for a, b in seen) / len(seen) >= 0.95
 
 
+def test_attention_by_hand():
+    """Scores of bags of passages, one number at a time."""
+    rng = np.random.default_rng(3)
+    model = mil_classifier.Model.fresh(4, 3, 2)
+    model.weights = {k: rng.standard_normal(v.shape) for k, v in model.weights.items()}
+    p = model.weights
+    bags = [rng.standard_normal((n, mil_classifier.WIDTH)) / 5 for n in (1, 4, 2)]
+    want = []
+    for bag in bags:
+        hidden, energy = [], []
+        for x in bag:
+            h = [math.tanh(sum(x[i] * p["W"][i, j] for i in range(len(x))) + p["b"][j]) for j in range(4)]
+            gate = lambda m, k: sum(h[j] * p[m][j, k] for j in range(4))  # noqa: E731, B023
+            energy.append(sum(math.tanh(gate("V", k)) / (1 + math.exp(-gate("U", k))) * p["w"][k] for k in range(3)))
+            hidden.append(h)
+        share = [math.exp(e) / sum(map(math.exp, energy)) for e in energy]
+        logit = sum(a * h[j] * p["c"][j] for a, h in zip(share, hidden) for j in range(4)) + p["c0"][0]
+        want.append(1 / (1 + math.exp(-logit)))
+    starts = np.cumsum([0, *map(len, bags)])[:-1]
+    assert model.score(np.concatenate(bags), starts) == pytest.approx(want)
+
+
+def test_attention_finds_the_passage_that_counts():
+    """Bags of noise with one telling passage: learnt weights rest on it, and equal ones score worse."""
+    rng = np.random.default_rng(4)
+    bags, labels, told = [], [], []
+    for i in range(600):
+        bag = rng.standard_normal((12, mil_classifier.WIDTH)).astype(np.float32) * 0.3
+        at = rng.integers(12)
+        bag[at, 0], bag[at, 1] = 3.0, 3.0 if i % 2 else -3.0
+        bags.append(bag)
+        labels.append(i % 2)
+        told.append(at)
+    model = mil_classifier.train(bags[:400], np.array(labels[:400]))
+    starts = np.arange(0, 200 * 12, 12)
+    x = np.concatenate(bags[400:])
+    accuracy = lambda m: np.mean((m.score(x, starts) >= 0.5) == np.array(labels[400:]))
+    _, (_, _, _, a, _, _) = model.forward(x, starts)
+    assert accuracy(model) > 0.97 and np.mean(a.reshape(-1, 12).argmax(axis=1) == told[400:]) > 0.5  # by chance a twelfth
+    even = mil_classifier.Model(model.weights | {"w": np.zeros_like(model.weights["w"])})
+    assert accuracy(even) < accuracy(model)
+
+
 def test_classifier_gradients():
     rng = np.random.default_rng(0)
     model = mil_classifier.Model.fresh(5, 3, 1)
