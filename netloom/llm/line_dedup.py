@@ -87,7 +87,8 @@ def earlier_prefixes(levels: list[DataFrame]) -> DataFrame:
             firsts = found.select("depth", "origin").distinct().join(level, F.col("origin") + F.col("depth") == F.col("at")).select("depth", "origin", "next", F.col("origin").alias("place"))
             seen = known.where("next is not null").select("depth", "origin", "next", "place").unionByName(firsts)
         parts = seen.groupBy("depth", "origin", "next").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1")
-        parts = parts.select(F.col("depth").alias("d"), F.col("origin").alias("o"), F.col("next").alias("x"), "first")
+        # written, so that the join is one of two tables, whose rows of a very common line adaptive execution can split
+        parts = materialize(parts.select(F.col("depth").alias("d"), F.col("origin").alias("o"), F.col("next").alias("x"), "first"), "intervals")
         joined = known.join(parts, (F.col("depth") == F.col("d")) & (F.col("origin") == F.col("o")) & (F.col("next") == F.col("x")), "left")
         longer = F.col("first") < F.col("place")  # null where nothing agrees
         joined = joined.where(longer | (F.col("depth") > 0)).select(
@@ -95,6 +96,7 @@ def earlier_prefixes(levels: list[DataFrame]) -> DataFrame:
             F.when(longer, F.col("words") + F.col("more")).otherwise(F.col("words")).alias("words"), F.when(longer, F.col("end")).otherwise(F.col("last")).alias("last"),
         )
         before, found = found, materialize(joined, "prefixes")
+        drop_table(parts)
         if before is not None:
             drop_table(before)
     return found
