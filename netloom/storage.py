@@ -17,9 +17,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset a local one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode, else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_netloom_dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark._netloom_dir = "file://" + tempfile.mkdtemp(prefix="netloom-")
     return found.rstrip("/")
 
@@ -34,8 +36,8 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before; the folder's owner cleans it then
-            return
+        except Exception:  # noqa: BLE001, S112  the session may have ended before; the folder's owner cleans it then
+            continue
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -55,8 +57,11 @@ def drop_table(df: DataFrame) -> None:
     files = df.inputFiles()
     if files:
         path = files[0].rpartition("/")[0]
-        if any(path.split(":", 1)[-1].lstrip("/") == p.split(":", 1)[-1].lstrip("/") for _, p in _written):
-            _remove(df.sparkSession, path)
+        for written in _written:
+            if path.split(":", 1)[-1].lstrip("/") == written[1].split(":", 1)[-1].lstrip("/"):
+                _remove(df.sparkSession, path)
+                _written.remove(written)
+                return
 
 
 def ship(spark: SparkSession) -> None:
