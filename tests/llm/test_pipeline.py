@@ -4,6 +4,7 @@ import hashlib
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netloom.llm import mil_classifier, simhash
@@ -113,6 +114,20 @@ def test_ids_of_several_texts_and_of_none(spark):
     assert got.columns == ["doc_id", "text", "h"] and [x[:2] for x in kept] == [(False, "a"), (False, "b"), (True, "c")] and kept[0][2] == 1
 
 
+def test_stages_keep_other_columns_of_any_name(spark, kept):
+    extra = ["score", "n_removed", "n_lines", "h", "of", "ids", "id", "text_hash", "tags"]
+    docs = kept[0].drop("n_chars").limit(60)
+    for i, x in enumerate(extra[:-1]):
+        docs = docs.withColumn(x, F.col("doc_id") * 10 + i)
+    docs = docs.withColumn("tags", F.create_map(F.lit("id"), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all([r[x] for x in extra[:-1]] == [r.doc_id * 10 + i for i in range(len(extra) - 1)] and r.tags == {"id": r.doc_id} for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_stages_take_empty_tables(spark, kept):
     for (_, stage), df in zip(corpus_pipeline.STAGES, kept):
         assert stage(spark, df.limit(0), SF).count() == 0
