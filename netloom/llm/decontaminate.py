@@ -84,7 +84,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items.where(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(window)))
     windows = sorted(x[0] for x in items.select("length").distinct().collect())  # at most `window` numbers
     texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
-    texts = texts.select("id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("words"))
+    whole = texts.select("id", F.xxhash64("text").alias("text_hash"), "text")
+    texts = whole.select("id", "text_hash", word_hashes(F.col("text")).alias("words"))
     if not windows:
         none = F.array().cast("array<string>")
         return _summary(texts.select("id", F.size("words").cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), none.alias("items")), id_col)
@@ -97,7 +98,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = materialize(met.select("id", "text_hash", "window", "place"), "meetings")
     meetings = met.where("window > 0").groupBy("id", "text_hash").agg(F.collect_set(F.struct("window", "place")).alias("met"))
     meetings = meetings.select(F.col("id").alias("of"), F.col("text_hash").alias("of_hash"), "met")
-    held = texts.join(meetings, texts["id"].eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")))
+    # few documents meet anything, as a rule: these are found first, by a written table of known size, and read again
+    keys = materialize(met.where("window > 0").select(F.col("id").alias("key"), F.col("text_hash").alias("key_hash")).distinct(), "met-documents")
+    held = whole.join(keys, F.col("id").eqNullSafe(F.col("key")) & (F.col("text_hash") == F.col("key_hash")), "left_semi")
+    held = held.dropDuplicates(["id", "text_hash"]).select("id", "text_hash", word_hashes(F.col("text")).alias("words"))
+    held = held.join(meetings, F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))).drop("of", "of_hash")
     around = lambda m: F.transform(_range(F.greatest(m["place"] + F.least(m["window"], F.lit(GRAM)) - m["window"], F.lit(0)), F.least(m["place"], F.size("words") - m["window"])), lambda s: F.struct(m["window"].alias("window"), s.alias("s")))
     starts = F.array_distinct(F.flatten(F.transform("met", around)))
     held = held.select("id", "text_hash", F.explode_outer(F.transform(starts, lambda x: _window("words", x["window"], x["s"]))).alias("w")).where("w is not null").select("id", "text_hash", "w.*")
