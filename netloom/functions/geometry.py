@@ -39,3 +39,8 @@ def circularity(area: Column, perimeter: Column) -> Column:
 
 def manhattan(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.abs(x0 - x1) + F.abs(y0 - y1)
+
+
+def symbol_point(x: Column, y: Column, turn: Column) -> Column:
+    """A point of a symbol in its drawing: (-y, x) of symbols that are turned by R90, as it is of others."""
+    return F.struct(F.when(turn == "R90", -y).otherwise(x).alias("x"), F.when(turn == "R90", x).otherwise(y).alias("y"))

@@ -45,20 +45,20 @@ ISRC = "current_source current_source.ac current_source.dc dependent_current_sou
 LOAD2 = "antenna clock crystal diac fuse heating_element lamp light microphone motor socket speaker thermistor varistor voltimeter".split()
 LABEL_ONLY = "vdd gnd vss amplifier.single_end and block connector crossover crossover.curved dependent_voltage_source display.7_segment explanatory generator integrated_circuit.ne555 integrated_circuit.voltage_regulator junction magnetic mechanical nand nor not operational_amplifier optical optocoupler or port probe probe.current relay terminal text tgate transistor.photo unknown v xor".split()
 
-# The pins that a family has, as (role, x, y) in a unit box, and their confidence.
+# The pins that a family has, as (role, x, y, confidence) in a unit box.
 TEMPLATES = {
-    "AXIAL2": (AXIAL2 + SOURCES2, [("p0", 0, 0.5), ("p1", 1, 0.5)], 0.9),
-    "GROUND1": (GROUND1, [("g", 0.5, 0)], 0.9),
-    "RAIL1": (RAIL1, [("pwr", 0.5, 1)], 0.9),
-    "PORT1": (PORT1, [("1", 0.5, 0.5)], 0.6),
-    "BJT3": (BJT3, [("c", 0.85, 0), ("b", 0, 0.5), ("e", 0.85, 1)], 0.7),
-    "FET3": (FET3, [("d", 0.85, 0), ("g", 0, 0.5), ("s", 0.85, 1)], 0.7),
-    "NOT": (["not"], [("in0", 0, 0.5), ("out", 1, 0.5)], 0.9),
-    "GATES": ([x for x in GATES if x != "not"], [("in0", 0, 0.3), ("in1", 0, 0.7), ("out", 1, 0.5)], 0.9),
-    "OPAMP": (OPAMP, [("in-", 0, 0.3), ("in+", 0, 0.7), ("out", 1, 0.5)], 0.9),
-    "AMP1": (AMP1, [("in", 0, 0.5), ("out", 1, 0.5)], 0.9),
-    "XFORMER": (XFORMER, [("p0", 0, 0.25), ("p1", 0, 0.75), ("p2", 1, 0.25), ("p3", 1, 0.75)], 0.7),
-    "TGATE4": (TGATE4, [("a", 0, 0.3), ("b", 0, 0.7), ("c", 1, 0.3), ("d", 1, 0.7)], 0.6),
+    "AXIAL2": (AXIAL2 + SOURCES2, [("p0", 0, 0.5, 0.9), ("p1", 1, 0.5, 0.9)]),
+    "GROUND1": (GROUND1, [("g", 0.5, 0, 0.9)]),
+    "RAIL1": (RAIL1, [("pwr", 0.5, 1, 0.9)]),
+    "PORT1": (PORT1, [("1", 0.5, 0.5, 0.6)]),
+    "BJT3": (BJT3, [("c", 0.85, 0, 0.9), ("b", 0, 0.5, 0.9), ("e", 0.85, 1, 0.7)]),
+    "FET3": (FET3, [("d", 0.85, 0, 0.9), ("g", 0, 0.5, 0.9), ("s", 0.85, 1, 0.7)]),
+    "NOT": (["not"], [("in0", 0, 0.5, 0.9), ("out", 1, 0.5, 0.9)]),
+    "GATES": ([x for x in GATES if x != "not"], [("in0", 0, 0.3, 0.9), ("in1", 0, 0.7, 0.9), ("out", 1, 0.5, 0.9)]),
+    "OPAMP": (OPAMP, [("in-", 0, 0.3, 0.9), ("in+", 0, 0.7, 0.9), ("out", 1, 0.5, 0.9)]),
+    "AMP1": (AMP1, [("in", 0, 0.5, 0.9), ("out", 1, 0.5, 0.9)]),
+    "XFORMER": (XFORMER, [("p0", 0, 0.25, 0.9), ("p1", 0, 0.75, 0.9), ("p2", 1, 0.25, 0.9), ("p3", 1, 0.75, 0.7)]),
+    "TGATE4": (TGATE4, [("a", 0, 0.3, 0.9), ("b", 0, 0.7, 0.9), ("c", 1, 0.3, 0.9), ("d", 1, 0.7, 0.6)]),
 }
 #: Families whose roles are a contract.
 CONTRACTS = ("BJT3", "FET3", "NOT", "GATES", "OPAMP", "XFORMER", "TGATE4", "AMP1")
@@ -78,7 +78,7 @@ def contract_of(cls: Column) -> Column:
     """The roles that a class must have, or null."""
     found = F.lit(None).cast("array<string>")
     for name in CONTRACTS:
-        classes, pins, _ = TEMPLATES[name]
+        classes, pins = TEMPLATES[name]
         found = F.when(cls.isin(*classes), F.array(*[F.lit(p[0]) for p in pins])).otherwise(found)
     return found
 
@@ -91,7 +91,7 @@ def class_kinds(spark: SparkSession) -> DataFrame:
 
 def template_dimension(spark: SparkSession) -> DataFrame:
     """cls, role, nx, ny, pin_conf of every class with a template; a dimension of fixed size."""
-    return spark.createDataFrame([(c, r, float(x), float(y), conf) for classes, pins, conf in TEMPLATES.values() for c in classes for r, x, y in pins], "cls string, role string, nx double, ny double, pin_conf double")
+    return spark.createDataFrame([(c, r, float(x), float(y), conf) for classes, pins in TEMPLATES.values() for c in classes for r, x, y, conf in pins], "cls string, role string, nx double, ny double, pin_conf double")
 
 
 def values_sql(column: str, family: list[str]) -> str:

@@ -158,3 +158,8 @@ def net_summary(pins: DataFrame, net: str = "net") -> DataFrame:
         F.count(net).alias("nets"), F.max(live).alias("largest"), F.sum((live == 1).cast("bigint")).alias("islands"), F.sum((live <= 5).cast("bigint")).alias("small"),
         F.coalesce(F.sum(live), F.lit(0)).alias("on_net"), F.coalesce(F.sum("n"), F.lit(0)).alias("pins"),
     )
+
+
+def structural_candidates(proposals: DataFrame) -> DataFrame:
+    """check, image_id, x0, y0, x1, y1, n: proposed boxes as rows of the report; they are told, not flagged."""
+    return proposals.select(F.lit("structural_candidates").alias("check"), "image_id", "x0", "y0", "x1", "y1", "n")

@@ -22,7 +22,7 @@ def first_by_content(files: DataFrame, content: str, order: list[str]) -> DataFr
 def canonical(df: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     """df with canonical: the alias of a name (alias, target; as written), or else its sanitized form. Aliases are a fixed table."""
     a = aliases.select(F.col("alias").alias("_alias"), F.col("target").alias("_target"))
-    return df.join(F.broadcast(a), F.col(name) == F.col("_alias"), "left").withColumn("canonical", F.coalesce("_target", sanitized(F.col(name)))).drop("_alias", "_target")
+    return df.join(a, F.col(name) == F.col("_alias"), "left").withColumn("canonical", F.coalesce("_target", sanitized(F.col(name)))).drop("_alias", "_target")
 
 
 def class_histogram(labels: DataFrame, cls: str = "cls", image: str = "image_id") -> DataFrame:
@@ -64,7 +64,7 @@ def vocabulary(df: DataFrame, name: str) -> DataFrame:
 def remapped(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Labels with the new_id of their class; those dropped or unknown go."""
     kept = taxonomy.where("new_id >= 0").select("cls", "new_id")
-    return labels.join(F.broadcast(kept), "cls")
+    return labels.join(kept, "cls")
 
 
 def folded(cls: Column) -> Column:
@@ -81,16 +81,20 @@ def fold_report(labels: DataFrame) -> DataFrame:
 
 
 def capped_sample(images: DataFrame, source: str, key: str, cap: int) -> DataFrame:
-    """At most cap pictures of each source, in the order of a hash of their key.
+    """min(cap, n) pictures of each source of n, in the order of a hash of their key, then the key; a null source is a source, a null key counts as no text.
 
-    A bound on the hash from the source's size thins each source to about four times the cap before the window, so that a source of any size is no hot window.
+    Counts by ranges of the hash tell where the first cap rows of each source end; rows behind that range go. What is left of a source, also if all its rows share
+    a key, is ranked in parts before the last ranking, so that no source's rows stand in one task.
     """
-    sizes = images.groupBy(source).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(source, "_source")
-    hashed = images.withColumn("_h", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint"))
-    bound = F.when(F.col("_n") <= 8 * cap + 64, F.lit(2**32)).otherwise((F.lit(4.0 * cap + 64) / F.col("_n") * 2**32).cast("bigint"))
-    thin = hashed.join(sizes, F.col(source) == F.col("_source")).where(F.col("_h") < bound)
-    ranked = thin.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy("_h", key)))
-    return ranked.where(F.col("_r") <= cap).drop("_h", "_r", "_n", "_source")
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint")
+    hashed = images.withColumn("_h", h).withColumn("_range", F.shiftright("_h", 20))
+    sizes = hashed.groupBy(F.col(source).alias("_source"), "_range").agg(F.count(F.lit(1)).alias("_n"))  # 4096 rows a source at most
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = sizes.withColumn("_before", before).where(F.col("_before") < cap).groupBy("_source").agg(F.max("_range").alias("_last"))
+    thin = hashed.join(last, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_range") <= F.col("_last"))).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    first = thin.withColumn("_r", F.row_number().over(Window.partitionBy(source, "_part").orderBy("_h", key))).where(F.col("_r") <= cap)
+    ranked = first.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy("_h", key))).where(F.col("_r") <= cap)
+    return ranked.select(*images.columns)
 
 
 def label_sanity(labels: DataFrame, n_classes: int, examples: int = 10) -> DataFrame:

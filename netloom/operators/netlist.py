@@ -9,13 +9,9 @@ from ..model import BJT, CAP, DIODE, FET, GROUND, IND, ISRC, LABEL_ONLY, LOAD2,
 
 #: Model cards of a deck (fixed values).
 MODELS = (".model DMOD D", ".model QMODN NPN", ".model QMODP PNP", ".model MMODN NMOS", ".model MMODP PMOS", ".model SMOD SW()")
-#: What a line of each element kind must look like (fixed values).
-SHAPES = {
-    "R": r"^R\S+(\s+\S+){3}", "C": r"^C\S+(\s+\S+){3}", "L": r"^L\S+(\s+\S+){3}", "D": r"^D\S+(\s+\S+){3}", "Q": r"^Q\S+(\s+\S+){4}", "M": r"^M\S+(\s+\S+){5}",
-    "V": r"^V\S+\s+\S+\s+\S+\s+DC\s+\S+", "I": r"^I\S+\s+\S+\s+\S+\s+DC\s+\S+", "S": r"^S\S+(\s+\S+){4}",
-}
-#: Nodes that an element of a kind connects; two for all others.
-NODES = {"Q": 3, "M": 4, "S": 4}
+#: Words behind the name of an element of a kind, at least, and the nodes that it connects; sources have DC before their value (fixed values).
+KINDS = {"R": (3, 2), "C": (3, 2), "L": (3, 2), "D": (3, 2), "Q": (4, 3), "M": (5, 4), "S": (4, 4), "V": (4, 2), "I": (4, 2)}
+SOURCES = ("V", "I")
 
 
 def node_name(enet: Column, pin_id: Column) -> Column:
@@ -24,15 +20,16 @@ def node_name(enet: Column, pin_id: Column) -> Column:
 
 
 def _by_role(comps: DataFrame, epins: DataFrame) -> DataFrame:
-    """comp_id, cls, nodes (role -> node name; the last pin of a role counts)."""
-    pins = epins.groupBy("comp_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", node_name(F.col("enet"), F.col("pin_id")).alias("node"))))).alias("nodes"))
+    """comp_id, cls, nodes (role -> node name; of several pins of a role that of the greatest id counts, pins without a role don't)."""
+    last = epins.where("role is not null").groupBy("comp_id", "role").agg(F.max_by(node_name(F.col("enet"), F.col("pin_id")), "pin_id").alias("node"))
+    pins = last.groupBy("comp_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "node")))).alias("nodes"))
     return comps.select("comp_id", "cls").join(pins, "comp_id", "left").withColumn("nodes", F.coalesce("nodes", F.create_map().cast("map<string,string>")))
 
 
 def spice_elements(comps: DataFrame, epins: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """comp_id, part, text: the lines of each modelled component (a transformer has three). values: comp_id, value of R, C and loads.
 
-    A role without a pin gives the node FLT_- and the component. Roles must be unique within a component.
+    A role without a pin gives the node FLT_- and the component; of several pins of a role the last one counts.
     """
     rows = _by_role(comps, epins)
     rows = rows.join(values, "comp_id", "left") if values is not None else rows.withColumn("value", F.lit(None).cast("string"))
@@ -68,14 +65,28 @@ def spice_skips(comps: DataFrame, epins: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason)
 
 
-def spice_deck(elements: DataFrame, title: str = "circuit") -> DataFrame:
+def spice_deck(elements: DataFrame, title: str = "circuit", picture: str | None = None) -> DataFrame:
     """line_no, text of a whole deck: header, elements in order, models, a stub for integrated circuits, directives.
 
-    Lines are numbered by a window without partitions: a deck is that of one picture. For a corpus, number by picture.
+    picture: a column of elements; every picture then has a deck of its own, under that column, with a null picture being one too. Without it
+    all elements are one picture's.
     """
     from pyspark.sql import Window
 
     spark = elements.sparkSession
+    if picture:
+        of = elements.select(F.col(picture).alias("of"), "comp_id", "part", "text")
+        ids = of.select("of").distinct()
+        lines = lambda section, texts: ids.select("of", F.lit(section).alias("section"), F.posexplode(F.array(*[F.lit(x) for x in texts])).alias("a", "text"))
+        stubs = of.where(F.col("text").startswith("X")).groupBy("of").agg(F.min_by("text", F.struct("comp_id", "part")).alias("x"))
+        words = F.split(F.trim(F.split("x", ";")[0]), " +")
+        named = F.concat(F.lit(".subckt ICSTUB "), F.concat_ws(" ", F.slice(words, F.lit(2), F.size(words) - 2)))
+        stubs = stubs.select("of", F.lit(3).alias("section"), F.posexplode(F.array(named, F.lit("* structural pins only"), F.lit(".ends ICSTUB"))).alias("a", "text"))
+        every = of.select("of", F.lit(1).alias("section"), F.col("comp_id").alias("a"), F.col("part").alias("b"), "text")
+        for rows in (lines(0, [f"* {title} (topology and assigned values)", "* 0=GND (ground nets collapsed)"]), lines(2, ["* --- models ---", *MODELS]), stubs, lines(4, [".op", ".end"])):
+            every = every.unionByName(rows.select("of", "section", F.col("a").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), "text"))
+        number = F.row_number().over(Window.partitionBy("of").orderBy("section", "a", "b"))
+        return every.select(F.col("of").alias(picture), number.cast("bigint").alias("line_no"), "text")
     stub = elements.where(F.col("text").startswith("X")).orderBy("comp_id").limit(1)
     pins = F.expr("slice(split(trim(split(text, ';')[0]), ' +'), 2, size(split(trim(split(text, ';')[0]), ' +')) - 2)")
     stub = stub.select(F.explode(F.array(F.concat(F.lit(".subckt ICSTUB "), F.concat_ws(" ", pins)), F.lit("* structural pins only"), F.lit(".ends ICSTUB"))).alias("text"))
@@ -96,10 +107,10 @@ def parse_spice(lines: DataFrame) -> DataFrame:
     words = F.split("element", r"\s+")
     count = F.lit(2)
     shape = F.col("kind").isin("X", "K")
-    for k, n in NODES.items():
-        count = F.when(F.col("kind") == k, n).otherwise(count)
-    for k, pattern in SHAPES.items():
-        shape = shape | ((F.col("kind") == k) & F.col("element").rlike(pattern))
+    for k, (least, nodes) in KINDS.items():
+        count = F.when(F.col("kind") == k, nodes).otherwise(count)
+        fits = (F.col("kind") == k) & (F.length(words[0]) > 1) & (F.size(words) > least)
+        shape = shape | (fits & (F.get(words, F.lit(3)) == "DC") if k in SOURCES else fits)
     plain = F.filter(F.slice(words, F.lit(2), count), lambda x: ~x.rlike("^[0-9]"))
     nodes = F.when(F.col("kind") == "K", F.array().cast("array<string>")).when(F.col("kind") == "X", F.slice(words, F.lit(3), F.greatest(F.size(words) - 3, F.lit(0)))).otherwise(plain)
     return rows.withColumn("nodes", F.when(shape, nodes).otherwise(F.array().cast("array<string>"))).withColumn("ok", shape)

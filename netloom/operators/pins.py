@@ -22,7 +22,7 @@ def template_pins(comps: DataFrame) -> DataFrame:
     pair = F.explode(F.array(F.struct(F.lit("p0").alias("role"), F.lit(0.0).alias("nx")), F.struct(F.lit("p1").alias("role"), F.lit(1.0).alias("nx"))))
     other = other.withColumn("p", pair).select("comp_id", "p.role", "p.nx", F.lit(0.5).alias("ny"), F.lit(0.5).alias("pin_conf"), "orientation", "x0", "y0", "x1", "y1")
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    n = F.greatest(F.lit(2), F.floor(8 * h / F.greatest(w, h) + 0.5).cast("int"))
+    n = F.greatest(F.lit(2), F.bround(h / F.greatest(w, h) * 8).cast("int"))  # halves go to the even number
     ics = comps.where(is_in("cls", ICS)).withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("side", F.explode(F.array(F.lit("L"), F.lit("R"))))
     ics = ics.select("comp_id", F.concat("side", F.col("i").cast("string")).alias("role"), F.when(F.col("side") == "L", 0.0).otherwise(1.0).alias("nx"), ((F.col("i") + 1) / (F.col("n") + 1)).alias("ny"), F.lit(0.5).alias("pin_conf"), "orientation", "x0", "y0", "x1", "y1")
     every = known.unionByName(other).unionByName(ics)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +59,9 @@ def parse_drawing(lines: DataFrame) -> DataFrame:
 
 def is_transistor(cls: Column) -> Column:
     return is_in(cls, BJT + FET)
+
+
+def snap_or_not(draw: Callable[[int], DataFrame], verify: Callable[[DataFrame], DataFrame], tolerance: int = 10) -> tuple[DataFrame, int]:
+    """A drawing with rails snapped by tolerance, or without snapping where verify (rows that don't match) finds anything in it; and the tolerance used."""
+    drawn = draw(tolerance)
+    return (drawn, tolerance) if verify(drawn).isEmpty() else (draw(0), 0)

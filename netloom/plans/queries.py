@@ -5,18 +5,21 @@ Each entry of QUERIES takes (spark, sf_dir); ORACLES has SQL for DuckDB by the s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.geometry import in_box, rotated
+from ..functions.geometry import in_box, rotated, symbol_point
 from ..model import BJT, CAP, DIODE, GROUND, ICS, RES, SOURCE_LIKE, TWO_TERMINAL, values_sql
 from ..operators import checks, etl, graph, islands, motifs, netlist, pins as pin_ops, raster, repair, schematic, spatial, wires
 from ..operators.components import star_labels
-from ..storage import materialize
+from ..sources import readers, writers
+from ..storage import materialize, shared_dir
 from . import fixtures as fx
+from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -282,6 +285,15 @@ def motif_attach(spark, sf_dir):
 # ---- boxes ----
 
 
+def _small(spark, sf_dir):
+    """All boxes, an eighth of their size."""
+    size = F.floor((F.col("x1") - F.col("x0")) / 8)
+    return fx.boxes(spark, sf_dir).select("det_id", "image_id", "x0", "y0", (F.col("x0") + size).alias("x1"), (F.col("y0") + size).alias("y1"))
+
+
+_SMALL = "small_boxes AS (SELECT det_id, image_id, x0, y0, x0 + (x1 - x0) // 8 AS x1, y0 + (x1 - x0) // 8 AS y1 FROM boxes)"
+
+
 @query(
     "WITH RECURSIVE " + fx.BOXES_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS rn FROM boxes),
  f AS (SELECT image_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(det_id BIGINT, x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT)[]) AS kept FROM (SELECT DISTINCT image_id FROM boxes)
@@ -294,15 +306,15 @@ def nms_boxes(spark, sf_dir):
 
 
 @query(
-    "WITH RECURSIVE " + fx.BOXES_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS rn FROM boxes WHERE det_id % 4 = 1),
- f AS (SELECT image_id, CAST(0 AS BIGINT) AS rn, list({'det_id': det_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) AS kept, CAST([] AS BIGINT[]) AS added FROM boxes WHERE det_id % 4 = 0 AND det_id % 20 < 20 GROUP BY image_id
+    "WITH RECURSIVE " + fx.BOXES_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS rn FROM boxes WHERE det_id % 4 > 0),
+ f AS (SELECT image_id, CAST(0 AS BIGINT) AS rn, list({'det_id': det_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) AS kept, CAST([] AS BIGINT[]) AS added FROM boxes WHERE det_id % 4 = 0 GROUP BY image_id
   UNION ALL SELECT f.image_id, o.rn, CASE WHEN hit THEN kept ELSE list_append(kept, {'det_id': o.det_id, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}) END, CASE WHEN hit THEN added ELSE list_append(added, o.det_id) END
   FROM f JOIN o ON o.image_id = f.image_id AND o.rn = f.rn + 1, LATERAL (SELECT len(list_filter(f.kept, lambda k: """ + IOU.format(a="k", b="o") + """ >= 0.5)) > 0 AS hit))
 SELECT image_id, unnest(added) AS det_id FROM f QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY rn DESC) = 1"""
 )
 def novel_boxes(spark, sf_dir):
     b = fx.boxes(spark, sf_dir).withColumn("image_id", F.col("det_id") % 5)
-    return spatial.novel_boxes(b.where("det_id % 4 = 0"), b.where("det_id % 4 = 1")).select("image_id", "det_id")
+    return spatial.novel_boxes(b.where("det_id % 4 = 0"), b.where("det_id % 4 > 0")).select("image_id", "det_id")
 
 
 ORACLES["novel_boxes"] = ORACLES["novel_boxes"].replace("p_partkey % 20 AS image_id", "p_partkey % 5 AS image_id")
@@ -313,9 +325,9 @@ def iou_pairs(spark, sf_dir):
     return spatial.iou_pairs(fx.boxes(spark, sf_dir), 0.3)
 
 
-@query(_with(fx.BOXES_SQL, fx.DOTS_SQL) + "SELECT image_id, dot_id AS point_id, x, y FROM dots d WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.det_id % 9 = 0 AND b.image_id = d.image_id AND d.x BETWEEN b.x0 - 4 AND b.x1 + 4 AND d.y BETWEEN b.y0 - 4 AND b.y1 + 4)")
+@query(_with(fx.BOXES_SQL, _SMALL, fx.DOTS_SQL) + "SELECT image_id, dot_id AS point_id, x, y FROM dots d WHERE NOT EXISTS (SELECT 1 FROM small_boxes b WHERE b.image_id = d.image_id AND d.x BETWEEN b.x0 - 4 AND b.x1 + 4 AND d.y BETWEEN b.y0 - 4 AND b.y1 + 4)")
 def point_in_box_anti(spark, sf_dir):
-    return spatial.points_near_boxes(fx.dots(spark, sf_dir).withColumnRenamed("dot_id", "point_id"), fx.boxes(spark, sf_dir).where("det_id % 9 = 0"), 4, near=False)
+    return spatial.points_near_boxes(fx.dots(spark, sf_dir).withColumnRenamed("dot_id", "point_id"), _small(spark, sf_dir), 4, near=False)
 
 
 @query(_with(fx.DOTS_SQL) + "SELECT image_id, dot_id, x, y FROM dots a WHERE dot_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM dots b WHERE b.dot_id % 2 = 1 AND b.image_id = a.image_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400)")
@@ -642,9 +654,9 @@ def otsu_threshold(spark, sf_dir):
     return raster.otsu(lines.select((F.col("l_suppkey") % 10).alias("image_id"), ((F.col("l_partkey") * 7 + F.col("l_linenumber") * 31) % 256).alias("value")))
 
 
-@query(_with(fx.PIXELS_SQL, fx.BOXES_SQL) + "SELECT image_id, x, y FROM pixels p WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.det_id % 15 = 0 AND b.image_id = p.image_id AND p.x >= b.x0 - 3 AND p.x < b.x1 + 3 AND p.y >= b.y0 - 3 AND p.y < b.y1 + 3)")
+@query(_with(fx.PIXELS_SQL, fx.BOXES_SQL, _SMALL) + "SELECT image_id, x, y FROM pixels p WHERE NOT EXISTS (SELECT 1 FROM small_boxes b WHERE b.image_id = p.image_id AND p.x >= b.x0 - 3 AND p.x < b.x1 + 3 AND p.y >= b.y0 - 3 AND p.y < b.y1 + 3)")
 def mask_interiors(spark, sf_dir):
-    return raster.mask_interiors(fx.pixels(spark, sf_dir), fx.boxes(spark, sf_dir).where("det_id % 15 = 0"))
+    return raster.mask_interiors(fx.pixels(spark, sf_dir), _small(spark, sf_dir))
 
 
 _DEGREE = "SELECT p.image_id, p.x, p.y, count(q.x) AS degree FROM pixels p LEFT JOIN pixels q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 AND (q.x <> p.x OR q.y <> p.y) GROUP BY ALL"
@@ -677,14 +689,13 @@ def pca_axis(spark, sf_dir):
 
 
 def _template_sql() -> str:
-    from ..model import TEMPLATES
-
-    rows = ", ".join(f"('{c}', '{r}', {float(x)}, {float(y)}, {conf})" for classes, pins, conf in TEMPLATES.values() for c in classes for r, x, y in pins)
-    return f"""t(cls, role, nx, ny, conf) AS (VALUES {rows}),
+    # values of their own, not those of the model
+    return """t(cls, role, nx, ny, conf) AS (VALUES ('resistor', 'p0', 0, 0.5, 0.9), ('resistor', 'p1', 1, 0.5, 0.9), ('npn', 'c', 0.85, 0, 0.9), ('npn', 'b', 0, 0.5, 0.9), ('npn', 'e', 0.85, 1, 0.7),
+  ('gnd', 'g', 0.5, 0, 0.9), ('not', 'in0', 0, 0.5, 0.9), ('not', 'out', 1, 0.5, 0.9), ('tgate', 'a', 0, 0.3, 0.9), ('tgate', 'b', 0, 0.7, 0.9), ('tgate', 'c', 1, 0.3, 0.9), ('tgate', 'd', 1, 0.7, 0.6)),
  comps AS (SELECT det_id AS comp_id, (['resistor', 'npn', 'gnd', 'not', 'tgate', 'text', 'integrated_circuit', 'strange'])[det_id % 8 + 1] AS cls, (det_id % 4) * 90 AS o, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM boxes),
  p AS (SELECT comp_id, role, CAST(nx AS DOUBLE) AS nx, CAST(ny AS DOUBLE) AS ny, CAST(conf AS DOUBLE) AS conf, o, x0, y0, x1, y1 FROM comps JOIN t USING (cls)
   UNION ALL SELECT comp_id, r, CASE r WHEN 'p0' THEN 0 ELSE 1 END, 0.5, 0.5, o, x0, y0, x1, y1 FROM comps, (VALUES ('p0'), ('p1')) v(r) WHERE cls = 'strange'
-  UNION ALL SELECT comp_id, side || i, CASE side WHEN 'L' THEN 0 ELSE 1 END, (i + 1) / CAST(n + 1 AS DOUBLE), 0.5, o, x0, y0, x1, y1 FROM (SELECT *, greatest(2, CAST(floor(8 * (y1 - y0) / greatest(x1 - x0, y1 - y0) + 0.5) AS BIGINT)) AS n FROM comps WHERE cls = 'integrated_circuit') c, LATERAL (SELECT unnest(range(0, n)) AS i) g, (VALUES ('L'), ('R')) s(side)),
+  UNION ALL SELECT comp_id, side || i, CASE side WHEN 'L' THEN 0 ELSE 1 END, (i + 1) / CAST(n + 1 AS DOUBLE), 0.5, o, x0, y0, x1, y1 FROM (SELECT *, greatest(2, CAST(round_even((y1 - y0) / greatest(x1 - x0, y1 - y0) * 8, 0) AS BIGINT)) AS n FROM comps WHERE cls = 'integrated_circuit') c, LATERAL (SELECT unnest(range(0, n)) AS i) g, (VALUES ('L'), ('R')) s(side)),
  q AS (SELECT *, CASE o WHEN 0 THEN nx WHEN 90 THEN 1 - ny WHEN 180 THEN 1 - nx ELSE ny END AS rx, CASE o WHEN 0 THEN ny WHEN 90 THEN nx WHEN 180 THEN 1 - ny ELSE 1 - nx END AS ry FROM p)"""
 
 
@@ -698,21 +709,27 @@ def template_pins(spark, sf_dir):
 
 
 @query(
-    _with(fx.PIXELS_SQL, fx.BOXES_SQL, "m AS (SELECT b.image_id, b.det_id, b.x0, b.y0, b.x1, b.y1, p.x, p.y FROM boxes b JOIN pixels p ON p.image_id = b.image_id WHERE b.det_id % 4 = 0)", "e AS (SELECT image_id, det_id, CASE WHEN y BETWEEN y0 AND y1 AND x BETWEEN x0 - 10 AND x0 - 1 THEN 'left' WHEN y BETWEEN y0 AND y1 AND x BETWEEN x1 + 1 AND x1 + 10 THEN 'right' WHEN x BETWEEN x0 AND x1 AND y BETWEEN y0 - 10 AND y0 - 1 THEN 'top' WHEN x BETWEEN x0 AND x1 AND y BETWEEN y1 + 1 AND y1 + 10 THEN 'bottom' END AS edge, x, y FROM m)")
+    _with(fx.PIXELS_SQL, fx.BOXES_SQL, "m AS (SELECT b.image_id, b.det_id, b.x0, b.y0, b.x1, b.y1, p.x, p.y FROM boxes b JOIN pixels p ON p.image_id = b.image_id)", "e AS (SELECT image_id, det_id, CASE WHEN y BETWEEN y0 AND y1 AND x BETWEEN x0 - 10 AND x0 - 1 THEN 'left' WHEN y BETWEEN y0 AND y1 AND x BETWEEN x1 + 1 AND x1 + 10 THEN 'right' WHEN x BETWEEN x0 AND x1 AND y BETWEEN y0 - 10 AND y0 - 1 THEN 'top' WHEN x BETWEEN x0 AND x1 AND y BETWEEN y1 + 1 AND y1 + 10 THEN 'bottom' END AS edge, x, y FROM m)")
     + "SELECT image_id, det_id, edge, CASE WHEN edge IN ('left', 'right') THEN y ELSE x END AS place, count(*) AS support FROM e WHERE edge IS NOT NULL GROUP BY image_id, det_id, edge, CASE WHEN edge IN ('left', 'right') THEN y ELSE x END HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY image_id, det_id, edge ORDER BY count(*) DESC, place) = 1"
 )
 def edge_profiles(spark, sf_dir):
-    return pin_ops.edge_profiles(fx.boxes(spark, sf_dir).where("det_id % 4 = 0"), fx.pixels(spark, sf_dir))
+    return pin_ops.edge_profiles(fx.boxes(spark, sf_dir), fx.pixels(spark, sf_dir))
 
 
-_EDGES = _with(SPARSE, "g AS (SELECT max(CASE WHEN slot = 0 THEN net END) AS u, max(CASE WHEN slot = 1 THEN net END) AS v FROM pins GROUP BY comp_id)", "edges AS (SELECT DISTINCT u, v FROM g WHERE u <> v AND u % 4 = 0)")
+_EDGES = _with(SPARSE, "g AS (SELECT max(CASE WHEN slot = 0 THEN net END) AS u, max(CASE WHEN slot = 1 THEN net END) AS v FROM pins GROUP BY comp_id)", "edges AS (SELECT DISTINCT u, v FROM g WHERE u <> v)")
 
 
-@query(_EDGES.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\nsides AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), reach(node, r) AS (SELECT u, u FROM sides UNION SELECT b.v, r FROM reach JOIN sides b ON b.u = node WHERE r < b.v)\nSELECT node, least(node, min(r)) AS root FROM reach GROUP BY node")
+@query(
+    _EDGES.replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + """,
+sides AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+label(node, root) USING KEY (node) AS (SELECT DISTINCT u, u FROM sides UNION (SELECT s.v, min(l.root) FROM label l JOIN sides s ON s.u = l.node JOIN recurring.label r ON r.node = s.v WHERE l.root < r.root GROUP BY s.v))
+SELECT node, root FROM label"""
+)
 def connected_components(spark, sf_dir):
     pins = fx.circuit(spark, sf_dir, fx.SPARSE)[1]
     ends = pins.groupBy("comp_id").agg(F.max(F.when(F.col("slot") == 0, F.col("net"))).alias("u"), F.max(F.when(F.col("slot") == 1, F.col("net"))).alias("v"))
-    return star_labels(ends.where("u <> v and u % 4 = 0").select("u", "v"))
+    return star_labels(ends.where("u <> v").select("u", "v"))
 
 
 @query(_with(SPARSE) + "SELECT comp_id, net, count(*) AS n FROM pins JOIN fan USING (net) WHERE fanout >= 6 GROUP BY ALL")
@@ -791,21 +808,21 @@ def endpoint_cells(spark, sf_dir):
     return wires.proposals(fx.dots(spark, sf_dir).select("image_id", "x", "y"), 240, 240, grid=24, pad=5)
 
 
-_X = "x AS (SELECT image_id, point_id, x, y, 2 + point_id % 3 AS arms, (point_id % 5) / CAST(5 AS DOUBLE) AS fill FROM spots), circles AS (SELECT p_partkey % 20 AS image_id, (p_partkey * 17) % 110 AS x, (p_partkey * 23) % 110 AS y, 4 + p_size % 9 AS r FROM part WHERE p_partkey % 33 = 0)"
+_X = "x AS (SELECT image_id, point_id, x, y, 2 + point_id % 3 AS arms, (point_id % 5) / CAST(5 AS DOUBLE) AS fill FROM spots), circles AS (SELECT p_partkey % 20 AS image_id, (p_partkey * 17) % 1100 AS x, (p_partkey * 23) % 1100 AS y, 4 + p_size % 9 AS r FROM part)"
 
 
 @query(
-    _with(_LINES, _INK, _SPOTS, _X, fx.BOXES_SQL, "small AS (SELECT image_id, frag FROM ink GROUP BY ALL HAVING count(*) < 14)")
+    _with(_LINES, _INK, _SPOTS, _X, fx.BOXES_SQL, _SMALL, "small AS (SELECT image_id, frag FROM ink GROUP BY ALL HAVING count(*) < 14)")
     + """SELECT image_id, point_id, CASE WHEN fill >= 0.6 OR arms <= 3 THEN 'dotted'
-  WHEN EXISTS (SELECT 1 FROM boxes b WHERE b.det_id % 60 = 0 AND b.image_id = x.image_id AND x.x BETWEEN b.x0 - 5 AND b.x1 + 5 AND x.y BETWEEN b.y0 - 5 AND b.y1 + 5)
+  WHEN EXISTS (SELECT 1 FROM small_boxes b WHERE b.image_id = x.image_id AND x.x BETWEEN b.x0 - 5 AND b.x1 + 5 AND x.y BETWEEN b.y0 - 5 AND b.y1 + 5)
    OR EXISTS (SELECT 1 FROM circles c WHERE c.image_id = x.image_id AND abs(sqrt((x.x - c.x) ** 2 + (x.y - c.y) ** 2) - c.r) <= 15) OR (SELECT count(*) FROM circles c WHERE c.image_id = x.image_id AND sqrt((x.x - c.x) ** 2 + (x.y - c.y) ** 2) <= 55) >= 2 THEN 'explained'
   WHEN EXISTS (SELECT 1 FROM ink i WHERE i.image_id = x.image_id AND abs(i.x - x.x) <= 10 AND abs(i.y - x.y) <= 10) THEN 'text' ELSE 'unexplained' END AS kind FROM x"""
 )
 def explained_crossings(spark, sf_dir):
     x = _points(spark, sf_dir).withColumn("arms", 2 + F.col("point_id") % 3).withColumn("fill", (F.col("point_id") % 5) / 5.0)
     key = F.col("p_partkey")
-    circles = fx.table(spark, sf_dir, "part").where(key % 33 == 0).select((key % 20).alias("image_id"), ((key * 17) % 110).alias("x"), ((key * 23) % 110).alias("y"), (4 + F.col("p_size") % 9).alias("r"))
-    return wires.explained_crossings(x, fx.boxes(spark, sf_dir).where("det_id % 60 = 0"), circles, _ink(spark, sf_dir), box_dist=5)
+    circles = fx.table(spark, sf_dir, "part").select((key % 20).alias("image_id"), ((key * 17) % 1100).alias("x"), ((key * 23) % 1100).alias("y"), (4 + F.col("p_size") % 9).alias("r"))
+    return wires.explained_crossings(x, _small(spark, sf_dir), circles, _ink(spark, sf_dir), box_dist=5)
 
 
 @query("SELECT p_partkey AS comp_id, CASE WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 0 THEN 90 WHEN p_partkey % 3 = 2 AND p_partkey % 4 = 1 AND (p_partkey % 10) / 10.0 >= 0.2 THEN 90 ELSE 0 END AS orientation FROM part")
@@ -848,7 +865,11 @@ def mst_wires(spark, sf_dir):
     return graph.spanning_wires(_net_points(spark, sf_dir))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + fx.PIXELS_SQL + """, label(image_id, x, y, root) USING KEY (image_id, x, y) AS (SELECT image_id, x, y, y * 1000 + x FROM pixels UNION (SELECT p.image_id, p.x, p.y, min(l.root) FROM label l JOIN pixels p ON p.image_id = l.image_id AND abs(p.x - l.x) <= 1 AND abs(p.y - l.y) <= 1
+  JOIN recurring.label r ON r.image_id = p.image_id AND r.x = p.x AND r.y = p.y WHERE l.root < r.root GROUP BY p.image_id, p.x, p.y)), named AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS frag FROM label)
+SELECT image_id, x, y, frag FROM named QUALIFY count(*) OVER (PARTITION BY image_id, frag) >= 4"""
+)
 def wire_fragments(spark, sf_dir):
     return raster.fragments(fx.pixels(spark, sf_dir), 4)
 
@@ -856,7 +877,7 @@ def wire_fragments(spark, sf_dir):
 @query()
 def maze_rescue(spark, sf_dir):
     starts = fx.dots(spark, sf_dir).select("image_id", F.col("dot_id").alias("point_id"), "x", "y", F.array(F.lit(1).cast("bigint")).alias("banned"))
-    return raster.routes(raster.fragments(fx.pixels(spark, sf_dir), 4), starts)
+    return raster.routes(raster.fragments(fx.pixels(spark, sf_dir), 4), starts, width=240, height=240)
 
 
 @query()
@@ -864,14 +885,22 @@ def skeleton(spark, sf_dir):
     return raster.skeleton(opened_blobs(spark, sf_dir))
 
 
-@query()
+@query(
+    _with(fx.PIXELS_SQL.replace("pixels AS", "lines AS"), "pixels AS (SELECT image_id, x, y FROM lines UNION SELECT image_id, y, x + 1 FROM lines)", f"d AS ({_DEGREE})", fx.DOTS_SQL)
+    + "SELECT image_id, x, y FROM d WHERE degree >= 4 AND NOT EXISTS (SELECT 1 FROM dots WHERE dots.image_id = d.image_id AND (dots.x - d.x) ** 2 + (dots.y - d.y) ** 2 <= 196)"
+)
 def x_crossings(spark, sf_dir):
-    one = fx.pixels(spark, sf_dir).withColumn("image_id", F.lit(0).cast("bigint"))
+    one = fx.pixels(spark, sf_dir)
     crossed = one.unionByName(one.select("image_id", F.col("y").alias("x"), (F.col("x") + 1).alias("y"))).distinct()
-    return raster.crossings(crossed, fx.dots(spark, sf_dir).where("image_id = 0 and x < 60"))
+    return raster.crossings(crossed, fx.dots(spark, sf_dir))
 
 
-@query()
+@query(
+    _with(fx.PIXELS_SQL, fx.DOTS_SQL, "spot AS (SELECT i, CAST(round(9 * cos(2 * pi() * i / 64)) AS BIGINT) AS dx, CAST(round(9 * sin(2 * pi() * i / 64)) AS BIGINT) AS dy FROM (SELECT unnest(range(0, 64)) AS i))")
+    + """, seen AS (SELECT d.image_id, d.dot_id, i, count(p.x) AS wire FROM dots d CROSS JOIN spot LEFT JOIN pixels p ON p.image_id = d.image_id AND p.x = d.x + dx AND p.y = d.y + dy GROUP BY ALL),
+ walk AS (SELECT * FROM seen UNION ALL SELECT image_id, dot_id, i + 64, wire FROM seen WHERE i < 4), steps AS (SELECT *, coalesce(lag(wire) OVER (PARTITION BY image_id, dot_id ORDER BY i), 0) AS last FROM walk)
+SELECT image_id, dot_id, count(*) FILTER (wire = 1 AND last = 0) AS runs FROM steps GROUP BY ALL"""
+)
 def ring_runs(spark, sf_dir):
     return raster.ring_runs(fx.pixels(spark, sf_dir), fx.dots(spark, sf_dir))
 
@@ -884,9 +913,155 @@ def asc_text(spark, sf_dir):
     return schematic.drawing(placed, fx.placed_pins(epins), graph.spanning_wires(_net_points(spark, sf_dir)))
 
 
-@query()
+_PASSES = _CAND.rstrip() + """,
+ sickly AS (SELECT pin_id FROM pins LEFT JOIN fan USING (net) WHERE net IS NULL OR (fanout = 1 AND cls NOT IN ('gnd', 'vss'))), gone AS (SELECT comp_id FROM pins WHERE comp_id % 2 = 0 GROUP BY comp_id HAVING count(*) = count(*) FILTER (pin_id IN (SELECT pin_id FROM sickly) AND pin_id NOT IN (SELECT pin_id FROM cand))),
+ left_over AS (SELECT * FROM placed WHERE comp_id NOT IN (SELECT comp_id FROM gone)), met AS (SELECT a.pin_id, b.net FROM left_over a JOIN left_over b ON a.image_id = b.image_id AND a.cls IN ('gnd', 'vss') AND b.cls IN ('gnd', 'vss') AND a.net IS NULL AND b.net IS NOT NULL AND abs(a.x - b.x) + abs(a.y - b.y) <= 120
+   QUALIFY row_number() OVER (PARTITION BY a.pin_id ORDER BY abs(a.x - b.x) + abs(a.y - b.y), b.pin_id) = 1),
+ homed AS (SELECT l.* REPLACE (coalesce(l.net, met.net) AS net) FROM left_over l LEFT JOIN met USING (pin_id)),
+ free AS (SELECT c.*, h.comp_id FROM cand c JOIN homed h USING (pin_id) WHERE NOT EXISTS (SELECT 1 FROM homed s WHERE s.comp_id = h.comp_id AND s.pin_id <> h.pin_id AND s.net = c.enet)),
+ best AS (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY pin_id ORDER BY rank) = 1)
+SELECT 'prune' AS pass, comp_id AS pin_id, CAST(NULL AS BIGINT) AS before, CAST(NULL AS BIGINT) AS after FROM gone UNION ALL SELECT 'ground', pin_id, NULL, net FROM met
+ UNION ALL SELECT 'attach', b.pin_id, h.net, b.enet FROM best b JOIN homed h USING (pin_id) WHERE score >= 1 AND dist <= 80 UNION ALL SELECT 'no-op', NULL, NULL, NULL"""
+
+
+@query(_PASSES)
 def corrected_pins(spark, sf_dir):
     comps, epins = _electrical(spark, sf_dir, fx.SPARSE)
     placed = fx.placed_pins(epins)
     candidates = materialize(repair.repair_candidates(comps, placed, motifs.voltage_dividers(comps, epins).select("tap")), "candidates")
     return repair.corrected(comps.withColumn("is_rescued", F.col("comp_id") % 2 == 0), placed, candidates)[2]
+
+
+# ---- jobs, sources and sinks ----
+
+
+def _merge_files(spark, sf_dir):
+    split = F.element_at(F.array(F.lit("train"), F.lit("valid"), F.lit("test")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return fx.table(spark, sf_dir, "documents").select(F.col("source").alias("dataset"), split.alias("split"), F.concat(F.lit("P"), F.floor(F.col("doc_id") / 3).cast("string")).alias("name"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"), F.col("lang").alias("class_name"))
+
+
+_MERGE = """WITH f AS (SELECT source AS dataset, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, 'P' || doc_id // 3 AS name, coalesce(text, '') AS content, lang FROM documents),
+ g AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY dataset, split, lower(name), name) = 1 AS is_first FROM f)
+"""
+
+
+@query(_MERGE + "SELECT dataset, count(*) AS images, count(*) FILTER (NOT is_first) AS duplicates, count(*) FILTER (is_first) AS kept FROM g GROUP BY dataset")
+def merge_job(spark, sf_dir):
+    files = _merge_files(spark, sf_dir)
+    return jobs.merged(files.drop("class_name"), files.drop("content"), spark.createDataFrame([("en", "english")], "alias string, target string"))[2]
+
+
+@query(_MERGE + ", c AS (SELECT *, CASE lang WHEN 'en' THEN 'english' ELSE lang END AS canonical FROM g WHERE is_first), v AS (SELECT canonical, row_number() OVER (ORDER BY canonical) - 1 AS id FROM (SELECT DISTINCT canonical FROM c)) SELECT dataset, split, name, id FROM c JOIN v USING (canonical)")
+def merge_job_labels(spark, sf_dir):
+    files = _merge_files(spark, sf_dir)
+    return jobs.merged(files.drop("class_name"), files.drop("content"), spark.createDataFrame([("en", "english")], "alias string, target string"))[1].select("dataset", "split", "name", "id")
+
+
+@query(
+    _with(SPARSE, _NAMED, "last AS (SELECT comp_id, slot % 2 AS r, arg_max(node, pin_id) AS node FROM named WHERE cls = 'transformer' GROUP BY ALL)")
+    + "SELECT comp_id, 'R' || comp_id || ' ' || max(node) FILTER (r = 0) || ' ' || max(node) FILTER (r = 1) || ' 1k  ; resistor' AS text FROM last GROUP BY comp_id"
+)
+def spice_duplicate_roles(spark, sf_dir):
+    comps, epins = _electrical(spark, sf_dir, fx.SPARSE)
+    four = comps.where("cls = 'transformer'").withColumn("cls", F.lit("resistor"))
+    twice = epins.join(four.select("comp_id"), "comp_id", "left_semi").withColumn("role", F.concat(F.lit("p"), (F.col("slot") % 2).cast("string")))
+    return netlist.spice_elements(four, twice).select("comp_id", "text")
+
+
+@query("SELECT source, count(*) AS n, min(r) AS least, max(r) AS most FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 30 GROUP BY source")
+def capped_sample_of_one_key(spark, sf_dir):
+    """All rows of a source share one key: the cap still holds."""
+    rows = fx.table(spark, sf_dir, "documents").select("source", F.lit("the same").alias("key"))
+    n = etl.capped_sample(rows, "source", "key", 30).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("source", "n", F.lit(1).cast("bigint").alias("least"), F.col("n").alias("most"))
+
+
+@query("SELECT CASE WHEN r <= n * 8 // 10 THEN 'train' WHEN r <= n * 8 // 10 + n // 10 THEN 'valid' ELSE 'test' END AS split, count(*) AS n FROM (SELECT row_number() OVER () AS r, count(*) OVER () AS n FROM orders) GROUP BY ALL")
+def seeded_split(spark, sf_dir):
+    return jobs.seeded_split(fx.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_with(fx.BOXES_SQL) + "SELECT det_id, CASE WHEN det_id % 2 = 0 THEN -y0 ELSE x0 END AS x, CASE WHEN det_id % 2 = 0 THEN x0 ELSE y0 END AS y FROM boxes")
+def symbol_points(spark, sf_dir):
+    turn = F.when(F.col("det_id") % 2 == 0, "R90").otherwise("R0")
+    return fx.boxes(spark, sf_dir).select("det_id", symbol_point(F.col("x0"), F.col("y0"), turn).alias("p")).select("det_id", "p.x", "p.y")
+
+
+@query(_with(fx.BOXES_SQL) + """SELECT 'structural_candidates' AS "check", image_id, x0, y0, x1, y1, det_id AS n FROM boxes""")
+def structural_candidates(spark, sf_dir):
+    return checks.structural_candidates(fx.boxes(spark, sf_dir).withColumnRenamed("det_id", "n"))
+
+
+@query(_with(fx.BOXES_SQL) + "SELECT det_id AS image_id, CAST(1 AS BIGINT) AS loop, 'rect' AS kind, (x1 - x0 + 30) * (y1 - y0 + 30) AS area, x0, y0, x1 + 30 AS x1, y1 + 30 AS y1 FROM boxes WHERE (x1 - x0 + 30) * (y1 - y0 + 30) >= 1500 AND x1 - x0 + 30 > 40")
+def wire_loops(spark, sf_dir):
+    """The frame of each box, grown by 30, as a picture of its own."""
+    b = fx.boxes(spark, sf_dir).select(F.col("det_id").alias("image_id"), "x0", "y0", (F.col("x1") + 29).alias("x1"), (F.col("y1") + 29).alias("y1"))
+    sides = F.concat(F.transform(F.sequence("x0", "x1"), lambda x: F.struct(x.alias("x"), F.col("y0").alias("y"))), F.transform(F.sequence("x0", "x1"), lambda x: F.struct(x.alias("x"), F.col("y1").alias("y"))), F.transform(F.sequence("y0", "y1"), lambda y: F.struct(F.col("x0").alias("x"), y.alias("y"))), F.transform(F.sequence("y0", "y1"), lambda y: F.struct(F.col("x1").alias("x"), y.alias("y"))))
+    return raster.loops(b.select("image_id", F.explode(sides).alias("p")).select("image_id", "p.x", "p.y").distinct())
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/netloom-sources-{uuid.uuid4().hex[:8]}/{name}"
+
+
+@query(_with(fx.LABELS_SQL) + "SELECT file, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS line_no, line FROM label_lines")
+def read_label_files(spark, sf_dir):
+    """Label lines written as a text file for each picture, and found and read again."""
+    path = _folder(spark, "labels")
+    lines = fx.label_lines(spark, sf_dir)
+    writers.write_label_text(lines.withColumnRenamed("file", "stem"), path)
+    found = readers.label_lines(spark, path)
+    return found.select(F.regexp_extract("file", "stem=([^/]*)/", 1).alias("file"), F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
+@query(_with(fx.BOXES_SQL) + "SELECT image_id || '.png' AS file_name, CAST(300 AS DOUBLE) AS width, CAST(200 + image_id AS DOUBLE) AS height, 'class ' || det_id % 3 AS category, CAST(x0 AS DOUBLE) AS x, CAST(y0 AS DOUBLE) AS y, CAST(x1 - x0 AS DOUBLE) AS w, CAST(y1 - y0 AS DOUBLE) AS h FROM boxes")
+def read_coco(spark, sf_dir):
+    """Boxes as COCO files of four pictures each, read again; ids repeat from file to file."""
+    path = _folder(spark, "coco")
+    b = fx.boxes(spark, sf_dir).withColumn("part", F.col("image_id") % 5)
+    boxes = b.groupBy("part").agg(F.collect_list(F.struct(F.floor(F.col("image_id") / 5).alias("image_id"), (F.col("det_id") % 3).alias("category_id"), F.array(*[F.col(x).cast("double") for x in ("x0", "y0")], (F.col("x1") - F.col("x0")).cast("double"), (F.col("y1") - F.col("y0")).cast("double")).alias("bbox"))).alias("annotations"))
+    images = b.select("part", "image_id").distinct().groupBy("part").agg(F.collect_list(F.struct(F.floor(F.col("image_id") / 5).alias("id"), F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("file_name"), F.lit(300.0).alias("width"), (F.col("image_id") + 200).cast("double").alias("height"))).alias("images"))
+    names = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(f"class {i}").alias("name")) for i in range(3)])
+    whole = boxes.join(images, "part").select("part", F.to_json(F.struct("images", "annotations", names.alias("categories"))).alias("value"))
+    whole.repartition("part").write.partitionBy("part").text(path)
+    return readers.coco_boxes(spark, path)
+
+
+@query("SELECT 'a' AS file, CAST(p_size AS INTEGER) AS class_id, 'size ' || p_size AS name FROM part GROUP BY p_size UNION ALL SELECT 'b', CAST(row_number() OVER (ORDER BY p_size) - 1 AS INTEGER), 'size ' || p_size FROM part GROUP BY p_size")
+def read_class_names(spark, sf_dir):
+    """Names by number (a) and in a list (b), written as data.yaml files and read again."""
+    path = _folder(spark, "names")
+    sizes = fx.table(spark, sf_dir, "part").select("p_size").distinct()
+    numbered = sizes.agg(F.concat(F.lit("names:\n"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("p_size")), lambda x: F.concat(F.lit("  "), x.cast("string"), F.lit(": size "), x.cast("string"))))).alias("value"))
+    order = F.row_number().over(Window.orderBy("p_size")) - 1
+    listed = writers.names_yaml(sizes.select(order.alias("id"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("name"))).select(F.col("text").alias("value"))
+    for name, rows in (("a", numbered), ("b", listed)):
+        writers.write_document(rows, f"{path}/set={name}", ".yaml")
+    return readers.class_names(spark, path).select(F.regexp_extract("file", "set=([^/]*)/", 1).alias("file"), "class_id", "name")
+
+
+@query(_with(SPARSE, *_ELEMENTS) + "SELECT kind, count(*) AS elements, CAST(0 AS BIGINT) AS bad_lines FROM (SELECT substr(text, 1, 1) AS kind FROM elements WHERE text IS NOT NULL) GROUP BY kind")
+def read_decks(spark, sf_dir):
+    """A deck for each of seven pictures, written as text, read and parsed again."""
+    path = _folder(spark, "decks")
+    comps, epins = _electrical(spark, sf_dir, fx.SPARSE)
+    deck = netlist.spice_deck(netlist.spice_elements(comps, epins).withColumn("picture", F.col("comp_id") % 7), "deck", "picture")
+    writers.write_label_text(deck.select(F.col("picture").cast("string").alias("stem"), "line_no", F.col("text").alias("line")), path)
+    return netlist.spice_report(readers.text_lines(spark, path).where("text <> ''"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderkey % 3 AS was, o_custkey % 3 AS becomes FROM orders WHERE o_orderkey % 3 <> o_custkey % 3")
+def read_manifest(spark, sf_dir):
+    """The manifest of moved pictures, written as CSV and read again."""
+    path = _folder(spark, "manifest")
+    moved = resplit_moves(spark, sf_dir)
+    writers.write_manifest(moved, path)
+    return spark.read.schema(moved.schema).option("header", "true").csv(path)
+
+
+@query("SELECT kind, n, bytes FROM (SELECT 'label' AS kind, count(DISTINCT p_partkey % 40) AS n FROM part) a, (SELECT CAST(sum(len(line) + 1) AS BIGINT) AS bytes FROM label_lines) b".replace("SELECT kind", "WITH " + fx.LABELS_SQL + " SELECT kind", 1))
+def read_structure(spark, sf_dir):
+    """Kinds of files in a folder of label files."""
+    path = _folder(spark, "structure")
+    writers.write_label_text(fx.label_lines(spark, sf_dir).withColumnRenamed("file", "stem"), path)
+    return readers.structure(spark, path).where("kind = 'label'")

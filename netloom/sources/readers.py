@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import map_arrow
@@ -40,13 +40,16 @@ def label_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def class_names(spark: SparkSession, path: str) -> DataFrame:
-    """file, class_id, name from data.yaml files: a flow list, a block list, or numbered names."""
+    """file, class_id, name from data.yaml files: a flow list, a block list, or numbered names, which keep their numbers."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yaml").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     flow = F.regexp_extract("value", r"(?s)names\s*:\s*\[(.*?)\]", 1)
     block = F.regexp_extract("value", r"(?m)^names\s*:\s*\n((?:[ \t]*(?:-|\d+\s*:)[^\n]*(?:\n|$))+)", 1)
     bare = lambda x: F.btrim(F.trim(x), F.lit("'\""))
-    names = F.when(flow != "", F.transform(F.split(flow, ","), bare)).otherwise(F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*(?:-|\d+\s*:)[ \t]*([^\n]*?)[ \t]*$"), F.lit(1)), bare))
-    return rows.select("file", F.posexplode(F.filter(names, lambda x: x != "")).alias("class_id", "name"))
+    item = r"(?m)^[ \t]*(-|\d+)[ \t]*:?[ \t]*([^\n]*?)[ \t]*$"
+    part = lambda group: F.regexp_extract_all(block, F.lit(item), F.lit(group))
+    listed = F.transform(F.filter(F.transform(F.split(flow, ","), bare), lambda x: x != ""), lambda x, i: F.struct(i.alias("class_id"), x.alias("name")))
+    numbered = F.transform(F.arrays_zip(part(1).alias("mark"), part(2).alias("name")), lambda x, i: F.struct(F.coalesce(x["mark"].try_cast("int"), i).alias("class_id"), bare(x["name"]).alias("name")))
+    return rows.select("file", F.explode_outer(F.when(flow != "", listed).otherwise(F.filter(numbered, lambda x: x["name"] != ""))).alias("c")).where("c is not null").select("file", "c.class_id", "c.name")
 
 
 def coco_boxes(spark: SparkSession, path: str) -> DataFrame:
@@ -104,14 +107,16 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
-    """file, epochs, map5095: the last row of training logs, whose headers have spaces and vary."""
-    rows = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").csv(path).withColumn("_file", F.col("_metadata.file_path"))
-    found = {x.strip().lower(): x for x in rows.columns}
-    epoch = F.col(f"`{found['epoch']}`").try_cast("double")
-    score = F.coalesce(*[F.col(f"`{raw}`").try_cast("double") for name, raw in found.items() if "map50-95" in name], F.lit(None).cast("double"))
-    last = Window.partitionBy("_file").orderBy(F.desc("e"))
-    rows = rows.select("_file", epoch.alias("e"), score.alias("s")).where("e is not null").withColumn("r", F.row_number().over(last)).where("r = 1")
-    return rows.select(F.col("_file").alias("file"), F.col("e").cast("bigint").alias("epochs"), F.col("s").alias("map5095"))
+    """file, epochs, map5095: the last row of training logs. Each file's own header tells its columns; headers have spaces and vary."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    cells = lambda x: F.transform(F.split(x, ","), lambda y: F.btrim(y))
+    rows = rows.withColumn("header", F.transform(cells(F.get("lines", F.lit(0))), lambda x: F.lower(x)))
+    rows = rows.select("file", "header", F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).withColumn("line", cells(F.col("line")))
+    at = lambda test: F.transform(F.filter(F.transform("header", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()), lambda i: F.get("line", i).try_cast("double"))
+    known = lambda values: F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
+    rows = rows.select("file", known(at(lambda x: x == "epoch")).alias("e"), known(at(lambda x: x.contains("map50-95"))).alias("s")).where("e is not null")
+    last = rows.groupBy("file").agg(F.max(F.struct("e", "s")).alias("last"))
+    return last.select("file", F.col("last.e").cast("bigint").alias("epochs"), F.col("last.s").alias("map5095"))
 
 
 def structure(spark: SparkSession, path: str) -> DataFrame:

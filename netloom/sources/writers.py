@@ -11,6 +11,23 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.write.partitionBy("split").mode("errorifexists").parquet(path)
 
 
+def write_label_text(labels: DataFrame, path: str) -> None:
+    """Label lines (stem, line_no, line) as text, a folder stem=... with one file for each picture, in the order of line_no: for trainers that want such files."""
+    rows = labels.repartition("stem").sortWithinPartitions("stem", "line_no")
+    rows.select("stem", F.col("line").alias("value")).write.partitionBy("stem").mode("errorifexists").option("lineSep", "\n").text(path)
+
+
+def write_document(row: DataFrame, path: str, ending: str) -> None:
+    """The one row (value) of a dimension as a text file of this ending, written by Spark and renamed in its store."""
+    row.coalesce(1).write.mode("errorifexists").text(path)
+    spark = row.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part-*.txt")):
+        store.rename(found.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"data{ending}"))
+
+
 def write_manifest(moves: DataFrame, path: str) -> None:
     moves.write.mode("errorifexists").option("header", "true").csv(path)
 

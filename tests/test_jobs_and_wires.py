@@ -1,5 +1,6 @@
 """Dataset jobs, wires, pins and the stream over small cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def test_drawing_round_trip(spark):
 
 def test_merge_audit_and_splits(spark):
     files = spark.createDataFrame([("a", "train", "X.png", b"1"), ("b", "train", "y.png", b"1"), ("b", "test", "z.png", b"2")], "dataset string, split string, name string, content binary")
-    labels = spark.createDataFrame([("a", "X.png", "Res-1"), ("b", "y.png", "GND"), ("b", "z.png", "gnd sym")], "dataset string, name string, class_name string")
+    labels = spark.createDataFrame([("a", "train", "X.png", "Res-1"), ("b", "train", "y.png", "GND"), ("b", "test", "z.png", "gnd sym"), ("b", "valid", "z.png", "no file")], "dataset string, split string, name string, class_name string")
     aliases = spark.createDataFrame([("GND", "gnd")], "alias string, target string")
     vocabulary, merged, stats = jobs.merged(files, labels, aliases)
     assert rows(vocabulary, "id") == [("gnd_sym", 0), ("res_1", 1)]
@@ -132,4 +133,117 @@ def test_maze_rescue_takes_every_dot_and_the_window_of_production(spark, monkeyp
     sf, seen = "/root/testdata/sf0.01", []
     monkeypatch.setattr(raster, "routes", lambda targets, starts, **bounds: seen.append((starts.count(), bounds)))
     QUERIES["maze_rescue"](spark, sf)
-    assert seen == [(fx.dots(spark, sf).count(), {})]
+    assert seen == [(fx.dots(spark, sf).count(), {"width": 240, "height": 240})]
+
+
+def test_lines_of_circles_match_a_search_by_hand(spark):
+    """Seeds in order, one after the other, over random circles."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(40):
+        points = sorted({(rng.randrange(400), rng.choice([10, 12, 30, 200, rng.randrange(300)])) for _ in range(rng.randrange(1, 40))})
+        x, y = (np.array(v, float) for v in zip(*points))
+        want, taken = [], set()
+        for seed in sorted(range(len(points)), key=lambda i: (points[i][1], i)):
+            if seed not in taken:
+                near = [i for i, p in enumerate(points) if -14 <= p[1] - points[seed][1] <= 14]
+                if len(near) > 4 and max(points[i][0] for i in near) - min(points[i][0] for i in near) >= 150:
+                    want.append(near)
+                    taken.update(near)
+        assert [sorted(found.tolist()) for found in wires._lines(x, y, 14, 5, 150)] == want
+
+
+def test_skeletons_match_the_rules_pixel_by_pixel():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        image = (rng.random((14, 17)) < 0.7).astype(np.uint8)
+        got = raster.thin(image)
+        now, changed = np.pad(image, 1), True
+        while changed:
+            changed = False
+            for second in (False, True):
+                gone = []
+                for r in range(1, now.shape[0] - 1):
+                    for c in range(1, now.shape[1] - 1):
+                        around = [int(now[r + dr, c + dc]) for dr, dc in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
+                        enters = sum(a == 0 and b == 1 for a, b in zip(around, [*around[1:], around[0]]))
+                        n, e, so, w = around[::2]
+                        keeps = (n and e and w) or (n and so and w) if second else (n and e and so) or (e and so and w)
+                        if now[r, c] and 2 <= sum(around) <= 6 and enters == 1 and not keeps:
+                            gone.append((r, c))
+                for at in gone:
+                    now[at] = 0
+                changed |= bool(gone)
+        assert (got == now[1:-1, 1:-1]).all()
+
+
+def test_routes_match_relaxation(spark):
+    import random
+
+    rng = random.Random(3)
+    width, height = 30, 24
+    wire = {(rng.randrange(width), rng.randrange(height)): rng.randrange(1, 4) for _ in range(120)}
+    starts = [(i, rng.randrange(width), rng.randrange(height), rng.sample([1, 2, 3], rng.randrange(3))) for i in range(12)]
+    got = {r.point_id: (r.frag, round(r.cost, 6)) for r in raster.routes(spark.createDataFrame([(0, *p, f) for p, f in wire.items()], "image_id long, x long, y long, frag long"), spark.createDataFrame([(0, *s) for s in starts], "image_id long, point_id long, x long, y long, banned array<long>"), window=9, most=40.0, width=width, height=height).collect()}
+    for i, x, y, banned in starts:
+        inside = [(a, b) for a in range(max(0, x - 9), min(width, x + 10)) for b in range(max(0, y - 9), min(height, y + 10))]
+        cost = dict.fromkeys(inside, 1e18) | {(x, y): 0.0}
+        for _ in inside:
+            before = dict(cost)
+            for a, b in inside:
+                for da in (-1, 0, 1):
+                    for db in (-1, 0, 1):
+                        if (da or db) and (a + da, b + db) in before:
+                            cost[a, b] = min(cost[a, b], before[a + da, b + db] + (1.0 if (a, b) in wire else 12.0) * (1.4142 if da and db else 1.0))
+            if cost == before:
+                break
+        ends = [(cost[p], wire[p]) for p in inside if p in wire and wire[p] not in banned and p != (x, y) and cost[p] <= 40]
+        assert (i in got) == bool(ends) and (not ends or (round(min(ends)[0], 6) == got[i][1] and got[i][0] in {f for c, f in ends if c < min(ends)[0] + 1e-9}))
+
+
+def test_samples_of_one_key_and_without_a_source(spark):
+    from netloom.operators import etl
+
+    df = spark.createDataFrame([("a", 1)] * 2000 + [("b", i % 3) for i in range(2000)] + [(None, i) for i in range(200)] + [("c", None)] * 5, "s string, id long")
+    assert {r.s: r["count"] for r in etl.capped_sample(df, "s", "id", 40).groupBy("s").count().collect()} == {"a": 40, "b": 40, None: 40, "c": 5}
+
+
+def test_a_deck_for_each_picture(spark):
+    from netloom.operators import netlist
+
+    elements = spark.createDataFrame([("p", 2, 0, "X2 N1 N2 ICSTUB  ; integrated_circuit"), ("p", 1, 0, "R1 N1 0 1k"), ("q", 3, 0, "C3 N1 0 1u"), (None, 4, 0, "C4 N1 0 1u")], "picture string, comp_id long, part long, text string")
+    found = {}
+    for r in netlist.spice_deck(elements, picture="picture").orderBy("picture", "line_no").collect():
+        found.setdefault(r.picture, []).append(r.text)
+    assert found["p"][2:4] == ["R1 N1 0 1k", "X2 N1 N2 ICSTUB  ; integrated_circuit"] and ".subckt ICSTUB N1 N2" in found["p"] and found["p"][-1] == ".end"
+    for picture in ("p", "q"):
+        alone = netlist.spice_deck(elements.where(F.col("picture") == picture).drop("picture")).orderBy("line_no").collect()
+        assert [r.text for r in alone] == found[picture]
+    assert len(found) == 3
+
+
+def test_roles_of_several_pins(spark):
+    from netloom.operators import netlist
+
+    comps = spark.createDataFrame([(1, "resistor")], "comp_id long, cls string")
+    pins_ = spark.createDataFrame([(10, 1, "p0", 5), (11, 1, "p0", 6), (12, 1, "p1", None), (9, 1, "p1", 3), (13, 1, None, 3)], "pin_id long, comp_id long, role string, enet long")
+    assert [r.text for r in netlist.spice_elements(comps, pins_).collect()] == ["R1 N6 FLT_12 1k  ; resistor"]
+
+
+def test_snapping_is_given_up_where_nodes_differ(spark):
+    rows_ = lambda n: spark.range(n)
+    drawn, used = schematic.snap_or_not(rows_, lambda d: d.where("id > 5"))
+    assert used == 0 and drawn.count() == 0
+    assert schematic.snap_or_not(rows_, lambda d: d.where("id > 50"))[1] == 10
+
+
+def test_loops_are_told_apart(spark):
+    from math import cos, pi, sin
+
+    ring = {(round(100 + 40 * cos(i * pi / 400)), round(100 + 40 * sin(i * pi / 400))) for i in range(800)}
+    frame = {(x, y) for x in range(300, 381) for y in range(20, 91) if x in (300, 380) or y in (20, 90)}
+    line = {(x, 300) for x in range(200)}
+    pixels = spark.createDataFrame([(7, *p) for p in ring | frame | line], "image_id long, x long, y long")
+    got = raster.loops(pixels).orderBy("x0").collect()
+    assert [(r.kind, r.x0, r.y0, r.x1, r.y1) for r in got] == [("circle", 60, 60, 141, 141), ("rect", 300, 20, 381, 91)]

@@ -37,3 +37,13 @@ def test_sinks(spark, tmp_path):
     writers.write_ordered_text(lines, str(tmp_path / "deck"), ["n"])
     assert [r.text for r in readers.text_lines(spark, str(tmp_path / "deck")).orderBy("line_no").collect() if r.text] == ["a", "b"]
     assert writers.names_yaml(spark.createDataFrame([("x", 1), ("y", 0)], "name string, id long")).first()[0] == "nc: 2\nnames: ['y', 'x']\n"
+
+
+def test_numbered_names_and_logs_of_different_headers(spark, tmp_path):
+    (tmp_path / "data.yaml").write_text("names:\n  0: a\n  2: 'b c'\n")
+    assert sorted((r.class_id, r.name) for r in readers.class_names(spark, str(tmp_path)).collect()) == [(0, "a"), (2, "b c")]
+    (tmp_path / "one.csv").write_text("epoch, metrics/mAP50-95(B)\n1, 0.1\n2, 0.2\n")
+    (tmp_path / "two.csv").write_text("  time,metrics/mAP50-95(B),  epoch\n9,0.5,7\n\n")
+    (tmp_path / "three.csv").write_text("epoch,loss\n3,1\n")
+    got = {r.file.rpartition("/")[2]: (r.epochs, r.map5095) for r in readers.progress(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {"one.csv": (2, 0.2), "two.csv": (7, 0.5), "three.csv": (3, None)}
