@@ -1,21 +1,26 @@
 """Removal of long byte strings that occur more than once, by column-wise Burrows-Wheeler construction over many strings.
 
-A string of `window` bytes goes from every place where it starts, if it starts anywhere else. The work has three parts.
+A string of `window` bytes goes from every place where it starts, if it starts anywhere else. The construction inserts one symbol of each string a round. Over whole texts that
+would take as many rounds over the whole collection as the longest text has bytes. So windows come together first:
 
-Strings that can be equal come together. Every window has one of its `GRAM`-byte grams as its minimizer: the one of the least hash,
+Every window has one of its `GRAM`-byte grams as its minimizer: the one of the least hash,
 the last on ties. Consecutive windows with the same minimizer form a segment of at most 2 * window - GRAM bytes. Equal windows have
-equal minimizers at the same place within them, so segments meet by the hash of that gram, their bucket. Buckets of one segment, the most,
-end there. Of equal segments one stands for all; with two of them or more, all their windows are repeated.
-
-Buckets with different segments get the construction. The segments of a shard of buckets are aligned at the minimizer and
-read from the last column to the first. Each round inserts one symbol of each segment: the order of the suffixes that begin in this
-column follows from their symbols and the order one column before, as in the update of a collection's Burrows-Wheeler transform;
-the common prefixes of neighbours are the range minima of the column before, plus one, within a symbol. Since equal windows
-stand in the same columns, only the suffixes of the newest column are kept, and a round costs time in proportion to the segments rather than to all suffixes.
-Neighbours with a common prefix of `window` or more begin with a repeated window.
-
-A bucket of more than `max_bucket` different segments isn't gathered: its windows are counted by 128-bit hashes, pre-aggregated, in
-as many tasks as there are. Between the parts, tables in the shared folder take the place of the construction's sequential files.
+equal minimizers at the same place within them, so segments meet by the hash of that gram, their bucket. Segments that meet no other take no part. Equal ones (by a
+128-bit cryptographic digest, counted before the shuffle) are one string with its number of copies. All others, whatever their number of copies, are
+constructed.
+
+The strings of a shard of buckets are aligned at the minimizer and read from the last column to the first. For each suffix in their order, the transform holds the
+symbol before it, which stands in the next column; sorting stably by it inserts that column, and gives the order of the suffixes that begin there. The
+common prefixes of neighbours are the range minima of the column before, plus one, within a symbol. Since equal windows
+stand in the same columns, only the suffixes of the newest column are kept. Neighbours with a common prefix of `window` or more begin with a repeated window,
+and so does a suffix of that length of a string with copies.
+
+The columns still to come, the order, the common prefixes and what has been found are a row for each shard of a table in the shared folder: `STAGES` times the table is
+read in sequence, a block of columns inserted, and the next table written. So the files are read and written sequentially, and a lost executor costs a block.
+
+A bucket of more than `max_bucket` strings would be too much for a shard. A window holds, beside the minimizer, half of its other bytes to the left of it or half to the right. So such a
+bucket falls apart into those that agree in as many bytes more on the left, and those that do on the right, each with the windows that hold them; this
+repeats until buckets are small, at the latest when the strings are single windows, which are all equal. Parts are solved as any bucket is.
 """
 
 from __future__ import annotations
@@ -32,10 +37,12 @@ from pyspark.sql import functions as F
 from .common import drop_table, map_arrow, materialize, ship, text_of
 
 GRAM = 32
-#: Bytes that are hashed at a time; texts of more are read in overlapping pieces.
-PIECE = 1 << 22
+#: Bytes that are read at a time; texts of more are taken in overlapping pieces.
+PIECE = 1 << 18
+#: Tables of the construction, each with the columns that those before it left.
+STAGES = 4
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)]
-_LOW = np.uint64((1 << 24) - 1)
+_LOW = np.uint64((1 << 24) - 1)  # more than PIECE
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -84,44 +91,79 @@ def segments(text: bytes, window: int) -> list[tuple[np.ndarray, np.ndarray, np.
     return out
 
 
-def repeated_windows(strings: list[bytes], left: np.ndarray, bucket: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each string a flag for each of its windows: whether it equals a window of another string of its bucket.
+class Construction:
+    """Strings of buckets, aligned at a place in each, and the state of their column-wise construction.
 
-    left: the place in each string of what the strings of a bucket are aligned at. Strings of a bucket must be distinct.
+    columns: the symbols still to come, a row for each column, with zeros where a string has none. Column `zero` of them is that of the places left.
     """
-    size = np.array([len(x) for x in strings], np.int64)
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    zero = np.concatenate([[0], np.cumsum(size)[:-1]]) + left  # where column 0 of each string is
-    right = size - left
-    flags = np.zeros(int(np.maximum(size - window + 1, 0).sum()), bool)
-    flag_zero = np.concatenate([[0], np.cumsum(np.maximum(size - window + 1, 0))[:-1]]) + left
-    order = np.argsort(bucket, kind="stable")
-    common = np.zeros(len(order) + 1, np.int16)  # of each suffix in the order with the one before it; one more for reduceat
-    for column in range(int(right.max()) - 1, -int(left.max()) - 1, -1):
-        alive = np.flatnonzero(left[order] >= -column)
-        held = order[alive]
-        started = right[held] > column
-        symbol = np.where(started, flat[np.where(started, zero[held] + column, 0)].astype(np.int64) + 1, 0)
-        key = bucket[held] * 257 + symbol
-        turn = np.argsort(key, kind="stable")
-        key, before = key[turn], alive[turn]
-        order = held[turn]
-        same = (key[1:] == key[:-1]) & (symbol[turn][1:] > 0)
-        now = np.zeros(len(order) + 1, np.int16)
-        if same.any():
-            spans = np.stack([before[:-1][same] + 1, before[1:][same] + 1], axis=1).ravel()
-            now[1:-1][same] = np.minimum.reduceat(common, spans)[::2] + 1
-        common = now
-        hit = common[:-1] >= window
-        hit[:-1] |= hit[1:].copy()
-        flags[flag_zero[order[hit]] + column] = True
-    return np.split(flags, np.cumsum(np.maximum(size - window + 1, 0))[:-1])
-
-
-def _runs(flags: np.ndarray) -> list[list[int]]:
-    """[first, last] of each run of set flags."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return np.stack([edge[::2], edge[1::2] - 1], axis=1).tolist()
+
+    def __init__(self, columns: np.ndarray, zero: int, left: np.ndarray, right: np.ndarray, bucket: np.ndarray, copies: np.ndarray):
+        self.columns, self.zero, self.left, self.right, self.bucket, self.copies = columns, zero, left, right, bucket, copies
+        self.order = np.argsort(bucket, kind="stable").astype(np.int32)
+        self.common = np.zeros(len(bucket) + 1, np.int16)  # of each suffix in the order with the one before it; one more for reduceat
+        self.found_string, self.found_column = np.zeros(0, np.int32), np.zeros(0, np.int16)
+
+    @staticmethod
+    def of_strings(strings: list[bytes], left: np.ndarray, bucket: np.ndarray, copies: np.ndarray) -> Construction:
+        size = np.array([len(x) for x in strings], np.int64)
+        zero = int(left.max())
+        columns = np.zeros((zero + int((size - left).max()), len(strings)), np.uint8)
+        flat = np.frombuffer(b"".join(strings), np.uint8)
+        string = np.repeat(np.arange(len(strings)), size)
+        column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + (zero - left)[string]
+        columns[column, string] = flat
+        return Construction(columns, zero, left.astype(np.int16), (size - left).astype(np.int16), bucket.astype(np.int32), copies > 1)
+
+    def insert(self, window: int, most: int) -> None:
+        """Insert up to `most` columns, the last ones first."""
+        strings, places = [self.found_string], [self.found_column]
+        for row in range(len(self.columns) - 1, max(-1, len(self.columns) - 1 - most), -1):
+            column = row - self.zero
+            there = np.flatnonzero(self.left[self.order] >= -column)
+            held = self.order[there]
+            transform = np.where(self.right[held] > column, self.columns[row][held].astype(np.int64) + 1, 0)
+            key = self.bucket[held].astype(np.int64) * 257 + transform
+            turn = np.argsort(key, kind="stable")
+            key, before = key[turn], there[turn]
+            self.order = held[turn]
+            same = (key[1:] == key[:-1]) & (transform[turn][1:] > 0)
+            now = np.zeros(len(self.order) + 1, np.int16)
+            if same.any():
+                spans = np.stack([before[:-1][same] + 1, before[1:][same] + 1], axis=1).ravel()
+                now[1:-1][same] = np.minimum.reduceat(self.common, spans)[::2] + 1
+            self.common = now
+            hit = now[:-1] >= window
+            hit[:-1] |= hit[1:].copy()
+            hit |= self.copies[self.order] & (self.right[self.order] - column >= window)
+            found = self.order[hit]
+            strings.append(found)
+            places.append((self.left[found] + column).astype(np.int16))
+        self.columns = self.columns[: max(0, len(self.columns) - most)]
+        self.found_string, self.found_column = np.concatenate(strings), np.concatenate(places)
+
+    def runs(self) -> dict[int, list[list[int]]]:
+        """Of each string with a repeated window, the first and last of each run of such windows."""
+        turn = np.lexsort((self.found_column, self.found_string))
+        string, place = self.found_string[turn], self.found_column[turn].astype(np.int64)
+        edge = np.flatnonzero((np.diff(string, prepend=-1) != 0) | (np.diff(place, prepend=-2) != 1))
+        out: dict[int, list[list[int]]] = {}
+        for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(string)]):
+            out.setdefault(int(string[a]), []).append([int(place[a]), int(place[z - 1])])
+        return out
+
+    #: The state as it stands in a table, and the kinds of its numbers.
+    FIELDS = (("left", np.int16), ("right", np.int16), ("bucket", np.int32), ("copies", np.bool_), ("order", np.int32), ("common", np.int16), ("found_string", np.int32), ("found_column", np.int16))
+
+    def packed(self) -> dict:
+        return {"zero": self.zero, "height": len(self.columns), "columns": self.columns.tobytes()} | {x: getattr(self, x).tobytes() for x, _ in self.FIELDS}
+
+    @staticmethod
+    def unpacked(row: dict) -> Construction:
+        out = Construction.__new__(Construction)
+        for x, kind in Construction.FIELDS:
+            setattr(out, x, np.frombuffer(row[x], kind))
+        out.zero, out.columns = row["zero"], np.frombuffer(row["columns"], np.uint8).reshape(row["height"], len(out.bucket))
+        return out
 
 
 def _in_batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], weigh, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -139,6 +181,10 @@ def _in_batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType
         yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in held], names)
 
 
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 def _segment_rows(texts: DataFrame, window: int) -> DataFrame:
     """uid, starts, n, at, bucket, content: a row for each distinct segment of a piece of a text, with all its starts there.
 
@@ -152,70 +198,182 @@ def _segment_rows(texts: DataFrame, window: int) -> DataFrame:
                 if len(raw) < window:
                     continue
                 for first, count, at, bucket in segments(raw, window):
-                    hashes = np.fromiter((xxhash.xxh64_intdigest(raw[a:z]) for a, z in zip(first.tolist(), (first + count + window - 1).tolist())), np.uint64, len(first))
-                    content, one, which, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                    digests = np.array([_digest(raw[a:z]) for a, z in zip(first.tolist(), (first + count + window - 1).tolist())], "V16")
+                    content, one, which, times = np.unique(digests.view("S16"), return_index=True, return_inverse=True, return_counts=True)
                     starts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]).astype(np.int32)), pa.array(first[np.argsort(which, kind="stable")]))
-                    yield np.full(len(one), uid), starts, count[one].astype(np.int32), (at - first)[one].astype(np.int32), bucket[one], content.view(np.int64)
+                    yield np.full(len(one), uid), starts, count[one].astype(np.int32), (at - first)[one].astype(np.int32), bucket[one], pa.array([x.tobytes() for x in digests[one]], pa.binary())
 
     names = ["uid", "starts", "n", "at", "bucket", "content"]
-    types = [pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    run = lambda batches: _in_batches(found(batches), names, types, lambda x: 64 * len(x[0]))
-    return map_arrow(texts, run, "uid bigint, starts array<bigint>, n int, at int, bucket bigint, content bigint")
+    types = [pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    run = lambda batches: _in_batches(found(batches), names, types, lambda x: 80 * len(x[0]))
+    return map_arrow(texts, run, "uid bigint, starts array<bigint>, n int, at int, bucket bigint, content binary")
+
+
+def _pieces(texts: DataFrame, window: int) -> DataFrame:
+    """uid, piece, part: texts in pieces, with what a segment that starts in one may hold of the next; so that what is looked up in a row is bounded."""
+    size = PIECE
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = text.as_buffer().to_pybytes()
+                for piece in range(0, max(1, len(raw)), size):
+                    yield [uid], [piece // size], [raw[piece : piece + size + 2 * window]]
+
+    run = lambda batches: _in_batches(cut(batches), ["uid", "piece", "part"], [pa.int64(), pa.int64(), pa.binary()], lambda x: 100 + len(x[2][0]))
+    return map_arrow(texts, run, "uid bigint, piece bigint, part binary")
 
 
 def _with_bytes(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """bucket, at, content, bytes of segments (uid, start, n, at, bucket, content)."""
-    grouped = wanted.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "at", "bucket", "content")).alias("wanted")).withColumnRenamed("uid", "of")
-    joined = texts.hint("merge").join(grouped, texts["uid"] == grouped["of"]).select("text", "wanted")
+    """bucket, at, content, copies, bytes of segments (uid, start, n, at, bucket, content, copies)."""
+    size = PIECE
+    grouped = wanted.groupBy(F.col("uid").alias("of"), F.floor(F.col("start") / size).alias("of_piece")).agg(F.collect_list(F.struct("start", "n", "at", "bucket", "content", "copies")).alias("wanted"))
+    pieces = _pieces(texts, window)
+    joined = pieces.hint("merge").join(grouped, (pieces["uid"] == grouped["of"]) & (pieces["piece"] == grouped["of_piece"])).select("piece", "part", "wanted")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for text, rows in zip(batch.column(0), batch.column(1).to_pylist()):
-                raw = text.as_buffer().to_pybytes()
-                cut = [raw[r["start"] : r["start"] + r["n"] + window - 1] for r in rows]
-                yield [r["bucket"] for r in rows], [r["at"] for r in rows], [r["content"] for r in rows], cut
+            for piece, part, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                raw = part.as_buffer().to_pybytes()
+                cut = [raw[(a := r["start"] - piece * size) : a + r["n"] + window - 1] for r in rows]
+                yield [r["bucket"] for r in rows], [r["at"] for r in rows], [r["content"] for r in rows], [r["copies"] for r in rows], cut
+
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+    run = lambda batches: _in_batches(found(batches), ["bucket", "at", "content", "copies", "bytes"], types, lambda x: 400 * len(x[0]))
+    return map_arrow(joined, run, "bucket bigint, at int, content binary, copies bigint, bytes binary")
 
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    run = lambda batches: _in_batches(found(batches), ["bucket", "at", "content", "bytes"], types, lambda x: 400 * len(x[0]))
-    return map_arrow(joined, run, "bucket bigint, at int, content bigint, bytes binary")
 
+_STATE = "shard bigint, buckets binary, ats binary, contents binary, zero int, height int, columns binary, " + ", ".join(f"`{x}` binary" for x, _ in Construction.FIELDS)
 
-def _constructed(strings: DataFrame, shards: int, window: int) -> DataFrame:
-    """bucket, at, content, runs (of repeated windows) of the segments that share a window with another of their bucket."""
 
-    def run(table: pa.Table) -> pa.Table:
+def _constructed(strings: DataFrame, n: int, window: int, shard_strings: int) -> DataFrame:
+    """bucket, at, content, runs (of repeated windows) of the strings that have any."""
+    shards = max(1, -(-n // shard_strings))
+
+    def begin(key: tuple, table: pa.Table) -> pa.Table:
         bucket = np.unique(table["bucket"].to_numpy(), return_inverse=True)[1]
-        flags = repeated_windows(table["bytes"].to_pylist(), table["at"].to_numpy().astype(np.int64), bucket, window)
-        hit = [i for i, x in enumerate(flags) if x.any()]
-        rest = table.select(["bucket", "at", "content"]).take(pa.array(hit, pa.int64()))
-        return rest.append_column("runs", pa.array([_runs(flags[i]) for i in hit], pa.list_(pa.list_(pa.int32()))))
+        made = Construction.of_strings(table["bytes"].to_pylist(), table["at"].to_numpy().astype(np.int64), bucket, table["copies"].to_numpy())
+        names = {"shard": key[0].as_py(), "buckets": table["bucket"].to_numpy().tobytes(), "ats": table["at"].to_numpy().tobytes(), "contents": b"".join(table["content"].to_pylist())}
+        return pa.Table.from_pylist([names | made.packed()], schema)
+
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(x.split()[0].strip("`"), kinds[x.split()[1]]) for x in _STATE.split(", ")])
+    most = -(-(2 * window - GRAM) // STAGES)
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                made = Construction.unpacked(row)
+                made.insert(window, most)
+                yield pa.RecordBatch.from_pylist([row | made.packed()], schema)
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                runs = Construction.unpacked(row).runs()
+                which = np.array(list(runs), np.int64)
+                bucket, at, content = np.frombuffer(row["buckets"], np.int64)[which], np.frombuffer(row["ats"], np.int32)[which], [row["contents"][16 * j : 16 * j + 16] for j in runs]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(at), pa.array(content, pa.binary()), pa.array(list(runs.values()), pa.list_(pa.list_(pa.int32())))], ["bucket", "at", "content", "runs"])
+
+    # a file holds a few shards only, so that a batch of its rows is small
+    parts = max(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 8)
+    dealt = strings.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(shards))).repartition(parts, "shard")
+    state = materialize(dealt.groupBy("shard").applyInArrow(begin, _STATE), "columns")
+    for _ in range(STAGES):
+        before, state = state, materialize(map_arrow(state, go_on, _STATE), "columns")
+        drop_table(before)
+    found = materialize(map_arrow(state, end, "bucket bigint, at int, content binary, runs array<array<int>>"), "runs")
+    drop_table(state)
+    return found
+
+
+def _apart(strings: DataFrame, window: int) -> DataFrame:
+    """The parts of the strings of too large buckets: bucket, at, content of each, and part_bucket, part_at, part_content, part_low, part_high, shift, bytes, copies.
+
+    Strings agree in `low` bytes before the minimizer and `high` behind it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                raw, at, low, high = r["bytes"], r["at"], r["low"], r["high"]
+                rest = window - GRAM - low - high
+                half = -(-rest // 2)
+                least, last = max(0, at + GRAM + high - window), min(at - low, len(raw) - window)  # windows that hold what the strings agree in
+                for side, a, z, more in ((0, least, min(last, at - low - half), (low + half, high)), (1, max(least, at + GRAM + high + half - window), last, (low, high + half))):
+                    if a <= z:
+                        part = raw[a : z + window]
+                        core = raw[at - more[0] : at + GRAM + more[1]]
+                        bucket = xxhash.xxh64_intdigest(core, r["bucket"] % (1 << 64) ^ side) - (1 << 63)
+                        out.append({"bucket": r["bucket"], "at": at, "content": r["content"], "part_bucket": bucket, "part_at": at - a, "part_content": _digest(part), "part_low": more[0], "part_high": more[1], "shift": a, "bytes": part, "copies": r["copies"]})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("bucket", pa.int64()), ("at", pa.int32()), ("content", pa.binary()), ("part_bucket", pa.int64()), ("part_at", pa.int32()), ("part_content", pa.binary()), ("part_low", pa.int32()), ("part_high", pa.int32()), ("shift", pa.int32()), ("bytes", pa.binary()), ("copies", pa.int64())])
+    return map_arrow(strings, run, "bucket bigint, at int, content binary, part_bucket bigint, part_at int, part_content binary, part_low int, part_high int, shift int, bytes binary, copies bigint")
+
+
+def _solved(strings: DataFrame, window: int, max_bucket: int, shard_strings: int) -> DataFrame:
+    """bucket, at, content, runs of strings (bucket, at, content, copies, bytes, low, high) with repeated windows; the table of strings is dropped."""
+    key = ["bucket", "at", "content"]
+    sizes = strings.groupBy("bucket").agg(F.count(F.lit(1)).alias("different"), F.sum("copies").alias("m"), F.min(F.lit(window - GRAM) - F.col("low") - F.col("high")).alias("rest"))
+    # single windows that agree in all bytes are one string
+    large = materialize(sizes.where((F.col("different") > max_bucket) & (F.col("rest") > 0)).select(F.col("bucket").alias("large")), "large")
+    n = strings.count()
+    if large.isEmpty():
+        found = _constructed(strings, n, window, shard_strings)
+        drop_table(strings)
+        return found
+    same = strings["bucket"] == large["large"]
+    found = _constructed(strings.join(large, same, "left_anti"), n, window, shard_strings)
+    parts = materialize(_apart(strings.join(large, same, "left_semi"), window), "parts")
+    drop_table(strings)
+    smaller = parts.groupBy("part_bucket", "part_at", "part_content").agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes"), F.first("part_low").alias("low"), F.first("part_high").alias("high"))
+    again = _solved(materialize(smaller.withColumnsRenamed({f"part_{x}": x for x in key}), "strings"), window, max_bucket, shard_strings)
+    again = again.select(*[F.col(x).alias(f"of_{x}") for x in key], "runs")
+    met = parts.join(again, (F.col("part_bucket") == F.col("of_bucket")) & (F.col("part_at") == F.col("of_at")) & (F.col("part_content") == F.col("of_content")))
+    back = met.select(*key, F.transform("runs", lambda r: F.transform(r, lambda x: x + F.col("shift"))).alias("runs")).groupBy(*key).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    out = materialize(found.unionByName(back), "runs")
+    drop_table(parts)
+    return out
+
 
-    return strings.groupBy(F.pmod(F.xxhash64("bucket"), F.lit(shards)).alias("shard")).applyInArrow(run, "bucket bigint, at int, content bigint, runs array<array<int>>")
+def _merged(spans: list[list[int]]) -> list[list[int]]:
+    """Disjoint [first, end) spans that cover the same."""
+    out: list[list[int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return out
 
 
-def _counted(strings: DataFrame, window: int) -> DataFrame:
-    """The same for segments of very large buckets: each of their windows by its hash, counted."""
+def _gone(some: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
+    """of, gone: the spans to remove of each text, merged within each of its pieces first."""
+    size = PIECE
+    places = some.join(repeated, (some["bucket"] == repeated["b"]) & (some["at"] == repeated["a"]) & (some["content"] == repeated["c"]))
+    spans = F.transform("starts", lambda s: F.transform("runs", lambda r: F.array(s + r[0], s + r[1] + window)))
+    places = places.select("uid", F.floor(F.get("starts", F.lit(0)) / size).alias("piece"), F.flatten(spans).alias("spans"))
+    pieces = places.groupBy("uid", "piece").agg(F.flatten(F.collect_list("spans")).alias("spans")).select("uid", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = batch.column(3)[i].as_py()
-                n = len(raw) - window + 1
-                hashes = [hashlib.blake2b(raw[k : k + window], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([*[pa.array([batch.column(j)[i].as_py()] * n, batch.schema.types[j]) for j in range(3)], pa.array(range(n), pa.int32()), pa.array(hashes, pa.binary())], ["bucket", "at", "content", "k", "window"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(x) for x in batch.column(1).to_pylist()], pa.list_(pa.list_(pa.int64())))], ["uid", "spans"])
 
-    windows = materialize(map_arrow(strings.select("bucket", "at", "content", "bytes"), run, "bucket bigint, at int, content bigint, k int, window binary"), "windows")
-    twice = materialize(windows.groupBy("window").count().where("count > 1").select(F.col("window").alias("again")), "windows-twice")
-    found = windows.join(twice, windows["window"] == twice["again"])
-    return found.groupBy("bucket", "at", "content").agg(F.collect_list(F.array("k", "k")).alias("runs"))
+    few = map_arrow(pieces, run, "uid bigint, spans array<array<bigint>>")
+    return few.groupBy(F.col("uid").alias("of")).agg(F.flatten(F.collect_list("spans")).alias("gone"))
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, max_bucket: int = 20_000, shard_strings: int = 20_000) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, max_bucket: int = 20_000, shard_strings: int = 5_000) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 of every row.
 
     Texts are UTF-8 bytes, null counts as empty. A byte goes if a string of `window` bytes that covers it also starts elsewhere, in
     any row, that of a repeated row included; strings are those of the input. n_spans: maximal runs of removed bytes. Texts of fewer bytes
-    stay whole. Null ids keep their rows; an empty table gives none; other columns aren't read.
+    stay whole. Null ids keep their rows; an empty table gives none; other columns aren't read. max_bucket and shard_strings bound a task's memory and
+    change no result.
     """
     if window < GRAM:
         raise ValueError(f"window must be {GRAM} at least")
@@ -228,46 +386,18 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     twice = every.groupBy("bucket").agg(F.sum(F.size("starts")).alias("m")).where("m > 1").select(F.col("bucket").alias("again"))
     twice = materialize(twice, "buckets")
     some = materialize(every.join(twice, every["bucket"] == twice["again"], "left_semi"), "segments")
-    contents = some.groupBy("bucket", "at", "content").agg(F.sum(F.size("starts")).alias("copies"), F.min(F.struct("uid", F.get("starts", F.lit(0)).alias("start"), "n")).alias("one"))
-    contents = materialize(contents, "contents")
-    mixed = contents.groupBy("bucket").agg(F.count(F.lit(1)).alias("different")).where("different > 1").withColumnRenamed("bucket", "of")
-    wanted = contents.join(mixed, contents["bucket"] == mixed["of"]).select("one.*", "at", "bucket", "content", "different")
-    wanted = materialize(wanted, "wanted")
-    strings = materialize(_with_bytes(bare, wanted, window), "strings")
-    n = wanted.count()
-    large = wanted.where(F.col("different") > max_bucket).select(F.col("bucket").alias("large")).distinct()
-    found = None
-    if n:
-        if large.isEmpty():
-            found = _constructed(strings, -(-n // shard_strings), window)
-        else:
-            large = materialize(large, "large")
-            found = _constructed(strings.join(large, strings["bucket"] == large["large"], "left_anti"), -(-n // shard_strings), window)
-            found = found.unionByName(_counted(strings.join(large, strings["bucket"] == large["large"], "left_semi"), window))
-    whole = contents.where("copies > 1").select("bucket", "at", "content", F.array(F.array(F.lit(0), F.col("one.n") - 1)).alias("runs"))
-    if found is not None:
-        single = contents.where("copies = 1").select(F.col("bucket").alias("b"), F.col("at").alias("a"), F.col("content").alias("c"))
-        found = materialize(found, "runs")
-        found = found.join(single, (found["bucket"] == single["b"]) & (found["at"] == single["a"]) & (found["content"] == single["c"]), "left_semi")
-        whole = whole.unionByName(found)
-    repeated = materialize(whole.withColumnsRenamed({"bucket": "b", "at": "a", "content": "c"}), "repeated")
-    drop_table(strings)
-    places = some.join(repeated, (some["bucket"] == repeated["b"]) & (some["at"] == repeated["a"]) & (some["content"] == repeated["c"]))
-    spans = F.transform("starts", lambda s: F.transform("runs", lambda r: F.array(s + r[0], s + r[1] + window)))
-    places = places.select("uid", F.flatten(spans).alias("gone"))
-    gone = places.groupBy("uid").agg(F.flatten(F.collect_list("gone")).alias("gone")).withColumnRenamed("uid", "of")
+    wanted = some.groupBy("bucket", "at", "content").agg(F.sum(F.size("starts")).alias("copies"), F.min(F.struct("uid", F.get("starts", F.lit(0)).alias("start"), "n")).alias("one"))
+    strings = _with_bytes(bare, wanted.select("one.*", "at", "bucket", "content", "copies"), window)
+    strings = materialize(strings.withColumn("low", F.lit(0)).withColumn("high", F.lit(0)), "strings")
+    repeated = _solved(strings, window, max_bucket, shard_strings)
+    gone = _gone(some, repeated.withColumnsRenamed({"bucket": "b", "at": "a", "content": "c"}), window)
     joined = texts.hint("merge").join(gone, texts["uid"] == gone["of"], "left").select("id", "text", "gone")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = batch.column(1)[i].as_py()
-                spans: list[list[int]] = []
-                for a, z in sorted(batch.column(2)[i].as_py() or []):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], z)
-                    else:
-                        spans.append([a, z])
+                spans = _merged(batch.column(2)[i].as_py() or [])
                 edges = [0, *(x for span in spans for x in span), len(raw)]
                 rest = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
                 yield batch.column(0).slice(i, 1), [len(raw)], [len(raw) - len(rest)], [len(spans)], [rest], [hashlib.sha256(rest).hexdigest()]
