@@ -44,3 +44,13 @@ def manhattan(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 def symbol_point(x: Column, y: Column, turn: Column) -> Column:
     """A point of a symbol in its drawing: (-y, x) of symbols that are turned by R90, as it is of others."""
     return F.struct(F.when(turn == "R90", -y).otherwise(x).alias("x"), F.when(turn == "R90", x).otherwise(y).alias("y"))
+
+
+def extent(area: Column, w: Column, h: Column) -> Column:
+    """The part of its box that a shape fills; 0 for a box without area."""
+    return F.when(w * h > 0, area / (w * h)).otherwise(0.0)
+
+
+def aspect(w: Column, h: Column) -> Column:
+    """Width by height, which counts as one at least."""
+    return w / F.greatest(h, F.lit(1))

@@ -50,6 +50,18 @@ def source_of(name: Column, sources: list[str]) -> Column:
     return out
 
 
+def source_before_split(name: Column) -> Column:
+    """What a name has before its first _train_, _valid_ or _test_; null without one."""
+    found = F.regexp_extract(name, r"^(.*?)_(?:train|valid|test)_", 1)
+    return F.when(name.rlike(r"^.*?_(?:train|valid|test)_"), found)
+
+
+def source_by_parts(name: Column, anywhere: list[str], prefixes: list[str]) -> Column:
+    """By the name in small letters: the first of these texts that it holds anywhere, else the first that it begins with, else `other`."""
+    low = F.lower(name)
+    return F.coalesce(*[F.when(low.contains(x), x) for x in anywhere], *[F.when(low.startswith(x), x) for x in prefixes], F.lit("other"))
+
+
 def yolo_line(cls: Column, x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
     """`cls cx cy w h` with six places, of a corner box clamped to the picture; null if nothing of it is left."""
     x0, y0 = F.greatest(x, F.lit(0.0)), F.greatest(y, F.lit(0.0))

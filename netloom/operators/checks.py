@@ -163,3 +163,10 @@ def net_summary(pins: DataFrame, net: str = "net") -> DataFrame:
 def structural_candidates(proposals: DataFrame) -> DataFrame:
     """check, image_id, x0, y0, x1, y1, n: proposed boxes as rows of the report; they are told, not flagged."""
     return proposals.select(F.lit("structural_candidates").alias("check"), "image_id", "x0", "y0", "x1", "y1", "n")
+
+
+def crossing_no_dot(explained: DataFrame, examples: int = 15) -> DataFrame:
+    """image_id, verdict, x_total, dotted, explained, text, unexplained, examples (the first unexplained) of each picture's crossings (image_id, point_id, kind)."""
+    count = lambda kind: F.sum((F.col("kind") == kind).cast("bigint")).alias(kind)
+    rows = explained.groupBy("image_id").agg(F.count(F.lit(1)).alias("x_total"), *[count(k) for k in ("dotted", "explained", "text", "unexplained")], F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == "unexplained", F.col("point_id")))), 1, examples).alias("examples"))
+    return rows.withColumn("verdict", F.when(F.col("unexplained") > 0, "FLAG").otherwise("PASS"))

@@ -80,6 +80,18 @@ def fold_report(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("cls").alias("old"), folded(F.col("cls")).alias("new")).where("old <> new").groupBy("old", "new").agg(F.count(F.lit(1)).alias("n"))
 
 
+def fold_counts(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """new, n, moved, dropped: instances of each class after folding, those that folding moved there, and in the row of a null class the boxes that go.
+
+    labels: cls, w, h; taxonomy: cls of the classes that stay. Boxes without area and of classes that don't stay go.
+    """
+    kept = taxonomy.select(F.col("cls").alias("stays")).distinct()
+    rows = labels.withColumn("new", folded(F.col("cls"))).join(kept, F.col("new") == F.col("stays"), "left")
+    good = F.col("stays").isNotNull() & (F.col("w") > 0) & (F.col("h") > 0)
+    rows = rows.select(F.when(good, F.col("new")).alias("new"), (good & (F.col("new") != F.col("cls"))).alias("moved"))
+    return rows.groupBy("new").agg(F.sum(F.col("new").isNotNull().cast("bigint")).alias("n"), F.sum(F.coalesce(F.col("moved").cast("bigint"), F.lit(0))).alias("moved"), F.sum(F.col("new").isNull().cast("bigint")).alias("dropped"))
+
+
 def capped_sample(images: DataFrame, source: str, key: str, cap: int) -> DataFrame:
     """min(cap, n) pictures of each source of n, in the order of a hash of their key, then the key; a null source is a source, a null key counts as no text.
 
@@ -122,6 +134,11 @@ def split_orientation(labels: DataFrame) -> DataFrame:
     return rows.select("file", "line_no", F.concat_ws(" ", F.slice("words", 1, 5)).alias("label"), F.coalesce(F.get("words", F.lit(5)), F.lit("R0")).alias("orientation"))
 
 
+def with_orientation(labels: DataFrame, sidecar: DataFrame) -> DataFrame:
+    """labels (file, line_no, label) with the orientation of the same line of their file's sidecar (file, line_no, orientation); null where it has none."""
+    return labels.join(sidecar.select("file", "line_no", "orientation"), ["file", "line_no"], "left")
+
+
 def missing_labels(images: DataFrame, labels: DataFrame, stem: str = "stem") -> DataFrame:
     """Pictures without a label file."""
     return images.join(labels.select(stem).distinct(), stem, "left_anti")

@@ -128,6 +128,18 @@ def spice_report(lines: DataFrame) -> DataFrame:
     return parse_spice(lines).groupBy("kind").agg(F.sum(F.col("ok").cast("bigint")).alias("elements"), F.sum((~F.col("ok")).cast("bigint")).alias("bad_lines"))
 
 
+def net_incidence(lines: DataFrame) -> DataFrame:
+    """element, place, node of the lines (text) of an external netlister: the nodes of R, C, L, D, V, S, I elements by place from 1, those of subcircuits from 0."""
+    words = F.split(F.trim("text"), r"\s+")
+    rows = lines.where(~F.trim("text").rlike(r"^([*.]|$)")).withColumn("w", words).withColumn("kind", F.substring(F.get("w", F.lit(0)), 1, 1))
+    count = F.when(F.col("kind") == "S", 4).otherwise(2)
+    plain = F.col("kind").isin(*"RCLDVSI") & (F.size("w") >= 4)
+    part = (F.col("kind") == "X") & (F.size("w") >= 3)
+    nodes = F.when(plain, F.slice("w", F.lit(2), count)).when(part, F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
+    rows = rows.where(plain | part).select(F.get("w", F.lit(0)).alias("element"), "kind", F.posexplode(nodes).alias("place", "node"))
+    return rows.select("element", (F.col("place") + F.when(F.col("kind") == "X", 0).otherwise(1)).cast("bigint").alias("place"), "node")
+
+
 def incidence_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """comp_id, role, want, got, code (missing, mismatch) of the expected incidences (comp_id, role, node) that the actual ones don't have."""
     want = expected.select("comp_id", "role", F.col("node").alias("want"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.geometry import in_box, rotated, symbol_point
+from ..functions.geometry import aspect, extent, in_box, rotated, symbol_point
 from ..model import BJT, CAP, DIODE, GROUND, ICS, RES, SOURCE_LIKE, TWO_TERMINAL, values_sql
 from ..operators import checks, etl, graph, islands, motifs, netlist, pins as pin_ops, raster, repair, schematic, spatial, wires
 from ..operators.components import star_labels
@@ -932,6 +932,86 @@ def corrected_pins(spark, sf_dir):
     return repair.corrected(comps.withColumn("is_rescued", F.col("comp_id") % 2 == 0), placed, candidates)[2]
 
 
+# ---- more of the same inventory ----
+
+
+@query((_CAND + "SELECT * FROM cand").replace("GROUP BY s.pin_id, l.enet)", "GROUP BY s.pin_id, l.enet UNION ALL SELECT s.pin_id, c.enet, min(abs(s.x - c.x) + abs(s.y - c.y)), min(s.cls), min(f.fanout) FROM sick s JOIN copper c ON c.image_id = s.image_id AND abs(s.x - c.x) + abs(s.y - c.y) <= 120 AND (s.enet IS NULL OR s.enet <> c.enet) JOIN efan f ON f.enet = c.enet GROUP BY s.pin_id, c.enet), merged AS (SELECT pin_id, enet, min(dist) AS dist, min(cls) AS cls, min(fanout) AS fanout FROM near GROUP BY ALL)").replace("- dist AS fortieths FROM near)", "- dist AS fortieths FROM merged)").replace("near AS (SELECT s.pin_id", "copper AS (SELECT image_id, (x * 3 + 40) % 4001 AS x, (y * 7 + 11) % 4003 AS y, enet FROM placed WHERE enet IS NOT NULL), near AS (SELECT s.pin_id", 1))
+def repair_with_copper(spark, sf_dir):
+    comps, epins = _electrical(spark, sf_dir, fx.SPARSE)
+    placed = fx.placed_pins(epins)
+    copper = placed.where("enet is not null").select("image_id", ((F.col("x") * 3 + 40) % 4001).alias("x"), ((F.col("y") * 7 + 11) % 4003).alias("y"), "enet")
+    return repair.repair_candidates(comps, placed, motifs.voltage_dividers(comps, epins).select("tap"), net_pixels=copper)
+
+
+def _crossed(spark, sf_dir):
+    one = fx.pixels(spark, sf_dir)
+    return one.unionByName(one.select("image_id", F.col("y").alias("x"), (F.col("x") + 1).alias("y"))).distinct()
+
+
+@query(
+    "WITH RECURSIVE " + fx.PIXELS_SQL.replace("pixels AS", "lines AS") + ", pixels AS (SELECT image_id, x, y FROM lines UNION SELECT image_id, y, x + 1 FROM lines), " + f"d AS ({_DEGREE}), " + fx.DOTS_SQL + ", " + fx.BOXES_SQL + ", " + _SMALL + """,
+ label(image_id, x, y, root) USING KEY (image_id, x, y) AS (SELECT image_id, x, y, y * 1000 + x FROM pixels UNION (SELECT p.image_id, p.x, p.y, min(l.root) FROM label l JOIN pixels p ON p.image_id = l.image_id AND abs(p.x - l.x) <= 1 AND abs(p.y - l.y) <= 1 JOIN recurring.label r ON r.image_id = p.image_id AND r.x = p.x AND r.y = p.y WHERE l.root < r.root GROUP BY p.image_id, p.x, p.y)),
+ large AS (SELECT image_id, x, y FROM label QUALIFY count(*) OVER (PARTITION BY image_id, root) >= 25),
+ c AS (SELECT image_id, x, y FROM d JOIN large USING (image_id, x, y) WHERE degree >= 4 AND NOT EXISTS (SELECT 1 FROM dots WHERE dots.image_id = d.image_id AND (dots.x - d.x) ** 2 + (dots.y - d.y) ** 2 <= 196)
+   AND NOT EXISTS (SELECT 1 FROM small_boxes b WHERE b.image_id = d.image_id AND d.x BETWEEN b.x0 - 1 AND b.x1 + 1 AND d.y BETWEEN b.y0 - 1 AND b.y1 + 1)),
+ wide AS (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM c, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy)),
+ part(image_id, x, y, root) USING KEY (image_id, x, y) AS (SELECT image_id, x, y, (y + 10) * 1000 + x + 10 FROM wide UNION (SELECT p.image_id, p.x, p.y, min(l.root) FROM part l JOIN wide p ON p.image_id = l.image_id AND abs(p.x - l.x) <= 1 AND abs(p.y - l.y) <= 1 JOIN recurring.part r ON r.image_id = p.image_id AND r.x = p.x AND r.y = p.y WHERE l.root < r.root GROUP BY p.image_id, p.x, p.y))
+SELECT image_id, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS point_id, avg(x) AS x, avg(y) AS y, count(*) AS n FROM part GROUP BY image_id, root"""
+)
+def x_clusters(spark, sf_dir):
+    pixels = _crossed(spark, sf_dir)
+    return raster.crossing_clusters(pixels, raster.fragments(pixels, 1), fx.dots(spark, sf_dir), _small(spark, sf_dir), margin=1, least_area=25)
+
+
+@query("WITH x AS (" + ORACLES["explained_crossings"] + ") SELECT image_id, CASE WHEN count(*) FILTER (kind = 'unexplained') > 0 THEN 'FLAG' ELSE 'PASS' END AS verdict, count(*) AS x_total, count(*) FILTER (kind = 'dotted') AS dotted, count(*) FILTER (kind = 'explained') AS explained, count(*) FILTER (kind = 'text') AS text, count(*) FILTER (kind = 'unexplained') AS unexplained, array_to_string(list_sort(list(point_id) FILTER (kind = 'unexplained'))[1:15], ',') AS examples FROM x GROUP BY image_id")
+def crossing_no_dot(spark, sf_dir):
+    out = checks.crossing_no_dot(explained_crossings(spark, sf_dir))
+    return out.withColumn("examples", F.when(F.size("examples") > 0, F.array_join(F.transform("examples", lambda x: x.cast("string")), ",")))
+
+
+@query(_with(SPARSE, *_ELEMENTS, "t AS (SELECT string_split(trim(string_split(text, ';')[1]), ' ') AS w FROM elements WHERE text IS NOT NULL)") + "SELECT w[1] AS element, place, w[place + 1] AS node FROM (SELECT w, unnest(range(1, 3)) AS place FROM t WHERE w[1][1] IN ('R', 'C', 'L', 'D', 'V', 'I')) UNION ALL SELECT w[1], place, w[place + 2] FROM (SELECT w, unnest(range(0, len(w) - 2)) AS place FROM t WHERE w[1][1] = 'X')")
+def net_incidence(spark, sf_dir):
+    comps, epins = _electrical(spark, sf_dir, fx.SPARSE)
+    return netlist.net_incidence(netlist.spice_elements(comps, epins).select(F.split("text", ";")[0].alias("text")))
+
+
+@query(_with(fx.BOXES_SQL, _SMALL, fx.DOTS_SQL) + "SELECT image_id, dot_id AS point_id, x, y FROM dots d WHERE NOT EXISTS (SELECT 1 FROM small_boxes b WHERE b.image_id = d.image_id AND d.x BETWEEN b.x0 - 6 AND b.x1 + 6 AND d.y BETWEEN b.y0 - 6 AND b.y1 + 6)")
+def free_circles(spark, sf_dir):
+    """Circles that no box explains, before they are grouped."""
+    return spatial.points_near_boxes(fx.dots(spark, sf_dir).withColumnRenamed("dot_id", "point_id"), _small(spark, sf_dir), 6, near=False)
+
+
+@query("SELECT doc_id, CASE WHEN lower(source) LIKE '%c1%' THEN 'c1' WHEN lower(source) LIKE 'src2%' THEN 'src2' ELSE 'other' END AS by_parts, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || '_a' END AS before_split FROM documents")
+def source_rules(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit("_train_x_test_y"))).when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit("_a_valid_z"))).otherwise(F.col("source"))
+    return docs.select("doc_id", tx.source_by_parts(F.upper("source"), ["c1"], ["src2"]).alias("by_parts"), tx.source_before_split(name).alias("before_split"))
+
+
+@query(_with(fx.LABELS_SQL, "side AS (SELECT file, line_no, 'R' || (line_no % 4 * 90) AS orientation FROM label_lines WHERE line_no % 5 > 0)") + "SELECT l.file, l.line_no, orientation FROM label_lines l LEFT JOIN side s ON s.file = l.file AND s.line_no = l.line_no")
+def orientation_zip(spark, sf_dir):
+    lines = fx.label_lines(spark, sf_dir)
+    side = lines.where("line_no % 5 > 0").select("file", "line_no", F.concat(F.lit("R"), (F.col("line_no") % 4 * 90).cast("string")).alias("orientation"))
+    return etl.with_orientation(lines.select("file", "line_no"), side)
+
+
+@query(
+    "WITH c AS (SELECT (" + str(_CLASSES) + ")[p_partkey % 7 + 1] AS cls, l_quantity - 3 AS w FROM part JOIN lineitem ON l_partkey = p_partkey), f AS (SELECT cls, w, CASE cls WHEN 'nmos.cross' THEN 'nmos' WHEN 'npn.cross' THEN 'npn' WHEN 'transistor' THEN 'transistor.bjt' WHEN 'resistor' THEN 'resistor' ELSE 'unknown' END AS new FROM c),"
+    " g AS (SELECT cls, CASE WHEN new <> 'unknown' AND w > 0 THEN new END AS new, new AS folded FROM f) SELECT new, count(new) AS n, count(*) FILTER (new IS NOT NULL AND folded <> cls) AS moved, count(*) FILTER (new IS NULL) AS dropped FROM g GROUP BY new"
+)
+def fold_counts(spark, sf_dir):
+    cls = F.element_at(F.array(*[F.lit(x) for x in _CLASSES]), (F.col("l_partkey") % 7 + 1).cast("int"))
+    labels = fx.table(spark, sf_dir, "lineitem").select(cls.alias("cls"), (F.col("l_quantity") - 3).alias("w"), F.lit(1).alias("h"))
+    stays = spark.createDataFrame([(x,) for x in ("nmos", "npn", "resistor", "transistor.bjt", "pnp")], "cls string")
+    return etl.fold_counts(labels, stays)
+
+
+@query(_with(fx.BOXES_SQL) + "SELECT det_id, CAST(x1 - x0 AS DOUBLE) / ((x1 - x0) * (y1 - y0)) AS extent, (x1 - x0) / CAST(y1 - y0 AS DOUBLE) AS aspect FROM boxes")
+def shape_figures(spark, sf_dir):
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return fx.boxes(spark, sf_dir).select("det_id", extent(w, w, h).alias("extent"), aspect(w, h).alias("aspect"))
+
+
 # ---- jobs, sources and sinks ----
 
 

@@ -26,7 +26,7 @@ def stem_of(path):
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, stem, length of picture files below a folder; the content column isn't read."""
+    """path, stem, length of picture files below a folder, for a listing by lower(path); the content column isn't read."""
     rows = _files(spark, path).select("path", "length")
     ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     return rows.where(ending.isin(*IMAGE_ENDINGS)).withColumn("stem", stem_of(F.col("path")))
