@@ -1012,6 +1012,19 @@ def shape_figures(spark, sf_dir):
     return fx.boxes(spark, sf_dir).select("det_id", extent(w, w, h).alias("extent"), aspect(w, h).alias("aspect"))
 
 
+@query(
+    _with(SPARSE, fx.PLACED_SQL, "made AS (SELECT DISTINCT image_id, 'T' || slot AS role, max(net) AS net FROM placed GROUP BY ALL)", "c AS (SELECT DISTINCT comp_id % 53 AS image_id, comp_id, 0 AS new FROM comps UNION ALL SELECT DISTINCT image_id, NULL, 1 FROM made)")
+    + ", ci AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY new, comp_id) - 1 AS comp_index FROM c), p AS (SELECT image_id, comp_id, pin_id, role, net, 0 AS new FROM placed UNION ALL SELECT image_id, NULL, NULL, role, net, 1 FROM made)"
+    " SELECT p.image_id, p.role, p.net, comp_index, row_number() OVER (PARTITION BY p.image_id ORDER BY p.new, p.pin_id, p.role) - 1 AS pin_index FROM p JOIN ci ON ci.image_id = p.image_id AND ci.new = p.new AND ci.comp_id IS NOT DISTINCT FROM p.comp_id"
+)
+def reindexed_with_synthesis(spark, sf_dir):
+    comps, epins = _electrical(spark, sf_dir, fx.SPARSE)
+    placed = fx.placed_pins(epins)
+    made = placed.groupBy("image_id", F.concat(F.lit("T"), F.col("slot").cast("string")).alias("role")).agg(F.max("net").alias("net"))
+    rows = repair.with_synthesis(comps.withColumn("image_id", F.col("comp_id") % 53), placed, made)[1]
+    return rows.select("image_id", "role", "net", "comp_index", "pin_index")
+
+
 # ---- jobs, sources and sinks ----
 
 

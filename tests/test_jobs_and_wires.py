@@ -247,3 +247,13 @@ def test_loops_are_told_apart(spark):
     pixels = spark.createDataFrame([(7, *p) for p in ring | frame | line], "image_id long, x long, y long")
     got = raster.loops(pixels).orderBy("x0").collect()
     assert [(r.kind, r.x0, r.y0, r.x1, r.y1) for r in got] == [("circle", 60, 60, 141, 141), ("rect", 300, 20, 381, 91)]
+
+
+def test_synthesis_falls_back_on_routes(spark):
+    footprint = spark.createDataFrame([(0, 0, 0, 200, 100, 6)], "image_id long, x0 long, y0 long, x1 long, y1 long, n long")
+    circles = spark.createDataFrame([(0, 10 + 30 * i, 20) for i in range(6)], "image_id long, x long, y long")
+    pixels = spark.createDataFrame([(0, 10 + 30 * i, 20 + (0 if i < 3 else 12 if i == 3 else 60), i + 1) for i in range(6)], "image_id long, x long, y long, frag long")
+    nets = spark.createDataFrame([(0, i + 1, 100 + i) for i in range(6)], "image_id long, frag long, net long")
+    made, log = wires.synthesis_with_routes(footprint, circles, pixels, nets)
+    assert rows(made.select("role", "net"), "role") == [("T0", 100), ("T1", 101), ("T2", 102), ("T3", 103), ("T4", None), ("T5", None)]
+    assert rows(log.select("role", "action"), "role") == [("T0", "overlap"), ("T1", "overlap"), ("T2", "overlap"), ("T3", "routed"), ("T4", "none"), ("T5", "none")]
