@@ -36,11 +36,11 @@ from .common import crc_fold, drop_table, map_arrow, materialize, ship, text_of
 
 BLOCK_TOKENS = 500_000
 #: Entries that one shard adds up, about.
-SHARD_ENTRIES = 2_000_000
+SHARD_ENTRIES = 1_000_000
 #: Groups of blocks that are added up at once, and ranges that a group's entries are cut into, at most.
 FAN = 512
 #: Words whose hashes a worker remembers; when full, it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 BUCKETS = 40
 #: Steps of the logarithm of an estimate's ratio to the uniform one, in the held-out counts that expectation-maximisation sees.
 STEPS, RATIOS = 4.0, 128
