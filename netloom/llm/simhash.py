@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import star_labels
 from . import golay
-from .common import map_arrow, materialize, text_of
+from .common import drop_table, map_arrow, materialize, text_of
 
 #: Segments as (shift, bits), and the choices of an equal and a near segment that make a key.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -196,11 +196,20 @@ def _may(similarity: float, a: str, b: str) -> Column:
     return (F.least(*sizes) >= similarity * F.greatest(*sizes) - 1e-6) & (F.least(*left) >= similarity / (1 + similarity) * (sizes[0] + sizes[1]) - 1e-6)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts share `similarity` of their shingles or more."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct.select("node", F.col("text_hash").alias("of")), "node")
-    found = texts.hint("merge").join(wanted, F.col("text_hash") == F.col("of")).groupBy("node").agg(F.max("text").alias("text"))
-    found = materialize(found, "texts")
+def _texts_of(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, text of the nodes of pairs (u, v), written; known: such a table of others, from which texts are taken where they are in it."""
+    wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
+    some, missing = None, wanted
+    if known is not None:
+        some = known.join(wanted, "node", "left_semi")
+        missing = materialize(wanted.join(known.select("node"), "node", "left_anti"), "missing")
+    keys = materialize(missing.join(distinct.select("node", F.col("text_hash").alias("of")), "node"), "keys")  # of known size: where it is small, no text moves
+    found = texts.join(keys, F.col("text_hash") == F.col("of")).groupBy("node").agg(F.max("text").alias("text"))
+    return materialize(found if some is None else found.unionByName(some), "texts")
+
+
+def _verified(pairs: DataFrame, found: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts (node, text) share `similarity` of their shingles or more."""
     both = pairs.join(found.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(found.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +228,16 @@ def _similar(texts: DataFrame, distinct: DataFrame, shingle_words: int, similari
     that share a shingle, can be similar and aren't yet in one component.
     """
     rows = distinct.where("size > 0").select("node", "size", F.posexplode("prefix").alias("pos", "token"))
-    centres = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "pos")).alias("c")).where("n > 1").select(F.col("token").alias("at"), "c")
-    shared = rows.join(centres, F.col("token") == F.col("at")).select("token", F.struct("node", "size", "pos").alias("m"), "c")
+    twice = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("token").alias("at"))  # few tokens: the others move as numbers alone
+    met_once = materialize(rows.join(materialize(twice, "tokens"), F.col("token") == F.col("at")).select("token", "node", "size", "pos"), "meetings")
+    centres = met_once.groupBy("token").agg(F.min(F.struct("node", "size", "pos")).alias("c")).select(F.col("token").alias("at"), "c")
+    shared = met_once.join(materialize(centres, "centres"), F.col("token") == F.col("at")).select("token", F.struct("node", "size", "pos").alias("m"), "c")
     shared = materialize(shared, "shared")
+    drop_table(met_once)
     pair = lambda a, b: (F.greatest(f"{a}.node", f"{b}.node").alias("u"), F.least(f"{a}.node", f"{b}.node").alias("v"))
     tried = materialize(shared.where((F.col("m.node") != F.col("c.node")) & _may(similarity, "m", "c")).select(*pair("m", "c")).distinct(), "tried")
-    linked = _verified(tried, texts, distinct, shingle_words, similarity)
+    found = _texts_of(tried, texts, distinct)
+    linked = _verified(tried, found, shingle_words, similarity)
     roots = materialize(star_labels(linked), "roots")
     rooted = shared.join(roots, F.col("m.node") == F.col("node"), "left").select("token", "m", F.coalesce("root", "m.node").alias("root"))
     parts = materialize(rooted.groupBy("token", "root").agg(F.collect_list("m").alias("members")), "parts")
@@ -232,7 +245,13 @@ def _similar(texts: DataFrame, distinct: DataFrame, shingle_words: int, similari
     met = parts.join(others, (F.col("token") == F.col("token2")) & (F.col("root") < F.col("root2")))
     met = met.select(F.explode("members").alias("m"), "members2").select("m", F.explode("members2").alias("c")).where(_may(similarity, "m", "c"))
     rest = materialize(met.select(*pair("m", "c")).distinct().join(tried, ["u", "v"], "left_anti"), "rest")
-    return linked.unionByName(_verified(rest, texts, distinct, shingle_words, similarity))
+    for x in (shared, parts):
+        drop_table(x)
+    more = _texts_of(rest, texts, distinct, found)
+    drop_table(found)
+    linked = linked.unionByName(_verified(rest, more, shingle_words, similarity))
+    drop_table(more)
+    return linked
 
 
 def _similar_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
