@@ -6,7 +6,7 @@ would take as many rounds over the whole collection as the longest text has byte
 Every window has one of its `GRAM`-byte grams as its minimizer: the one of the least hash,
 the last on ties. Consecutive windows with the same minimizer form a segment of at most 2 * window - GRAM bytes. Equal windows have
 equal minimizers at the same place within them, so segments meet by the hash of that gram, their bucket. Segments that meet no other take no part. Equal ones (by a
-128-bit cryptographic digest, counted before the shuffle) are one string with its number of copies. All others, whatever their number of copies, are
+128-bit digest, counted before the shuffle) are one string with its number of copies. All others, whatever their number of copies, are
 constructed.
 
 The strings of a shard of buckets are aligned at the minimizer and read from the last column to the first. For each suffix in their order, the transform holds the
@@ -182,7 +182,7 @@ def _in_batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType
 
 
 def _digest(raw: bytes) -> bytes:
-    return hashlib.blake2b(raw, digest_size=16).digest()
+    return xxhash.xxh3_128_digest(raw)
 
 
 def _segment_rows(texts: DataFrame, window: int) -> DataFrame:
@@ -209,6 +209,17 @@ def _segment_rows(texts: DataFrame, window: int) -> DataFrame:
     return map_arrow(texts, run, "uid bigint, starts array<bigint>, n int, at int, bucket bigint, content binary")
 
 
+def _buckets(texts: DataFrame, window: int) -> DataFrame:
+    """bucket: one row for each segment, without reading more of it than its minimizer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bucket for text in batch.column(0) for _, _, _, bucket in segments(text.as_buffer().to_pybytes(), window)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], ["bucket"])
+
+    return map_arrow(texts.select("text"), run, "bucket bigint")
+
+
 def _pieces(texts: DataFrame, window: int) -> DataFrame:
     """uid, piece, part: texts in pieces, with what a segment that starts in one may hold of the next; so that what is looked up in a row is bounded."""
     size = PIECE
@@ -381,10 +392,10 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ship(spark)
     texts = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].alias("id"), text_of(docs[text_col]).cast("binary").alias("text")), "texts")
     bare = texts.select("uid", "text")
-    every = _segment_rows(bare, window)
     # counted first and written, so that adaptive execution can split a very common bucket in the join of two tables
-    twice = every.groupBy("bucket").agg(F.sum(F.size("starts")).alias("m")).where("m > 1").select(F.col("bucket").alias("again"))
+    twice = _buckets(bare, window).groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("bucket").alias("again"))
     twice = materialize(twice, "buckets")
+    every = _segment_rows(bare, window)
     some = materialize(every.join(twice, every["bucket"] == twice["again"], "left_semi"), "segments")
     wanted = some.groupBy("bucket", "at", "content").agg(F.sum(F.size("starts")).alias("copies"), F.min(F.struct("uid", F.get("starts", F.lit(0)).alias("start"), "n")).alias("one"))
     strings = _with_bytes(bare, wanted.select("one.*", "at", "bucket", "content", "copies"), window)
