@@ -1089,8 +1089,9 @@ def structural_candidates(spark, sf_dir):
 def wire_loops(spark, sf_dir):
     """The frame of each box, grown by 30, as a picture of its own."""
     b = fx.boxes(spark, sf_dir).select(F.col("det_id").alias("image_id"), "x0", "y0", (F.col("x1") + 29).alias("x1"), (F.col("y1") + 29).alias("y1"))
-    sides = F.concat(F.transform(F.sequence("x0", "x1"), lambda x: F.struct(x.alias("x"), F.col("y0").alias("y"))), F.transform(F.sequence("x0", "x1"), lambda x: F.struct(x.alias("x"), F.col("y1").alias("y"))), F.transform(F.sequence("y0", "y1"), lambda y: F.struct(F.col("x0").alias("x"), y.alias("y"))), F.transform(F.sequence("y0", "y1"), lambda y: F.struct(F.col("x1").alias("x"), y.alias("y"))))
-    return raster.loops(b.select("image_id", F.explode(sides).alias("p")).select("image_id", "p.x", "p.y").distinct())
+    across = b.select("image_id", F.explode(F.sequence("x0", "x1")).alias("x"), F.array("y0", "y1").alias("ends")).select("image_id", "x", F.explode("ends").alias("y"))
+    down = b.select("image_id", F.explode(F.sequence("y0", "y1")).alias("y"), F.array("x0", "x1").alias("ends")).select("image_id", F.explode("ends").alias("x"), "y")
+    return raster.loops(across.unionByName(down))
 
 
 def _folder(spark, name):

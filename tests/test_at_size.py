@@ -38,3 +38,18 @@ def test_masks_of_equal_boxes_count_once(spark, monkeypatch):
     got = sorted(tuple(r) for r in raster.mask_interiors(pixels, boxes).collect())
     assert got == [(1, 6, 10), (1, 23, 22), (2, 15, 15)]
     assert seen == [1]
+
+
+def test_loops_of_many_small_pictures_share_a_kernel(spark):
+    """Frames of 61 by 51 with a smaller one inside, a line and a repeated corner; more pixels than a kernel takes at once."""
+    n = 1_500
+    frame = lambda x0, y0, w, h: [(x, y) for x in range(x0, x0 + w) for y in range(y0, y0 + h) if x in (x0, x0 + w - 1) or y in (y0, y0 + h - 1)]
+    places = [*frame(5, -20, 61, 51), *frame(10, -16, 45, 43), *[(x, 90) for x in range(30)], (5, -20)]
+    one = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in places])
+    pixels = spark.range(n).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("image_id"), F.explode(one).alias("p")).select("image_id", "p.x", "p.y")
+    assert n * len(places) > getattr(raster, "LOOP_PIXELS", 0)
+    found = raster.loops(pixels, least=400)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert {r.image_id for r in got} == {None, *map(str, range(1, n))} and len(got) == 2 * n
+    assert {tuple(r)[1:] for r in got} == {(1, "rect", 61 * 51, 5, -20, 66, 31), (2, "rect", 45 * 43, 10, -16, 55, 27)}
