@@ -10,7 +10,7 @@ that fulfils its condition. Only distinct fingerprints take part, so that exact
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +190,22 @@ def shingle_prefix(tokens: np.ndarray, common: np.ndarray, n: np.ndarray, simila
     return tokens[np.lexsort((tokens, rank))][: len(tokens) - least + 1]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many distinct hashes start with each of 2^6 to 2^13 values of their first bits, some one or two each; 255 stands for more, too."""
+    bits = min(13, max(6, (len(tokens) // 2).bit_length()))
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_share(a: bytes, b: bytes, similarity: float) -> bool:
+    """False if sets of these sketches can't be similar: they share at most the lesser count of each value."""
+    x, y = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (a, b))
+    if x.max() == 255 or y.max() == 255:
+        return True
+    n = min(len(x), len(y))
+    x, y = x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)
+    return int(np.minimum(x, y).sum()) >= similarity / (1 + similarity) * int(x.sum() + y.sum()) - 1e-6
+
+
 def _may(similarity: float, a: str, b: str) -> Column:
     """Whether sets a and b can be similar if the shingle at these positions is the first that they share."""
     sizes, left = [F.col(f"{x}.size") for x in (a, b)], [F.col(f"{x}.size") - F.col(f"{x}.pos") for x in (a, b)]
@@ -208,24 +224,34 @@ def _texts_of(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, known: Da
     return materialize(found if some is None else found.unionByName(some), "texts")
 
 
-def _verified(pairs: DataFrame, found: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts (node, text) share `similarity` of their shingles or more."""
-    both = pairs.join(found.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(found.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+def _where(pairs: DataFrame, found: DataFrame, of: str, good: Callable) -> DataFrame:
+    """The pairs (u, v) of nodes of which good holds, given column `of` of both in found (node, of)."""
+    both = pairs.join(found.select(F.col("node").alias("u"), F.col(of).alias("x")), "u").join(found.select(F.col("node").alias("v"), F.col(of).alias("y")), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = pa.array([jaccard(x, y, shingle_words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
+            kept = pa.array([good(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["u", "v"])
 
     return materialize(map_arrow(both.select("u", "v", "x", "y"), compare, "u bigint, v bigint"), "similar")
 
 
+def _possible(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sketches allow the similarity, so that few texts move."""
+    return _where(pairs, distinct, "sketch", lambda x, y: may_share(x, y, similarity))
+
+
+def _verified(pairs: DataFrame, found: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts (node, text) share `similarity` of their shingles or more."""
+    return _where(pairs, found, "text", lambda x, y: jaccard(x, y, shingle_words) >= similarity)
+
+
 def _similar(texts: DataFrame, distinct: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """u, v: links between nodes, whose components are those of all pairs that share `similarity` of their shingles or more.
 
     Prefix filtering: in one order of all shingles, two such sets share one among the first of each, at places that leave room for the rest. So texts meet
     by these. First each is compared with one text of each shingle, which joins large groups at the cost of their texts; then all pairs
-    that share a shingle, can be similar and aren't yet in one component.
+    that share a shingle, can be similar and aren't yet in one component. Texts are read of those pairs whose sketches allow it.
     """
     rows = distinct.where("size > 0").select("node", "size", F.posexplode("prefix").alias("pos", "token"))
     twice = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("token").alias("at"))  # few tokens: the others move as numbers alone
@@ -236,8 +262,9 @@ def _similar(texts: DataFrame, distinct: DataFrame, shingle_words: int, similari
     drop_table(met_once)
     pair = lambda a, b: (F.greatest(f"{a}.node", f"{b}.node").alias("u"), F.least(f"{a}.node", f"{b}.node").alias("v"))
     tried = materialize(shared.where((F.col("m.node") != F.col("c.node")) & _may(similarity, "m", "c")).select(*pair("m", "c")).distinct(), "tried")
-    found = _texts_of(tried, texts, distinct)
-    linked = _verified(tried, found, shingle_words, similarity)
+    near = _possible(tried, distinct, similarity)
+    found = _texts_of(near, texts, distinct)
+    linked = _verified(near, found, shingle_words, similarity)
     roots = materialize(star_labels(linked), "roots")
     rooted = shared.join(roots, F.col("m.node") == F.col("node"), "left").select("token", "m", F.coalesce("root", "m.node").alias("root"))
     parts = materialize(rooted.groupBy("token", "root").agg(F.collect_list("m").alias("members")), "parts")
@@ -247,6 +274,7 @@ def _similar(texts: DataFrame, distinct: DataFrame, shingle_words: int, similari
     rest = materialize(met.select(*pair("m", "c")).distinct().join(tried, ["u", "v"], "left_anti"), "rest")
     for x in (shared, parts):
         drop_table(x)
+    rest = _possible(rest, distinct, similarity)
     more = _texts_of(rest, texts, distinct, found)
     drop_table(found)
     linked = linked.unionByName(_verified(rest, more, shingle_words, similarity))
@@ -262,22 +290,23 @@ def _similar_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node, size, prefix = [], [], [], []
+            fp, node, size, prefix, sketches = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_hashes(text, shingle_words)
                 tokens = np.unique(hashes)
                 fp.append(_simhash(hashes))
                 node.append(xxhash.xxh64_intdigest(tokens.tobytes(), 44) - (1 << 63))
                 size.append(len(tokens))
+                sketches.append(sketch(tokens))
                 prefix.append(shingle_prefix(tokens, *held.value, similarity).view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)])
             prefixes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int32()), prefixes], ["id", "text_hash", "fp", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int32()), prefixes, pa.array(sketches, pa.binary())], ["id", "text_hash", "fp", "node", "size", "prefix", "sketch"])
 
     rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).select("id", F.xxhash64("text").alias("text_hash"), "text")
-    prints = materialize(map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, fp bigint, node bigint, size int, prefix array<bigint>"), "fingerprints")
+    prints = materialize(map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, fp bigint, node bigint, size int, prefix array<bigint>, sketch binary"), "fingerprints")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = prints.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.first("prefix").alias("prefix"))
+    distinct = prints.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     distinct = materialize(distinct.repartition(n, "node"), "distinct")
     return prints.select("id", "text_hash", "fp", "node"), distinct.select("node", "least"), _similar(texts, distinct, shingle_words, similarity)
 
