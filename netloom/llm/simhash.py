@@ -123,7 +123,8 @@ def links(distinct: DataFrame) -> DataFrame:
         before = before | fits
     stored, lookup = _keyed(distinct, stored_keys, "a").alias("s"), _keyed(distinct, lookup_keys, "b").alias("l")
     met = (F.col("s.key") == F.col("l.key")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE) & first
-    return stored.join(lookup, met).select("a", "b")
+    # both sides are many times the table they are made of, by whose size the planner would gather one of them
+    return stored.hint("merge").join(lookup, met).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
