@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from netloom.operators import raster, spatial
+from netloom.operators import raster, repair, spatial
+from netloom.storage import materialize
 
 
 def seen_rows(monkeypatch, name):
@@ -53,3 +54,13 @@ def test_loops_of_many_small_pictures_share_a_kernel(spark):
     got = found.collect()
     assert {r.image_id for r in got} == {None, *map(str, range(1, n))} and len(got) == 2 * n
     assert {tuple(r)[1:] for r in got} == {(1, "rect", 61 * 51, 5, -20, 66, 31), (2, "rect", 45 * 43, 10, -16, 55, 27)}
+
+
+def test_repair_broadcasts_no_table_of_all_components(spark):
+    """Two million components take few bytes on disk; the driver mustn't gather them because of that."""
+    ids = spark.range(2_000_000).select(F.col("id").alias("comp_id"), F.element_at(F.array(F.lit("gnd"), F.lit("resistor")), (F.col("id") % 2 + 1).cast("int")).alias("cls"))
+    comps = materialize(ids, "comps")
+    pins = materialize(comps.select(F.col("comp_id").alias("pin_id"), "comp_id", (F.col("comp_id") % 53).alias("image_id"), (F.col("comp_id") * 7 % 4001).alias("x"), (F.col("comp_id") * 9 % 4003).alias("y"), F.when(F.col("comp_id") % 9 > 0, F.col("comp_id") % 2_000).alias("enet")), "pins")
+    taps = spark.createDataFrame([(5,)], "tap long")
+    plan = repair.repair_candidates(comps, pins, taps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [comp_id" in plan and "BroadcastHashJoin [comp_id" not in plan
