@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType
 
-from .common import map_arrow, text_of
+from .common import map_arrow, parts, text_of
 
 #: Above this many symbols a word's merges come from a heap.
 LONG_WORD = 128
@@ -162,22 +163,26 @@ def load(definition: str) -> WordBPE:
     return _loaded[key]
 
 
-def _over_texts(docs: DataFrame, tokenizer_json: str, text_col: str, added: str, make) -> DataFrame:
+def _over_texts(docs: DataFrame, tokenizer_json: str, text_col: str, added: str, make, keep: bool = True) -> DataFrame:
+    """docs with the columns that make gives for its texts; keep: with text_col. Texts go to the workers once, and come back only if kept."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary: bounded, 1.7 MB here
+    names = docs.columns
+    at = names.index(text_col)
+    kept = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = kept.schema.fields[at].dataType == StringType()
+    rows = kept if plain else kept.withColumn("whole_text", text_of(kept[f"c{at}"]))
+    source, shown = at if plain else len(names), [i for i in range(len(names)) if keep or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(shared.value)
         for batch in batches:
-            columns = make(bpe, batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [str(i) for i in range(batch.num_columns - 1 + len(columns))])
+            for part in parts(batch):
+                columns = [*[part.column(i) for i in shown], *make(bpe, [x or "" for x in part.column(source).to_pylist()])]
+                yield pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))])
 
-    names = docs.columns
-    kept = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = kept[f"c{names.index(text_col)}"]
-    rows = kept.withColumn("whole_text", text_of(text))
-    fields = ", ".join(f"c{i} {x.dataType.simpleString()}" for i, x in enumerate(kept.schema.fields))
+    fields = ", ".join(f"c{i} {kept.schema.fields[i].dataType.simpleString()}" for i in shown)
     out = map_arrow(rows, run, f"{fields}, {added}")
-    return out.toDF(*names, *[x.split()[0] for x in added.split(", ")])
+    return out.toDF(*[names[i] for i in shown], *[x.split()[0] for x in added.split(", ")])
 
 
 def encode_texts(docs: DataFrame, tokenizer_json: str, text_col: str = "text") -> DataFrame:
@@ -212,5 +217,4 @@ def digest_texts(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
 
     text = f"text of {id_col}"
     rows = docs.select(docs[id_col], docs[text_col].alias(text))
-    out = _over_texts(rows, tokenizer_json, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
-    return out.drop(text)
+    return _over_texts(rows, tokenizer_json, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make, keep=False)

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import crc_fold, map_arrow, text_of
+from .common import crc_fold, map_arrow, parts, text_of
 
 PASSAGE_WORDS = 100
 WORD_BUCKETS, SHAPE_BUCKETS, BYTE_KINDS = 64, 48, 9
@@ -190,22 +191,27 @@ def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """
     weights = docs.sparkSession.sparkContext.broadcast(model.weights if model else None)  # some 30 kB
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Model(weights.value) if weights.value else None
-        for batch in batches:
-            scores: list[float] = []
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for at in range(0, len(texts), 32):
-                bags = [encode_passages(x) for x in texts[at : at + 32]]
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in bags])[:-1]]).astype(np.int64)
-                scores += held.score(np.concatenate(bags), starts).tolist() if held else [0.5] * len(bags)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [str(i) for i in range(batch.num_columns)])
-
     names = [x for x in docs.columns if x != "score" or x in (id_col, text_col)] if keep else [id_col]
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     place = {x: f"c{i}" for i, x in enumerate(docs.columns)}
-    rows = plain.select(*[plain[place[x]] for x in names], text_of(plain[place[text_col]]).alias("whole_text"))
-    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields[:-1])
+    # a kept text goes to the workers once
+    own = text_col in names and plain.schema[place[text_col]].dataType == StringType()
+    source = names.index(text_col) if own else len(names)
+    rows = plain.select(*[plain[place[x]] for x in names], *([] if own else [text_of(plain[place[text_col]]).alias("whole_text")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Model(weights.value) if weights.value else None
+        for batch in batches:
+            for part in parts(batch):
+                scores: list[float] = []
+                texts = [x or "" for x in part.column(source).to_pylist()]
+                for at in range(0, len(texts), 32):
+                    bags = [encode_passages(x) for x in texts[at : at + 32]]
+                    starts = np.concatenate([[0], np.cumsum([len(x) for x in bags])[:-1]]).astype(np.int64)
+                    scores += held.score(np.concatenate(bags), starts).tolist() if held else [0.5] * len(bags)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(scores, pa.float64())], [str(i) for i in range(len(names) + 1)])
+
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields[: len(names)])
     out = map_arrow(rows, run, f"{schema}, score double").toDF(*names, "score")
     if keep:
         return out

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import star_labels
 from . import golay
-from .common import drop_table, map_arrow, materialize, text_of
+from .common import drop_table, map_arrow, materialize, parts, text_of
 
 #: Segments as (shift, bits), and the choices of an equal and a near segment that make a key.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -290,7 +290,7 @@ def _similar_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: i
     held = docs.sparkSession.sparkContext.broadcast((common, n_texts))  # at most COMMON_MOST pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             fp, node, size, prefix, sketches = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_hashes(text, shingle_words)

@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from netloom.llm import simhash
+from netloom.llm import bpe, mil_classifier, simhash
+from netloom.llm.queries import word_bpe
 from netloom.storage import materialize
 
 
@@ -14,3 +15,15 @@ def test_keys_of_fingerprints_are_not_gathered_by_the_driver(spark):
     found = simhash.links(table)
     assert {frozenset(r) for r in found.collect()} == {frozenset((x, x ^ 5)) for x in some}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_go_to_the_workers_once(spark, monkeypatch):
+    """Whole texts are most of what an executor holds while workers read them."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    calls = {bpe: lambda: bpe.digest_texts(docs, word_bpe()), mil_classifier: lambda: mil_classifier.classify(docs, None, keep=True)}
+    for module, call in calls.items():
+        seen, real = [], module.map_arrow
+        monkeypatch.setattr(module, "map_arrow", lambda df, f, schema, seen=seen, real=real: (seen.append((len(df.columns), schema)), real(df, f, schema))[1])
+        assert call().count() == 2
+        assert seen[-1][0] == 2
+        assert module is mil_classifier or "c1" not in seen[-1][1]
