@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..storage import drop_table, map_arrow, materialize, ship
+from ..storage import drop_table, map_arrow, materialize, ship, small_batches
 
-__all__ = ["SPACE", "crc_fold", "drop_table", "map_arrow", "materialize", "parts", "ship", "text_of"]
+__all__ = ["SPACE", "crc_fold", "drop_table", "map_arrow", "materialize", "parts", "ship", "small_batches", "text_of"]
 
 #: The white space of the word definition `[^\x20\x09-\x0D]+`, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"

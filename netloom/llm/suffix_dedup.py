@@ -15,8 +15,8 @@ common prefixes of neighbours are the range minima of the column before, plus on
 stand in the same columns, only the suffixes of the newest column are kept. Neighbours with a common prefix of `window` or more begin with a repeated window,
 and so does a suffix of that length of a string with copies.
 
-The columns still to come, the order, the common prefixes and what has been found are a row for each shard of a table in the shared folder: `STAGES` times the table is
-read in sequence, a block of columns inserted, and the next table written. So the files are read and written sequentially, and a lost executor costs a block.
+The columns are inserted in `STAGES` blocks. Between two blocks the columns still to come, the order, the common prefixes and what has been found are a row for each shard of a table in the
+shared folder, which is written and read in sequence. So the files are read and written sequentially, and a lost executor costs a block.
 
 A bucket of more than `max_bucket` strings would be too much for a shard. A window holds, beside the minimizer, half of its other bytes to the left of it or half to the right. So such a
 bucket falls apart into those that agree in as many bytes more on the left, and those that do on the right, each with the windows that hold them; this
@@ -25,21 +25,20 @@ repeats until buckets are small, at the latest when the strings are single windo
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, map_arrow, materialize, ship, text_of
+from .common import drop_table, map_arrow, materialize, parts, ship, small_batches, text_of
 
 GRAM = 32
 #: Bytes that are read at a time; texts of more are taken in overlapping pieces.
 PIECE = 1 << 18
-#: Tables of the construction, each with the columns that those before it left.
+#: Blocks of columns of the construction, 2 at least; a table stands between any two.
 STAGES = 4
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)]
 _LOW = np.uint64((1 << 24) - 1)  # more than PIECE
@@ -222,17 +221,9 @@ def _buckets(texts: DataFrame, window: int) -> DataFrame:
 
 def _pieces(texts: DataFrame, window: int) -> DataFrame:
     """uid, piece, part: texts in pieces, with what a segment that starts in one may hold of the next; so that what is looked up in a row is bounded."""
-    size = PIECE
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = text.as_buffer().to_pybytes()
-                for piece in range(0, max(1, len(raw)), size):
-                    yield [uid], [piece // size], [raw[piece : piece + size + 2 * window]]
-
-    run = lambda batches: _in_batches(cut(batches), ["uid", "piece", "part"], [pa.int64(), pa.int64(), pa.binary()], lambda x: 100 + len(x[2][0]))
-    return map_arrow(texts, run, "uid bigint, piece bigint, part binary")
+    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PIECE)
+    numbered = texts.select("uid", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
+    return numbered.select("uid", "piece", F.substring("text", (F.col("piece") * PIECE + 1).cast("int"), F.lit(PIECE + 2 * window)).alias("part"))
 
 
 def _with_bytes(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -264,6 +255,7 @@ def _constructed(strings: DataFrame, n: int, window: int, shard_strings: int) ->
     def begin(key: tuple, table: pa.Table) -> pa.Table:
         bucket = np.unique(table["bucket"].to_numpy(), return_inverse=True)[1]
         made = Construction.of_strings(table["bytes"].to_pylist(), table["at"].to_numpy().astype(np.int64), bucket, table["copies"].to_numpy())
+        made.insert(window, most)
         names = {"shard": key[0].as_py(), "buckets": table["bucket"].to_numpy().tobytes(), "ats": table["at"].to_numpy().tobytes(), "contents": b"".join(table["content"].to_pylist())}
         return pa.Table.from_pylist([names | made.packed()], schema)
 
@@ -283,7 +275,9 @@ def _constructed(strings: DataFrame, n: int, window: int, shard_strings: int) ->
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                runs = Construction.unpacked(row).runs()
+                made = Construction.unpacked(row)
+                made.insert(window, most)
+                runs = made.runs()
                 which = np.array(list(runs), np.int64)
                 bucket, at, content = np.frombuffer(row["buckets"], np.int64)[which], np.frombuffer(row["ats"], np.int32)[which], [row["contents"][16 * j : 16 * j + 16] for j in runs]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(at), pa.array(content, pa.binary()), pa.array(list(runs.values()), pa.list_(pa.list_(pa.int32())))], ["bucket", "at", "content", "runs"])
@@ -292,7 +286,7 @@ def _constructed(strings: DataFrame, n: int, window: int, shard_strings: int) ->
     parts = max(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 8)
     dealt = strings.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(shards))).repartition(parts, "shard")
     state = materialize(dealt.groupBy("shard").applyInArrow(begin, _STATE), "columns")
-    for _ in range(STAGES):
+    for _ in range(STAGES - 2):  # the first block is inserted before the first table, the last one behind the last
         before, state = state, materialize(map_arrow(state, go_on, _STATE), "columns")
         drop_table(before)
     found = materialize(map_arrow(state, end, "bucket bigint, at int, content binary, runs array<array<int>>"), "runs")
@@ -363,7 +357,7 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
 
 
 def _gone(some: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
-    """of, gone: the spans to remove of each text, merged within each of its pieces first."""
+    """of, gone: the spans to remove of each text, disjoint and in order; merged within each of its pieces first."""
     size = PIECE
     places = some.join(repeated, (some["bucket"] == repeated["b"]) & (some["at"] == repeated["a"]) & (some["content"] == repeated["c"]))
     spans = F.transform("starts", lambda s: F.transform("runs", lambda r: F.array(s + r[0], s + r[1] + window)))
@@ -372,10 +366,23 @@ def _gone(some: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(x) for x in batch.column(1).to_pylist()], pa.list_(pa.list_(pa.int64())))], ["uid", "spans"])
+            for part in parts(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_merged(x) for x in part.column(1).to_pylist()], pa.list_(pa.list_(pa.int64())))], ["uid", "spans"])
 
-    few = map_arrow(pieces, run, "uid bigint, spans array<array<bigint>>")
-    return few.groupBy(F.col("uid").alias("of")).agg(F.flatten(F.collect_list("spans")).alias("gone"))
+    kinds = "uid bigint, spans array<array<bigint>>"
+    few = map_arrow(pieces, run, kinds).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return map_arrow(few, run, kinds).select(F.col("uid").alias("of"), F.col("spans").alias("gone"))
+
+
+def _rest(text: Column, gone: Column) -> Column:
+    """The bytes of a text that are in none of the disjoint spans.
+
+    The text is a variable of a lambda, as a column would be copied whole for each span; strings of any bytes are joined as they are.
+    """
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(gone, lambda s: s[1]))
+    ends = F.concat(F.transform(gone, lambda s: s[0]), F.array(F.length(text).cast("bigint")))
+    cut = F.transform(F.array(text), lambda t: F.array_join(F.zip_with(starts, ends, lambda a, z: F.substring(t, (a + 1).cast("int"), (z - a).cast("int")).cast("string")), ""))
+    return F.when(F.size(gone) == 0, text).otherwise(cut[0].cast("binary"))
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, max_bucket: int = 20_000, shard_strings: int = 5_000) -> DataFrame:
@@ -390,31 +397,21 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         raise ValueError(f"window must be {GRAM} at least")
     spark = docs.sparkSession
     ship(spark)
-    texts = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].alias("id"), text_of(docs[text_col]).cast("binary").alias("text")), "texts")
-    bare = texts.select("uid", "text")
-    # counted first and written, so that adaptive execution can split a very common bucket in the join of two tables
-    twice = _buckets(bare, window).groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("bucket").alias("again"))
-    twice = materialize(twice, "buckets")
-    every = _segment_rows(bare, window)
-    some = materialize(every.join(twice, every["bucket"] == twice["again"], "left_semi"), "segments")
-    wanted = some.groupBy("bucket", "at", "content").agg(F.sum(F.size("starts")).alias("copies"), F.min(F.struct("uid", F.get("starts", F.lit(0)).alias("start"), "n")).alias("one"))
-    strings = _with_bytes(bare, wanted.select("one.*", "at", "bucket", "content", "copies"), window)
-    strings = materialize(strings.withColumn("low", F.lit(0)).withColumn("high", F.lit(0)), "strings")
-    repeated = _solved(strings, window, max_bucket, shard_strings)
+    with small_batches(spark):
+        texts = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].alias("id"), text_of(docs[text_col]).cast("binary").alias("text")), "texts")
+        bare = texts.select("uid", "text")
+        # counted first and written, so that adaptive execution can split a very common bucket in the join of two tables
+        twice = _buckets(bare, window).groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("bucket").alias("again"))
+        twice = materialize(twice, "buckets")
+        every = _segment_rows(bare, window)
+        some = materialize(every.join(twice, every["bucket"] == twice["again"], "left_semi"), "segments")
+        wanted = some.groupBy("bucket", "at", "content").agg(F.sum(F.size("starts")).alias("copies"), F.min(F.struct("uid", F.get("starts", F.lit(0)).alias("start"), "n")).alias("one"))
+        strings = _with_bytes(bare, wanted.select("one.*", "at", "bucket", "content", "copies"), window)
+        strings = materialize(strings.withColumn("low", F.lit(0)).withColumn("high", F.lit(0)), "strings")
+        repeated = _solved(strings, window, max_bucket, shard_strings)
     gone = _gone(some, repeated.withColumnsRenamed({"bucket": "b", "at": "a", "content": "c"}), window)
-    joined = texts.hint("merge").join(gone, texts["uid"] == gone["of"], "left").select("id", "text", "gone")
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = batch.column(1)[i].as_py()
-                spans = _merged(batch.column(2)[i].as_py() or [])
-                edges = [0, *(x for span in spans for x in span), len(raw)]
-                rest = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
-                yield batch.column(0).slice(i, 1), [len(raw)], [len(raw) - len(rest)], [len(spans)], [rest], [hashlib.sha256(rest).hexdigest()]
-
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
-    types = [None, *[pa.int64()] * 3, pa.binary(), pa.string()]
-    cut = lambda batches: _in_batches(kept(batches), names, types, lambda x: 100 + len(x[4][0]))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(joined, cut, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string").withColumnRenamed("id", id_col)
+    joined = texts.hint("merge").join(gone, texts["uid"] == gone["of"], "left").select("id", "text", F.coalesce("gone", F.array().cast("array<array<bigint>>")).alias("gone"))
+    # no text goes to a worker here: this runs when the result is read, under its reader's settings of batches
+    n_removed = F.aggregate("gone", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+    rest = joined.select("id", F.length("text").cast("bigint").alias("n_bytes"), n_removed.alias("n_removed"), F.size("gone").cast("bigint").alias("n_spans"), _rest(F.col("text"), F.col("gone")).alias("kept"))
+    return rest.withColumn("kept_sha256", F.sha2("kept", 256)).withColumnRenamed("id", id_col)

@@ -75,3 +75,24 @@ def test_small_and_dense_tables_are_left_as_they_are(spark):
     for table in (small, dense):
         files = spark.read.parquet(table.inputFiles()[0].rpartition("/")[0])
         assert sizes(files) == sizes(table)
+
+
+def test_workers_get_small_batches_of_large_rows(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text"))
+    before = spark.conf.get(name, None)
+    with pytest.raises(ZeroDivisionError), storage.small_batches(spark):
+        found = [r.n for r in storage.materialize(storage.map_arrow(rows, sizes, "n bigint"), "sizes").collect()]
+        assert sum(found) > 12_000_000
+        assert max(found) < 3 << 20
+        with storage.small_batches(spark, 1 << 30):
+            assert spark.conf.get(name) == str(2 << 20)
+        raise ZeroDivisionError
+    assert spark.conf.get(name, None) == before
